@@ -1,0 +1,48 @@
+"""Sorted price levels of one chunk of messages (small helper behind `book.ladder_over_time`)."""
+
+from bisect import bisect_left, insort
+from collections.abc import Callable
+
+import pandas as pd
+
+
+class _Side:
+    """Live levels of one side, best first."""
+
+    def __init__(self, sign: int):
+        self.sign, self.sizes, self.ranks = sign, {}, []
+
+    def put(self, price: int, size: int) -> None:
+        rank = -price * self.sign
+        if size > 0:
+            if price not in self.sizes:
+                insort(self.ranks, rank)
+            self.sizes[price] = size
+        elif self.sizes.pop(price, None) is not None:
+            del self.ranks[bisect_left(self.ranks, rank)]
+
+    def top(self, levels: int) -> list:
+        prices = [-rank * self.sign for rank in self.ranks[:levels]]
+        out = [(price, self.sizes[price]) for price in prices]
+        return out + [(None, 0)] * (levels - len(out))
+
+
+def sweep_chunk(by: list[str], levels: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    names = [f"{side}_{what}_l{i}" for i in range(1, levels + 1) for side in ("bid", "ask") for what in ("price", "size")]
+
+    def sweep(chunk: pd.DataFrame) -> pd.DataFrame:
+        rows = chunk.sort_values("seq", na_position="first")
+        sides = {1: _Side(1), -1: _Side(-1)}
+        found, seqs = [], []
+        for seq, side, price, depth in zip(rows["seq"], rows["side"], rows["price"], rows["depth"]):
+            sides[side].put(price, depth)
+            if seq == seq:  # rows without an index only open the chunk
+                seqs.append(int(seq))
+                found.append([v for pair in zip(sides[1].top(levels), sides[-1].top(levels)) for cell in pair for v in cell])
+        out = pd.DataFrame(found, columns=names, dtype="Int64")
+        out.insert(0, "seq", seqs)
+        for position, key in enumerate(by):
+            out.insert(position, key, chunk[key].iloc[0] if len(chunk) else None)
+        return out
+
+    return sweep
