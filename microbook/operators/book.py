@@ -415,8 +415,9 @@ def book_invariants(classified: DataFrame, ladder: DataFrame, *, by: Sequence[st
     ids = orders.agg(
         F.count_if(F.col("_out") > F.col("_in")).alias("double_cancel"), F.count_if(F.col("_least") < 0).alias("negative_remaining")
     )
-    both = tops.crossJoin(ids)  # one row each
-    return both.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("check"), F.col(c).alias("violations"))
-        for c in ("crossed", "empty_top", "double_cancel", "negative_remaining")
-    ])))
+    return _rows_of(tops, ("crossed", "empty_top")).unionByName(_rows_of(ids, ("double_cancel", "negative_remaining")))
+
+
+def _rows_of(counts: DataFrame, checks: Sequence[str]) -> DataFrame:
+    cells = [F.struct(F.lit(c).alias("check"), F.col(c).alias("violations")) for c in checks]
+    return counts.select(F.inline(F.array(*cells)))

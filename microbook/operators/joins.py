@@ -118,5 +118,6 @@ def at_offset(
 ) -> DataFrame:
     """Values of the right row `offset` events later, clipped to the last row of the partition."""
     ends = right.groupBy(*by).agg(F.max(seq).alias("_end"))
-    target = left.join(ends, list(by)).withColumn("_at", F.least(F.col(seq) + offset, F.col("_end"))).drop("_end")
+    position = F.when(F.col(seq).isNotNull(), F.least(F.col(seq) + offset, F.col("_end")))
+    target = left.join(ends, list(by)).withColumn("_at", position).drop("_end")
     return target.join(right.select(*by, F.col(seq).alias("_at"), *values), [*by, "_at"], "left").drop("_at")
