@@ -363,6 +363,10 @@ def oracle_sql() -> dict[str, str]:
       + """, (mx.seq >= 50)::INT::DOUBLE AS is_warm_50, (mx.seq >= 200)::INT::DOUBLE AS is_warm_200
       FROM mx ASOF LEFT JOIN flows f ON mx.symbol = f.symbol AND mx.seq >= f.seq""")
     cells["stream_features"] = cells["feature_matrix"]
+    cells["stream_depth"] = cells["depth_by_level"]
+    cells["stream_best_prices"] = cells["best_prices"]
+    cells["stream_order_ops"] = cells["route_order_ops"]
+    cells["stream_event_log"] = _q(MESSAGES, "SELECT symbol, seq, ts_ns, event_type, order_id, side, size, price FROM messages")
     cells["labelled_dataset"] = _q(BOOK + _LABEL.format(k=10), f"SELECT symbol, {_CLASS} AS label, COUNT(*) AS n FROM lab WHERE mv IS NOT NULL GROUP BY 1, 2")
     cells["symbol_summary"] = _q(BOOK + _DIFFS + f", s2 AS (SELECT symbol, seq, {IMB} AS imb, {SPREAD} AS spr, {_full(f'SUM(db1 - da1) {_rows(50)}', 50)} AS o FROM d)",
       f"SELECT symbol, COUNT(*) AS rows, {rnd('AVG(imb)')} AS mean_imbalance, {rnd('AVG(spr)')} AS mean_spread, {rnd('AVG(o)')} AS mean_ofi_50 FROM s2 GROUP BY 1")

@@ -21,6 +21,9 @@ from microbook.partitioning import dense_index, global_index
 from microbook.plans import matrix as M
 from microbook.schema import FEATURE_NAMES, HORIZONS, KEYS, SYMBOLS, TOB_COLUMNS
 from microbook.sources.tob import depth_to_tob, quotes_to_tob
+from microbook.streaming import depth as SD
+from microbook.streaming import features as SF
+from microbook.streaming import pipelines as PI
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -643,5 +646,41 @@ def own_fills(spark, sf):
     return K.own_fills(fills, own).select(*KEY, "order_id", "side_sign")
 
 
+# --- streaming ----------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, table: DataFrame, files: int = 2):
+    """The stored table as a stream: all of its files, a few per micro-batch in their order of writing."""
+    return PI.read_event_stream(spark, fx.folder_of(table), table.schema, files_per_trigger=files)
+
+
+@query
+def stream_features(spark, sf):
+    stream = _stream(spark, fx.joined(spark, sf))
+    windows = PI.run_to_table(SF.stream_windows(stream), "windows")
+    return _rounded_matrix(SF.stream_features(windows, GIVEN_TABLE, as_float=False))
+
+
+@query
+def stream_depth(spark, sf):
+    return PI.run_to_table(SD.stream_depth(_stream(spark, fx.message_log(spark, sf))), "depth").drop("trade_date")
+
+
+@query
+def stream_best_prices(spark, sf):
+    return PI.run_to_table(SD.stream_ladder(_stream(spark, fx.message_log(spark, sf))), "ladder").drop("trade_date")
+
+
+@query
+def stream_order_ops(spark, sf):
+    ops = PI.order_op_stream(_stream(spark, fx.message_log(spark, sf))).select(*KEY, "order_id", "op")
+    return PI.run_to_table(ops, "ops")
+
+
+@query
+def stream_event_log(spark, sf):
+    return PI.run_to_table(_stream(spark, fx.message_log(spark, sf)), "log").drop("trade_date")
+
+
 def registered() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -4,12 +4,15 @@ The wide `book` table is derived once per session and folder and kept as a Parqu
 would keep ingested data; everything is computed by Spark from the whole input.
 """
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from microbook.partitioning import forward_fill, order_chunks, running_sum
-from microbook.schema import KEYS
-from microbook.session import materialise
+from microbook.schema import KEYS, SEQ
+from microbook.session import materialise, work_dir
 
 TRADE_DATE = "2012-06-21"
 
@@ -143,6 +146,39 @@ def messages_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "messages_large", build)
 
 
+def _as_feed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table stored file after file in event order, as a feed delivers it: a later file holds later events only."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        rows = build()
+        path = os.path.join(work_dir(spark), "microbook", f"{name}-{uuid.uuid4().hex}")
+        last = rows.agg(F.max(SEQ)).first()[0]
+        step = min(50_000, max(500, last // 5))
+        for start in range(0, last + 1, step):
+            rows.where(F.col(SEQ).between(start, start + step - 1)).coalesce(1).write.mode("append").parquet(path)
+        _tables[key] = spark.read.parquet(path)
+    return _tables[key]
+
+
+def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_feed(spark, sf_dir, "message_log", lambda: messages(spark, sf_dir))
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Book rows with the message of the same index; the few rows before the first order have no message."""
+
+    def build():
+        columns = messages(spark, sf_dir).select(*KEYS, SEQ, "event_type", "side", "size")
+        return book(spark, sf_dir).join(columns, [*KEYS, SEQ], "left")
+
+    return _as_feed(spark, sf_dir, "joined", build)
+
+
+def folder_of(table: DataFrame) -> str:
+    """Folder of a stored table."""
+    return os.path.dirname(table.inputFiles()[0])
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic class probabilities and labels for the metric operators."""
     h, rid = F.col("h"), F.col("rid")

@@ -1,0 +1,72 @@
+"""Streaming depth: size per price level and best prices after each message."""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from microbook.operators.ladder import sweep_chunk
+from microbook.schema import KEYS, SEQ
+
+_SIGN = {1: 1, 2: -1, 3: -1, 4: -1}
+
+
+def _changes(rows: pd.DataFrame) -> np.ndarray:
+    return rows["event_type"].map(_SIGN).fillna(0).astype("int64").to_numpy() * rows["size"].to_numpy()
+
+
+def _level_update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(batches)).sort_values(SEQ)
+    last_seq, total = state.get if state.exists else (-1, 0)
+    rows = rows[rows[SEQ] > last_seq]
+    if len(rows):
+        totals = total + np.cumsum(_changes(rows))
+        state.update((int(rows[SEQ].iloc[-1]), int(totals[-1])))
+        yield rows[[*KEYS, SEQ, "side", "price"]].assign(depth=np.maximum(totals, 0))
+
+
+def stream_depth(messages: DataFrame) -> DataFrame:
+    """`depth` at the row's side and price after each message. State is one number per level, spread by level."""
+    output = "symbol string, trade_date date, seq bigint, side tinyint, price bigint, depth bigint"
+    needed = messages.select(*KEYS, SEQ, "event_type", "side", "price", "size")
+    return needed.groupBy(*KEYS, "side", "price").applyInPandasWithState(
+        _level_update, output, "last_seq bigint, total bigint", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def _book_updater(levels: int):
+    sweep = sweep_chunk(list(KEYS), levels)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(SEQ)
+        last_seq, sides, prices, totals = state.get if state.exists else (-1, [], [], [])
+        rows = rows[rows[SEQ] > last_seq]
+        if not len(rows):
+            return
+        opening = pd.DataFrame({"side": sides, "price": prices, "_change": totals}, dtype="int64").assign(**{SEQ: np.nan})
+        moves = rows[[SEQ, "side", "price"]].assign(_change=_changes(rows))
+        book = pd.concat([opening, moves]) if len(opening) else moves
+        book["_total"] = book.groupby(["side", "price"])["_change"].cumsum()
+        last = book.groupby(["side", "price"])["_total"].last()
+        last = last[last != 0]
+        state.update(
+            (int(rows[SEQ].iloc[-1]), last.index.get_level_values(0).tolist(), last.index.get_level_values(1).tolist(), last.tolist())
+        )
+        book["depth"] = book["_total"].clip(lower=0)
+        for name, value in zip(KEYS, key):
+            book[name] = value
+        yield sweep(book[[*KEYS, SEQ, "side", "price", "depth"]])
+
+    return update
+
+
+def stream_ladder(messages: DataFrame, levels: int = 1) -> DataFrame:
+    """Best `levels` prices and sizes after each message; the state holds the levels with a size other than zero."""
+    wide = ", ".join(f"{side}_price_l{i} bigint, {side}_size_l{i} bigint" for i in range(1, levels + 1) for side in ("bid", "ask"))
+    state = "last_seq bigint, sides array<bigint>, prices array<bigint>, totals array<bigint>"
+    needed = messages.select(*KEYS, SEQ, "event_type", "side", "price", "size")
+    return needed.groupBy(*KEYS).applyInPandasWithState(
+        _book_updater(levels), f"symbol string, trade_date date, {SEQ} bigint, {wide}", state, "append", GroupStateTimeout.NoTimeout
+    )
