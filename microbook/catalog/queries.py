@@ -1,6 +1,7 @@
 """Registered queries: each operator of the library over the driver's whole tables."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from microbook.operators import trades as TR
 from microbook.operators import windows as W
 from microbook.partitioning import dense_index, global_index
 from microbook.plans import matrix as M
+from microbook.plans import training as TN
+from microbook.plans.backtest import run_backtest
 from microbook.schema import FEATURE_NAMES, HORIZONS, KEYS, SYMBOLS, TOB_COLUMNS
 from microbook.sources.tob import depth_to_tob, quotes_to_tob
 from microbook.streaming import depth as SD
@@ -32,8 +35,6 @@ FLOATS = ("float", "double")
 # Table used where a query needs a fitted one as a given: g = 2.5 * (imbalance bucket - 5) + 0.5 * spread bucket.
 GIVEN_TABLE = G.MicropriceTable(tuple(tuple((i - 5) * 2.5 + s * 0.5 for s in range(5)) for i in range(11)))
 POSITIONS = (500, 1000, 1500)
-# Not expressible in SQL: fitted models.
-ROWS_ONLY: set[str] = set()
 
 
 def query(function: Query) -> Query:
@@ -583,16 +584,46 @@ def symbol_summary(spark, sf):
     return with_rounded(summary, "mean_imbalance", "mean_spread", "mean_ofi_50")
 
 
-# --- quote policies ---------------------------------------------------------------------------------------------
+# --- models (no SQL counterpart) -----------------------------------------------------------------------------------
+
+
+def _matrix(spark, sf, *horizons):
+    return M.build_feature_matrix(fx.book(spark, sf), _trades(spark, sf), GIVEN_TABLE, horizons=horizons)
+
+
+@query
+def train_forest(spark, sf):
+    return TN.train(_matrix(spark, sf, 50), 50).metrics
 
 
-def _scored_tob(spark, sf):
-    tob = fx.book(spark, sf).select(*KEYS, "seq", *TOB_COLUMNS)
-    return tob.join(W.carry_last_score(_sparse_scores(spark, sf)).drop("score"), [*KEYS, "seq"])
+@query
+def evaluate_forest(spark, sf):
+    return TN.evaluate(TN.train(_matrix(spark, sf, 50), 50).scored)["brier"]
+
+
+@query
+def feature_importances(spark, sf):
+    return L.top_features(TN.train(_matrix(spark, sf, 50), 50).model.importances(spark), 10)
 
 
-def _all_quotes(spark, sf):
-    return K.naive_quotes(fx.book(spark, sf)).unionByName(K.score_aware_quotes(_scored_tob(spark, sf)))
+@query
+def horizon_grid(spark, sf):
+    runs, best = TN.train_grid(_matrix(spark, sf, *HORIZONS), algorithm="logistic")
+    losses = [run.metrics.where(F.col("symbol") == Q.POOLED).select("k", "logloss") for run in runs.values()]
+    return reduce(DataFrame.unionByName, losses).withColumn("is_best", F.col("k") == best)
+
+
+@query
+def batch_scores(spark, sf):
+    matrix = _matrix(spark, sf, 50)
+    return TN.train(matrix, 50, algorithm="logistic").model.score(matrix).select(*KEY, "score")
+
+
+# --- quote policies ---------------------------------------------------------------------------------------------
+
+
+def _backtest(spark, sf):
+    return run_backtest(fx.book(spark, sf), _trades(spark, sf), _sparse_scores(spark, sf))
 
 
 @query
@@ -602,38 +633,30 @@ def naive_quotes(spark, sf):
 
 @query
 def score_aware_quotes(spark, sf):
-    return K.score_aware_quotes(_scored_tob(spark, sf)).select(*KEY, "side_sign", "price")
+    return _backtest(spark, sf).quotes.where("policy = 'ml_aware'").select(*KEY, "side_sign", "price")
 
 
 @query
 def quote_fills(spark, sf):
-    return K.quote_fills(_all_quotes(spark, sf), _trades(spark, sf)).drop("trade_date")
-
-
-def _markouts(spark, sf):
-    return K.markouts(K.quote_fills(_all_quotes(spark, sf), _trades(spark, sf)), fx.book(spark, sf))
+    return _backtest(spark, sf).fills.drop("trade_date", "future_mid", "markout")
 
 
 @query
 def markouts(spark, sf):
-    return _markouts(spark, sf).select("symbol", "policy", "quote_seq", "side_sign", "seq", rounded("markout"))
+    return _backtest(spark, sf).fills.select("symbol", "policy", "quote_seq", "side_sign", "seq", rounded("markout"))
 
 
 _SUMMARY_DOUBLES = ("fill_rate", "markout_mean_ticks", "markout_median_ticks", "adverse_selection_bps", "gross_pnl_ticks")
 
 
-def _summary(spark, sf):
-    return K.policy_summary(_all_quotes(spark, sf), _markouts(spark, sf), fx.book(spark, sf))
-
-
 @query
 def policy_summary(spark, sf):
-    return with_rounded(_summary(spark, sf), *_SUMMARY_DOUBLES)
+    return with_rounded(_backtest(spark, sf).summary, *_SUMMARY_DOUBLES)
 
 
 @query
 def compare_policies(spark, sf):
-    compared = K.compare_policies(_summary(spark, sf))
+    compared = K.compare_policies(_backtest(spark, sf).summary)
     return with_rounded(compared, *[c for c in compared.columns if c.startswith(_SUMMARY_DOUBLES)])
 
 
