@@ -587,35 +587,39 @@ def symbol_summary(spark, sf):
 # --- models (no SQL counterpart) -----------------------------------------------------------------------------------
 
 
-def _matrix(spark, sf, *horizons):
-    return M.build_feature_matrix(fx.book(spark, sf), _trades(spark, sf), GIVEN_TABLE, horizons=horizons)
+def _matrix(spark, sf):
+    """The feature table with all labels, stored once: models are fitted on stored features."""
+    def build():
+        return M.build_feature_matrix(fx.book(spark, sf), _trades(spark, sf), GIVEN_TABLE, horizons=HORIZONS)
+
+    return fx.stored(spark, sf, "matrix", build)
 
 
 @query
 def train_forest(spark, sf):
-    return TN.train(_matrix(spark, sf, 50), 50).metrics
+    return TN.train(_matrix(spark, sf), 50).metrics
 
 
 @query
 def evaluate_forest(spark, sf):
-    return TN.evaluate(TN.train(_matrix(spark, sf, 50), 50).scored)["brier"]
+    return TN.evaluate(TN.train(_matrix(spark, sf), 50).scored)["brier"]
 
 
 @query
 def feature_importances(spark, sf):
-    return L.top_features(TN.train(_matrix(spark, sf, 50), 50).model.importances(spark), 10)
+    return L.top_features(TN.train(_matrix(spark, sf), 50).model.importances(spark), 10)
 
 
 @query
 def horizon_grid(spark, sf):
-    runs, best = TN.train_grid(_matrix(spark, sf, *HORIZONS), algorithm="logistic")
+    runs, best = TN.train_grid(_matrix(spark, sf), algorithm="logistic")
     losses = [run.metrics.where(F.col("symbol") == Q.POOLED).select("k", "logloss") for run in runs.values()]
     return reduce(DataFrame.unionByName, losses).withColumn("is_best", F.col("k") == best)
 
 
 @query
 def batch_scores(spark, sf):
-    matrix = _matrix(spark, sf, 50)
+    matrix = _matrix(spark, sf)
     return TN.train(matrix, 50, algorithm="logistic").model.score(matrix).select(*KEY, "score")
 
 

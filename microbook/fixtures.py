@@ -19,7 +19,8 @@ TRADE_DATE = "2012-06-21"
 _tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that is built on first use and read from the work folder afterwards."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _tables:
         _tables[key] = materialise(build(), name)
@@ -84,7 +85,7 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return _book_columns(steps, ("ts_ns", "rid"))
 
-    return _once(spark, sf_dir, "book", build)
+    return stored(spark, sf_dir, "book", build)
 
 
 def book_large(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,7 @@ def book_large(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return _book_columns(steps, ("ts_ns", "rid", "h", "et"))
 
-    return _once(spark, sf_dir, "book_large", build)
+    return stored(spark, sf_dir, "book_large", build)
 
 
 def _messages(book_df: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def _messages(book_df: DataFrame) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order messages; cancels and executions name the latest earlier add of the symbol."""
-    return _once(spark, sf_dir, "messages", lambda: _messages(book(spark, sf_dir)))
+    return stored(spark, sf_dir, "messages", lambda: _messages(book(spark, sf_dir)))
 
 
 def messages_large(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +144,7 @@ def messages_large(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return _messages(renamed)
 
-    return _once(spark, sf_dir, "messages_large", build)
+    return stored(spark, sf_dir, "messages_large", build)
 
 
 def _as_feed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:

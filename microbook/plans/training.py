@@ -136,9 +136,8 @@ def train(
 
 
 def train_grid(matrix: DataFrame, horizons: Sequence[int] = HORIZONS, **options) -> tuple[dict[int, TrainingRun], int]:
-    """One run per horizon and the horizon with the smallest pooled log loss."""
-    stored = materialise(matrix, "matrix")
-    runs = {k: train(stored, k, **options) for k in horizons}
+    """One run per horizon and the horizon with the smallest pooled log loss. Pass a stored matrix: each run reads it."""
+    runs = {k: train(matrix, k, **options) for k in horizons}
     losses = None
     for run in runs.values():
         pooled = run.metrics.where(F.col("symbol") == Q.POOLED).select("k", "logloss")
