@@ -25,23 +25,6 @@ def height_mismatch(left: DataFrame, right: DataFrame, by: Sequence[str] = KEYS)
     return counted.fillna(0, ["left_rows", "right_rows"]).where("left_rows <> right_rows")
 
 
-def newest_before_chunk(
-    rows: DataFrame, events: DataFrame, *, values: Sequence[str], on: str = SEQ, by: Sequence[str] = KEYS
-) -> DataFrame:
-    """For each `_chunk` of `rows`, the values of the newest event of all earlier chunks (one row per chunk)."""
-    keys = [*by, "_chunk"]
-    newest = events.groupBy(*keys).agg(F.max_by(F.struct(*values), on).alias("_newest"))
-    present = rows.select(*keys).distinct().withColumn("_wanted", F.lit(1))
-    merged = (
-        present.unionByName(newest, allowMissingColumns=True)
-        .groupBy(*keys)
-        .agg(F.max("_wanted").alias("_wanted"), F.first("_newest", ignorenulls=True).alias("_newest"))
-    )
-    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    found = merged.withColumn("_value", F.last("_newest", ignorenulls=True).over(earlier))
-    return found.where("_wanted = 1 AND _value IS NOT NULL").select(*keys, *[F.col(f"_value.{v}").alias(v) for v in values])
-
-
 def asof_backward(
     left: DataFrame,
     right: DataFrame,

@@ -27,13 +27,17 @@ _EWMA_RANGE = 1200.0
 
 @dataclass(frozen=True)
 class WindowFeature:
-    """`stages` are applied in order; a name starting with an underscore is a temporary column."""
+    """`stages` are applied in order; a name starting with an underscore is a temporary column.
+
+    `prepare` are row-wise columns computed before the shuffle, so that several inputs travel as one.
+    """
 
     stages: Sequence[Stage]
     back: int = 0
     ahead: int = 0
     max_rows: int = CHUNK
     drop_null: Sequence[str] = field(default_factory=tuple)
+    prepare: dict[str, Column] = field(default_factory=dict)
 
 
 def _row(w: WindowSpec) -> Column:
@@ -60,6 +64,10 @@ def chunk_rows(features: Sequence[WindowFeature], size: int = CHUNK) -> int:
     return max(1, min(size, limit - back if limit < CHUNK else size))
 
 
+def prepared(features: Sequence[WindowFeature]) -> dict[str, Column]:
+    return {name: value for f in features for name, value in f.prepare.items()}
+
+
 def run_stages(df: DataFrame, features: Sequence[WindowFeature], w: WindowSpec) -> DataFrame:
     depth = max(len(f.stages) for f in features)
     for level in range(depth):
@@ -76,7 +84,7 @@ def add_features(
 ) -> DataFrame:
     """Add the columns of all `features` in one pass; `seq` is the dense index inside `by`."""
     chunked = halo_chunks(
-        df,
+        df.withColumns(prepared(features)),
         back=max(f.back for f in features),
         ahead=max(f.ahead for f in features),
         size=chunk_rows(features, size),
@@ -123,11 +131,8 @@ def multi_level_ofi(levels: Sequence[int], window: int, *, partial: bool = False
     net = sum((F.col(f"bid_size_l{i}") - F.col(f"ask_size_l{i}") for i in levels), F.lit(0))
     out = f"mlofi_l{min(levels)}_l{max(levels)}_w{window}"
 
-    def prepare(w):
-        return {f"_net_{out}": net}
-
     gated = _gated(out, lambda w: _change_over(f"_net_{out}", window, w), window, partial)
-    return WindowFeature([prepare, *gated.stages], back=window)
+    return WindowFeature(gated.stages, back=window, prepare={f"_net_{out}": net})
 
 
 def _rolling(total: str, window: int, w: WindowSpec) -> Column:
