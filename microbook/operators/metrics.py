@@ -158,16 +158,6 @@ def drift(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) ->
     )
 
 
-def _median_of_counts(counts: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Exact median from (value, n) rows. Values are price differences in half ticks, so there are few distinct ones."""
-    ordered = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumns({"_upto": F.sum("n").over(ordered), "_total": F.sum("n").over(Window.partitionBy(*by))})
-    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-    first = F.max(F.when((low >= F.col("_upto") - F.col("n")) & (low < F.col("_upto")), F.col(value)))
-    second = F.max(F.when((high >= F.col("_upto") - F.col("n")) & (high < F.col("_upto")), F.col(value)))
-    return placed.groupBy(*by).agg(((first + second) / 2.0).alias(out))
-
-
 def summarise_markouts(
     quotes: DataFrame, fills: DataFrame, mids: DataFrame, *, tick_size: int = TICK_SIZE
 ) -> DataFrame:
@@ -177,16 +167,26 @@ def summarise_markouts(
     on entry: it counts as a fill, but has no markout and no quantity); mids: symbol, mid_avg.
     """
     by = ["symbol", "policy"]
+    # Markouts are price differences in half ticks, so there are few distinct ones: everything is read from their counts.
+    counts = fills.groupBy(*by, "markout").agg(F.count("*").alias("n"), F.sum("quantity").alias("_qty"))
     timed = F.col("markout").isNotNull()
-    stats = fills.groupBy(*by).agg(
-        F.count("*").alias("fills"),
-        F.sum(F.when(timed, F.col("quantity"))).alias("fill_qty"),
-        F.avg("markout").alias("_mean"),
-        F.sum("markout").alias("_sum"),
+    counts = counts.withColumn("_timed", F.when(timed, F.col("n")).otherwise(F.lit(0)))
+    ordered = Window.partitionBy(*by).orderBy("markout").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns({"_upto": F.sum("_timed").over(ordered), "_total": F.sum("_timed").over(Window.partitionBy(*by))})
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_upto") - F.col("_timed")) & (rank < F.col("_upto")), F.col("markout")))
+
+    middle = (at_rank(F.floor((F.col("_total") - 1) / 2)) + at_rank(F.floor(F.col("_total") / 2))) / 2.0
+    weighted = F.sum(F.col("markout") * F.col("n"))
+    stats = placed.groupBy(*by).agg(
+        F.sum("n").alias("fills"),
+        F.sum(F.when(timed, F.col("_qty"))).alias("fill_qty"),
+        F.try_divide(weighted, F.sum("_timed")).alias("_mean"),
+        weighted.alias("_sum"),
+        middle.alias("_median"),
     )
-    counts = fills.where(timed).groupBy(*by, "markout").agg(F.count("*").alias("n"))
-    medians = _median_of_counts(counts, by, "markout", "_median")
-    joined = quotes.join(stats, by, "left").join(medians, by, "left").join(mids, ["symbol"], "left")
+    joined = quotes.join(stats, by, "left").join(mids, ["symbol"], "left")
 
     def zero(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from microbook.functions.scalars import imbalance, spread_ticks, symbol_one_hot, warm_flags
@@ -71,10 +71,17 @@ def _trade_rows(trades: DataFrame, chunks: DataFrame, size: int, by: Sequence[st
     return rows.unionByName(carried.select(*keys, F.inline("_before")))
 
 
-def check_vocabulary(vocabulary: Sequence[str] = SYMBOLS):
-    """Column that is NULL for a known symbol and stops the query for an unknown one."""
+def known_symbol(value: Column, vocabulary: Sequence[str] = SYMBOLS) -> Column:
+    """`value` for a known symbol; an unknown one stops the query, because its one-hot columns would all be zero."""
     message = F.concat(F.lit("unknown symbol "), F.coalesce(F.col("symbol"), F.lit("NULL")))
-    return F.when(~F.coalesce(F.col("symbol").isin(*vocabulary), F.lit(False)), F.raise_error(message))
+    return F.when(F.col("symbol").isin(*vocabulary), value).otherwise(F.raise_error(message).cast("double"))
+
+
+def feature_columns(kind: str) -> list[Column]:
+    """The contract's columns in order, NULL filled with 0."""
+    filled = {name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in FEATURE_NAMES}
+    first = FEATURE_NAMES[0]
+    return [(known_symbol(v) if name == first else v).cast(kind).alias(name) for name, v in filled.items()]
 
 
 def build_feature_matrix(
@@ -134,10 +141,7 @@ def build_feature_matrix(
         **warm_flags((50, 200), SEQ),
     }
     looked_up = lookup_microprice(computed.withColumns(derived), table)
-    kind = "float" if as_float else "double"
-    known = F.coalesce(check_vocabulary(), F.lit(0.0))
-    columns = [F.coalesce(F.col(name), known, F.lit(0.0)).cast(kind).alias(name) for name in FEATURE_NAMES[:1]]
-    columns += [F.coalesce(F.col(name).cast("double"), F.lit(0.0)).cast(kind).alias(name) for name in FEATURE_NAMES[1:]]
+    columns = feature_columns("float" if as_float else "double")
     return looked_up.select(*by, SEQ, "ts_ns", *columns, *[f"label_{k}" for k in horizons])
 
 

@@ -4,6 +4,9 @@ File names carry the symbol and the day: `<SYMBOL>_<yyyy-mm-dd>_..._message_<lev
 `..._orderbook_<levels>[_<part>].csv`. All symbols are read in one scan.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +24,13 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType, *, header: bool,
     """CSV rows with the position of their input split and of the row inside the scan."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     reader = spark.read.schema(full).option("header", header).option("mode", mode).option("enforceSchema", True)
-    # Every field is parsed even when few are used: otherwise a bad field that nobody reads would go unnoticed.
-    rows = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
-    incomplete = F.col(CORRUPT).isNotNull() | F.col(schema.names[0]).isNull()
+    rows = reader.option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    # Every field is mandatory. Naming them all here also keeps the reader from skipping fields that the query does not use,
+    # in which case a bad value there would go unnoticed.
+    incomplete = reduce(or_, [F.col(name).isNull() for name in schema.names], F.col(CORRUPT).isNotNull())
     return rows.select(
         *schema.names,
-        F.when(incomplete, F.coalesce(F.col(CORRUPT), F.lit("first field is missing"))).alias(CORRUPT),
+        F.when(incomplete, F.coalesce(F.col(CORRUPT), F.lit("a field is missing"))).alias(CORRUPT),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_scan_row"),
@@ -55,7 +59,7 @@ def _with_file_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "symbol": F.regexp_extract("_file", _NAME, 1),
-            "trade_date": F.try_to_date(F.regexp_extract("_file", _NAME, 2), F.lit("yyyy-MM-dd")),
+            "trade_date": F.try_to_date(F.regexp_extract("_file", _NAME, 2), "yyyy-MM-dd"),
         }
     )
 

@@ -10,14 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from microbook.functions.predicates import TRADE_TYPES
 from microbook.functions.scalars import imbalance, spread_ticks, symbol_one_hot, warm_flags
 from microbook.operators.microprice import MicropriceTable, lookup_microprice
-from microbook.plans.matrix import check_vocabulary
-from microbook.schema import EWMA_ALPHA, FEATURE_NAMES, KEYS, SEQ, SYMBOLS, TICK_SIZE, TOB_COLUMNS
+from microbook.plans.matrix import feature_columns
+from microbook.schema import EWMA_ALPHA, KEYS, SEQ, SYMBOLS, TICK_SIZE, TOB_COLUMNS
 
 SHORT, LONG = 50, 200
 _OUTER = tuple(f"{side}_size_l{i}" for i in (2, 3, 4, 5) for side in ("bid", "ask"))
@@ -165,7 +164,4 @@ def stream_features(windows: DataFrame, table: MicropriceTable, *, as_float: boo
         "imbalance_l1": imbalance(), "spread_ticks": spread_ticks(TICK_SIZE), **symbol_one_hot(SYMBOLS), **warm_flags((50, 200), SEQ),
     }
     looked_up = lookup_microprice(windows.where("status = 'ok'").withColumns(derived), table)
-    kind = "float" if as_float else "double"
-    known = F.coalesce(check_vocabulary(), F.lit(0.0))
-    columns = [F.coalesce(F.col(c).cast("double"), known).cast(kind).alias(c) for c in FEATURE_NAMES]
-    return looked_up.select(*KEYS, SEQ, "ts_ns", *columns)
+    return looked_up.select(*KEYS, SEQ, "ts_ns", *feature_columns("float" if as_float else "double"))
