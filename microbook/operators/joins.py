@@ -78,7 +78,8 @@ def asof_backward(
         carried = chunks.withColumn("_part", all_parts).drop("_parts")
         sizes = chunks.select(*keys, "_parts")
         events = events.join(sizes, keys).withColumn("_part", all_parts).drop("_parts")
-        spread = F.pmod(F.monotonically_increasing_id(), F.col("_parts").cast("bigint")).cast("int")
+        # A hash of the row, not a row counter: a recomputed task must place its rows as before.
+        spread = F.pmod(F.xxhash64(*left.columns), F.col("_parts").cast("bigint")).cast("int")
         rows = rows.join(sizes, keys).withColumn("_part", spread).drop("_parts")
     stacked = (
         rows.withColumn("_side", F.lit(1))

@@ -17,7 +17,7 @@ from microbook.operators.windows import WindowFeature, add_features
 from microbook.partitioning import CHUNK
 from microbook.schema import IMBALANCE_BUCKETS, KEYS, SEQ, SPREAD_BUCKETS, TICK_SIZE
 
-MAX_STATES = 2_048
+MAX_STATES = 1_024
 CELLS = T.StructType(
     [T.StructField("imb_bucket", T.IntegerType()), T.StructField("sp_bucket", T.IntegerType()), T.StructField("g", T.DoubleType())]
 )
