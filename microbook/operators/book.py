@@ -204,6 +204,12 @@ def order_lifecycle(classified: DataFrame, *, by: Sequence[str] = KEYS) -> DataF
 # --- price levels -------------------------------------------------------------------------------------------------
 
 
+def depth_change() -> Column:
+    """What a message adds to the visible size at its side and price. A hidden execution changes nothing."""
+    kind, size = F.col("event_type"), F.col("size")
+    return F.when(kind == 1, size).when(kind.isin(2, 3, 4), -size).otherwise(F.lit(0))
+
+
 def depth_by_level(
     messages: DataFrame, initial_depth: DataFrame | None = None, *, by: Sequence[str] = KEYS, size: int = CHUNK
 ) -> DataFrame:
@@ -212,8 +218,7 @@ def depth_by_level(
     `initial_depth` (by, side, price, size) is what rested before the first message; without it, removals of unseen orders
     are clipped at zero. A hidden execution changes nothing.
     """
-    change = F.when(F.col("event_type") == 1, F.col("size")).when(F.col("event_type").isin(2, 3, 4), -F.col("size")).otherwise(F.lit(0))
-    rows = messages.withColumn("_change", change)
+    rows = messages.withColumn("_change", depth_change())
     if initial_depth is not None:
         start = initial_depth.select(*by, "side", "price", F.lit(-1).cast("bigint").alias(SEQ), F.col("size").alias("_change"))
         rows = rows.unionByName(start, allowMissingColumns=True)
@@ -247,27 +252,37 @@ def ladder_over_time(
 ) -> DataFrame:
     """Best `levels` prices and sizes of both sides after each message; NULL price and size 0 where a side is shallower.
 
-    The stream is cut into chunks of `size` messages. Each chunk also gets the levels that are live when it starts, so
-    chunks are independent, and their rows are bounded by `size` plus the number of live price levels.
+    The stream is cut into chunks of `size` messages. Each chunk also gets what its levels hold when it starts, so chunks are
+    independent, and their rows are bounded by `size` plus the number of live price levels. Messages are shuffled once;
+    the opening sizes come from sums per level and chunk.
     """
-    depth = depth_by_level(messages, initial_depth, by=by).select(*by, SEQ, "side", "price", "depth")
-    depth = depth.withColumn("_chunk", F.expr(f"{SEQ} div {size}"))
+    chunk = F.expr(f"{SEQ} div {size}")
+    moves = messages.select(*by, SEQ, "side", "price", depth_change().cast("bigint").alias("change"), chunk.alias("_chunk"))
     level = [*by, "side", "price"]
-    closing = depth.groupBy(*level, "_chunk").agg(F.max_by("depth", SEQ).alias("depth"))
+    sums = moves.groupBy(*level, "_chunk").agg(F.sum("change").alias("change"))
     if initial_depth is not None:
-        start = initial_depth.select(*level, F.lit(-1).cast("bigint").alias("_chunk"), F.col("size").alias("depth"))
-        closing = closing.unionByName(start)
-    ends = depth.groupBy(*by).agg(F.max("_chunk").alias("_end"))
-    until = F.coalesce(F.lead("_chunk").over(Window.partitionBy(*level).orderBy("_chunk")), F.col("_end"))
+        start = initial_depth.select(
+            *by, F.col("side").cast("tinyint").alias("side"), "price", F.lit(-1).cast("bigint").alias("_chunk"), F.col("size").alias("change")
+        )
+        sums = sums.unionByName(start)
+    ends = messages.groupBy(*by).agg(F.max(chunk).alias("_end"))
+    ordered = Window.partitionBy(*level).orderBy("_chunk")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = sums.withColumns({"_next": F.lead("_chunk").over(ordered), "change": F.sum("change").over(so_far)})
     opening = (
-        closing.join(ends, list(by)).withColumn("_until", until).where("depth > 0 AND _until > _chunk")
+        held.join(ends, list(by)).withColumn("_until", F.coalesce("_next", "_end")).where("change <> 0 AND _until > _chunk")
         .withColumn("_chunk", F.explode(F.expr("sequence(_chunk + 1, _until)")))
-        .select(*level, "_chunk", "depth", F.lit(None).cast("bigint").alias(SEQ))
+        .select(*level, "_chunk", "change", F.lit(None).cast("bigint").alias(SEQ))
     )
     wide = ", ".join(f"{side}_price_l{i} bigint, {side}_size_l{i} bigint" for i in range(1, levels + 1) for side in ("bid", "ask"))
     kinds = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", {SEQ} bigint, {wide}"
-    return depth.unionByName(opening).groupBy(*by, "_chunk").applyInPandas(sweep_chunk(list(by), levels), schema)
+    run = sweep_chunk(list(by), levels)
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return run(key[:-1], rows)
+
+    return moves.unionByName(opening).groupBy(*by, "_chunk").applyInPandas(one, schema)
 
 
 def best_prices(messages: DataFrame, initial_depth: DataFrame | None = None, *, by: Sequence[str] = KEYS, size: int = LADDER_CHUNK) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Sorted price levels of one chunk of messages (small helper behind `book.ladder_over_time`)."""
+"""Sorted price levels of one run of messages (small helper behind the ladder operators, batch and streaming)."""
 
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 
 
@@ -27,22 +28,38 @@ class _Side:
         return out + [(None, 0)] * (levels - len(out))
 
 
-def sweep_chunk(by: list[str], levels: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def add_totals(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows in event order with `total`, the running sum of `change` at the row's side and price.
+
+    Rows without `seq` state what a level held before.
+    """
+    ordered = rows.sort_values("seq", na_position="first", kind="stable")
+    return ordered.assign(total=ordered.groupby(["side", "price"])["change"].cumsum())
+
+
+def sweep(rows: pd.DataFrame, levels: int) -> pd.DataFrame:
+    """Best levels of both sides after each row that has a `seq`; a negative total counts as an empty level."""
     names = [f"{side}_{what}_l{i}" for i in range(1, levels + 1) for side in ("bid", "ask") for what in ("price", "size")]
+    sides = {1: _Side(1), -1: _Side(-1)}
+    found, seqs = [], []
+    for seq, side, price, total in zip(rows["seq"], rows["side"], rows["price"], rows["total"]):
+        sides[side].put(price, total)
+        if not np.isnan(seq):
+            seqs.append(int(seq))
+            found.append([v for pair in zip(sides[1].top(levels), sides[-1].top(levels)) for cell in pair for v in cell])
+    out = pd.DataFrame(found, columns=names, dtype="Int64")
+    out.insert(0, "seq", seqs)
+    return out
+
+
+def with_keys(out: pd.DataFrame, names: Sequence[str], values: Sequence) -> pd.DataFrame:
+    for position, (name, value) in enumerate(zip(names, values)):
+        out.insert(position, name, value)
+    return out
+
+
+def sweep_chunk(by: list[str], levels: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def run(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
+        return with_keys(sweep(add_totals(chunk), levels), by, key)
 
-    def sweep(chunk: pd.DataFrame) -> pd.DataFrame:
-        rows = chunk.sort_values("seq", na_position="first")
-        sides = {1: _Side(1), -1: _Side(-1)}
-        found, seqs = [], []
-        for seq, side, price, depth in zip(rows["seq"], rows["side"], rows["price"], rows["depth"]):
-            sides[side].put(price, depth)
-            if seq == seq:  # rows without an index only open the chunk
-                seqs.append(int(seq))
-                found.append([v for pair in zip(sides[1].top(levels), sides[-1].top(levels)) for cell in pair for v in cell])
-        out = pd.DataFrame(found, columns=names, dtype="Int64")
-        out.insert(0, "seq", seqs)
-        for position, key in enumerate(by):
-            out.insert(position, key, chunk[key].iloc[0] if len(chunk) else None)
-        return out
-
-    return sweep
+    return run

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from microbook.operators.ladder import sweep_chunk
+from microbook.operators.ladder import add_totals, sweep, with_keys
 from microbook.schema import KEYS, SEQ
 
 _SIGN = {1: 1, 2: -1, 3: -1, 4: -1}
@@ -37,27 +37,21 @@ def stream_depth(messages: DataFrame) -> DataFrame:
 
 
 def _book_updater(levels: int):
-    sweep = sweep_chunk(list(KEYS), levels)
-
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(SEQ)
         last_seq, sides, prices, totals = state.get if state.exists else (-1, [], [], [])
         rows = rows[rows[SEQ] > last_seq]
         if not len(rows):
             return
-        opening = pd.DataFrame({"side": sides, "price": prices, "_change": totals}, dtype="int64").assign(**{SEQ: np.nan})
-        moves = rows[[SEQ, "side", "price"]].assign(_change=_changes(rows))
-        book = pd.concat([opening, moves]) if len(opening) else moves
-        book["_total"] = book.groupby(["side", "price"])["_change"].cumsum()
-        last = book.groupby(["side", "price"])["_total"].last()
+        opening = pd.DataFrame({"side": sides, "price": prices, "change": totals}, dtype="int64").assign(**{SEQ: np.nan})
+        moves = rows[[SEQ, "side", "price"]].assign(change=_changes(rows))
+        book = add_totals(pd.concat([opening, moves]) if len(opening) else moves)
+        last = book.groupby(["side", "price"])["total"].last()
         last = last[last != 0]
         state.update(
             (int(rows[SEQ].iloc[-1]), last.index.get_level_values(0).tolist(), last.index.get_level_values(1).tolist(), last.tolist())
         )
-        book["depth"] = book["_total"].clip(lower=0)
-        for name, value in zip(KEYS, key):
-            book[name] = value
-        yield sweep(book[[*KEYS, SEQ, "side", "price", "depth"]])
+        yield with_keys(sweep(book, levels), KEYS, key)
 
     return update
 
