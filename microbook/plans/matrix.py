@@ -21,11 +21,13 @@ from microbook.operators.windows import (
     run_stages,
     spread_zscore,
 )
-from microbook.partitioning import CHUNK, halo_chunks
+from microbook.partitioning import halo_chunks
 from microbook.schema import EWMA_ALPHA, FEATURE_NAMES, KEYS, SEQ, SYMBOLS, TICK_SIZE, TOB_COLUMNS
 
 FLOWS = ("signed_trade_flow_50", "tfi_50")
 FLOW_TRADES = 50
+# Smaller than the general chunk: rows are wide here, and many even chunks balance better than few. The halo adds a tenth.
+MATRIX_CHUNK = 8_192
 _OUTER_LEVELS = (2, 3, 4, 5)
 
 
@@ -92,7 +94,7 @@ def build_feature_matrix(
     horizons: Sequence[int] = (),
     ties: str = "seq",
     by: Sequence[str] = KEYS,
-    size: int = CHUNK,
+    size: int = MATRIX_CHUNK,
     as_float: bool = True,
 ) -> DataFrame:
     """Keys, `ts_ns`, the features in contract order and a NULL-able `label_<k>` for each of `horizons`.

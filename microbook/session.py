@@ -15,6 +15,8 @@ def get_spark(app: str = "microbook", cores: str | None = None, **conf: str) ->
         builder = builder.config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
         builder = builder.config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    # Recording the Python call site of each column costs milliseconds, seconds for a plan with hundreds of columns.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -160,3 +160,13 @@ def test_book_at_and_locate(spark):
     assert rows(at, "at_seq", "order_id", "side", "price", "remaining") == [(1, 1, 1, 100, 5), (1, 2, -1, 105, 4), (3, 1, 1, 100, 3)]
     ids = spark.createDataFrame([("AAPL", DAY, 1), ("AAPL", DAY, 2)], "symbol string, trade_date date, order_id bigint")
     assert rows(B.locate_orders(ids, at.where("at_seq = 3")), "order_id", "remaining") == [(1, 3)]
+
+
+def test_ladder_with_initial_depth(spark):
+    df = message(spark, (1, 1, 1, 10, 100), (3, 0, -1, 4, 105), (3, 0, -1, 2, 105), (1, 2, -1, 3, 104))
+    start = spark.createDataFrame([("AAPL", DAY, -1, 105, 6), ("AAPL", DAY, -1, 107, 1)], "symbol string, trade_date date, side bigint, price bigint, size bigint")
+    for size in (1, 2, 100):
+        out = B.ladder_over_time(df, 2, start, size=size)
+        assert column(out, "ask_price_l1") == [105, 105, 107, 104]
+        assert column(out, "ask_size_l1") == [6, 2, 1, 3]
+        assert column(out, "ask_price_l2") == [107, 107, None, 107]
