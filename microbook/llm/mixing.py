@@ -20,7 +20,7 @@ from microbook.partitioning import running_sum
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 8_192
 #: 13 hexadecimal digits: 52 bits, exact in a double.
 _DIGITS, _SPAN = 13, float(16**13)
 
