@@ -20,6 +20,8 @@ from microbook.llm.tables import new_folder, stored
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Space set aside ahead of use costs megabytes per state partition, also for a small one.
+PREALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 #: Feed files of one micro-batch: bounds the rows of a batch, not what is read in all.
 FILES_PER_BATCH = 10_000
 
@@ -47,7 +49,7 @@ def ingest(feed_path: str, feed: DataFrame, state: str, *, files_per_batch: int
     spark = feed.sparkSession
     rows = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed_path)
     keyed = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("n"))
-    with _setting(spark, PROVIDER, ROCKSDB):
+    with _setting(spark, PROVIDER, ROCKSDB), _setting(spark, PREALLOCATE, "false"):
         query = (
             keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
         )
