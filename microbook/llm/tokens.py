@@ -14,18 +14,19 @@ import pyarrow.compute as pc
 #: White space beside a space: there the byte-level pattern looks beyond the word, and the library gets the whole text.
 _BESIDE_SPACE = "[\\s\\pZ\\x{85}\\x{1c}-\\x{1f}\\x{0b}] | [\\s\\pZ\\x{85}\\x{1c}-\\x{1f}\\x{0b}]|^ | $"
 #: Words that a worker keeps, about 100 bytes each; beyond it words are encoded as they come and forgotten with their batch.
-WORDS_KEPT = 1_000_000
-SLICE_BYTES = 8 << 20
+WORDS_KEPT = 400_000
+#: Text that is encoded at once; numpy holds some forty times as much meanwhile.
+SLICE_BYTES = 2 << 20
 
 
-def slices(batches, column: str, most: int = SLICE_BYTES):
-    """The batches cut so that the texts of one slice have about `most` bytes; a longer text is a slice of its own."""
+def slices(batches, column: str, most: int = SLICE_BYTES, most_rows: int = 1 << 31):
+    """The batches cut so that the texts of one slice have up to `most` bytes; a longer text is a slice of its own."""
     for batch in batches:
         texts = batch.column(column)
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at, done = 0, 0
         while at < batch.num_rows:
-            upto = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            upto = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, done + most, side="right"))))
             yield batch.slice(at, upto - at)
             at, done = upto, int(ends[upto - 1])
 
