@@ -6,6 +6,7 @@ words of a batch, the library encodes those that the worker has not met, numpy p
 """
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,10 @@ import pyarrow.compute as pc
 
 #: White space beside a space: there the byte-level pattern looks beyond the word, and the library gets the whole text.
 _BESIDE_SPACE = "[\\s\\pZ\\x{85}\\x{1c}-\\x{1f}\\x{0b}] | [\\s\\pZ\\x{85}\\x{1c}-\\x{1f}\\x{0b}]|^ | $"
-#: Words that a worker keeps, about 100 bytes each; beyond it words are encoded as they come and forgotten with their batch.
-WORDS_KEPT = 400_000
+#: Words that a worker keeps, about 200 bytes each; beyond it words are encoded as they come and forgotten with their batch.
+WORDS_KEPT = 600_000
 #: Text that is encoded at once; numpy holds some forty times as much meanwhile.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 20
 
 
 def slices(batches, column: str, most: int = SLICE_BYTES, most_rows: int = 1 << 31):
@@ -42,19 +43,16 @@ class Encoder:
         self._library.encode_special_tokens = True
         self._word_level, self._words_kept = word_level, words_kept
         self._known: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        self._forget()
+        self._ids, self._used = np.zeros(1 << 16, np.uint32), 0
+        self._begin, self._length, self._words = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self._kept = 0, 0  # words and ids that stay
 
     @property
     def vocabulary_size(self) -> int:
         return self._library.get_vocab_size(with_added_tokens=True)
 
-    def _forget(self) -> None:
-        for words in self._known:
-            words.clear()
-        self._ids, self._used = np.zeros(1 << 16, np.uint32), 0
-        self._begin, self._length, self._words = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def _learn(self, words: list[str], known: dict[str, int], before: str) -> None:
+    def _learn(self, words: list[str], before: str) -> int:
+        """Put the ids of `words` behind those there are; returns the first one's number."""
         found = self._library.encode_batch_fast([before + w for w in words], add_special_tokens=False)
         ids = [e.ids for e in found]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -64,28 +62,35 @@ class Encoder:
         while self._words + len(words) > len(self._begin):
             self._begin = np.concatenate([self._begin, np.zeros_like(self._begin)])
             self._length = np.concatenate([self._length, np.zeros_like(self._length)])
-        self._ids[self._used : self._used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        span = slice(self._words, self._words + len(words))
+        self._ids[self._used : self._used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        first = self._words
+        span = slice(first, first + len(words))
         self._begin[span] = self._used + np.cumsum(lengths) - lengths
         self._length[span] = lengths
-        known.update(zip(words, range(self._words, self._words + len(words)), strict=True))
-        self._used, self._words = self._used + total, self._words + len(words)
+        self._used, self._words = self._used + total, first + len(words)
+        return first
 
-    def _entries(self, words: pa.Array, first: bool) -> np.ndarray:
-        """Where the ids of each word are kept."""
+    def _entries(self, words: pa.Array, head: bool) -> np.ndarray:
+        """Where the ids of each word are. Words met once the table is full stay only until the next texts."""
         coded = words.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        known = self._known[first]
-        missing = [w for w in names if w not in known]
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        known = self._known[head]
+        at = list(map(known.get, names))
+        missing = [k for k, number in enumerate(at) if number is None]
         if missing:
-            self._learn(missing, known, "" if first or self._word_level else " ")
-        return np.fromiter((known[w] for w in names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
+            new = [names[k] for k in missing]
+            first = self._learn(new, "" if head or self._word_level else " ")
+            for number, k in enumerate(missing, first):
+                at[k] = number
+            if first == self._kept[0] and first < self._words_kept:
+                known.update(zip(new, range(first, self._words), strict=True))
+                self._kept = self._words, self._used
+        return np.array(at, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each; NULL is an empty text."""
         texts = pc.fill_null(texts, "")
-        if self._words > self._words_kept:
-            self._forget()
+        self._words, self._used = self._kept
         if self._word_level:
             return self._by_words(pc.ascii_lower(texts))
         odd = pc.match_substring_regex(texts, _BESIDE_SPACE).to_numpy(zero_copy_only=False)
