@@ -18,22 +18,28 @@ from pyspark.sql import functions as F
 
 from microbook.llm.tables import new_folder, stored
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Space set aside ahead of use costs megabytes per state partition, also for a small one.
-PREALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+#: State on disk. Space set aside ahead of use would cost megabytes per state partition, and without the bound each partition of
+#: an executor has write buffers of its own.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 #: Feed files of one micro-batch: bounds the rows of a batch, not what is read in all.
 FILES_PER_BATCH = 10_000
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def parquet_locator() -> Column:
@@ -49,7 +55,7 @@ def ingest(feed_path: str, feed: DataFrame, state: str, *, files_per_batch: int
     spark = feed.sparkSession
     rows = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed_path)
     keyed = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("n"))
-    with _setting(spark, PROVIDER, ROCKSDB), _setting(spark, PREALLOCATE, "false"):
+    with _settings(spark, STATE_STORE):
         query = (
             keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
         )
