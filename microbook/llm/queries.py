@@ -5,12 +5,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from microbook.llm import exact_dedup, mixing, packing, token_ids, toxicity, warc
+from microbook.llm import exact_dedup, mixing, ngram_join, packing, token_ids, toxicity, warc
 from microbook.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_token_ids": op4_token_ids,
