@@ -1,24 +1,45 @@
-"""From raw documents to a training mix: each stage is written as Parquet and read again as the next one's input."""
+"""From raw documents to packed training sequences: each stage is written as Parquet and read again as the next one's input."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from microbook.llm.exact_dedup import keep_one, parquet_locator
-from microbook.llm.mixing import mixed_documents
+from microbook.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from microbook.llm.tables import stored, table
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from `labels` alone which those are."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return keep_one(docs, locator=parquet_locator())
+    return exact_dedup.keep_one(docs, locator=exact_dedup.parquet_locator())
+
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that similarity of word shingles connects the smallest doc_id stays."""
+    return ngram_join.keep_one(docs)
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return mixed_documents(docs)
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document, repeats too, with its place in a sequence."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", exact_copies), ("mixing sources", mixing)]
-#: Tokenised packing is not expressible in SQL; tests hold the stages against brute force.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Classifier, components and token ids are not expressible in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from microbook.llm import exact_dedup, mixing, ngram_join, packing, token_ids, toxicity, warc
+from microbook.llm import exact_dedup, licenses, mixing, ngram_join, nn_descent, packing, token_counts, token_ids, toxicity, warc
 from microbook.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), 2, word_level=True)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,6 +40,14 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), locator=exact_dedup.parquet_locator())
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -46,11 +58,30 @@ QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_token_ids": op4_token_ids,
+    "op5_token_counts": op5_token_counts,
     "op6_mix_sources": op6_mix_sources,
     "op7_pattern_packing": op7_pattern_packing,
+    "op8_nn_descent": op8_nn_descent,
+    "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"translate(coalesce({text}, ''), '{licenses._UPPER}', '{licenses._LOWER}')"
+    out = f"regexp_replace({out}, '{licenses.COPYRIGHT_LINE}', '\\1', 'g')"
+    for spelling, usual in licenses.SPELLINGS:
+        out = f"replace({out}, '{spelling}', '{usual}')"
+    return f"regexp_replace({out}, '{licenses.PUNCTUATION}', ' ', 'g')"
+
+
+def _whole_sql(lines: str) -> str:
+    return f"sha256(trim(regexp_replace({lines}, '[ \n]+', ' ', 'g')))"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         WITH sized AS (
@@ -99,6 +130,22 @@ ORACLE_SQL: dict[str, str] = {
                CAST(size * (whole + CASE WHEN (in_first AND rest > 0) OR in_second THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM topped
     """,
+    "op9_license_scan": f"""
+        WITH known AS (
+            SELECT digest, min(license_id) AS license_id
+            FROM (SELECT license_id, {_whole_sql(_canonical_sql("t"))} AS digest FROM (VALUES {_KNOWN_SQL}) v(license_id, t)) GROUP BY digest
+        ), canonical AS (
+            SELECT doc_id, {_canonical_sql("text")} AS lines FROM documents
+        ), hits AS (
+            SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS ids
+            FROM (SELECT doc_id, trim(unnest(string_split(lines, chr(10)))) AS line FROM canonical) u
+            JOIN known ON sha256(line) = digest
+            WHERE line <> ''
+            GROUP BY doc_id
+        )
+        SELECT c.doc_id, {_whole_sql("lines")} AS text_digest, license_id, coalesce(n, 0) AS n_license_lines, ids AS line_license_ids
+        FROM canonical c LEFT JOIN known ON {_whole_sql("lines")} = digest LEFT JOIN hits ON c.doc_id = hits.doc_id
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
                sha256(coalesce(text, '')) AS text_sha256
