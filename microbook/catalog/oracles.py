@@ -139,21 +139,23 @@ classified AS (SELECT symbol, seq, kind, order_id, side, price, qty,
    CAST(CASE WHEN kind = 'limit' THEN qty WHEN kind = 'cancel' THEN live ELSE least(qty, live) END AS BIGINT) AS effective_qty,
    CAST(CASE WHEN kind = 'limit' THEN qty WHEN kind = 'cancel' THEN 0 ELSE live - least(qty, live) END AS BIGINT) AS remaining,
    (kind = 'limit' OR live > 0) AS accepted FROM oc)"""
-_DEPTH = """, dp AS (SELECT *, greatest(CAST(SUM(CASE event_type WHEN 1 THEN size WHEN 5 THEN 0 ELSE -size END)
+_STREAM_DEPTH = """, dp AS (SELECT *, greatest(CAST(SUM(CASE event_type WHEN 1 THEN size WHEN 5 THEN 0 ELSE -size END)
    OVER (PARTITION BY symbol, side, price ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT), 0) AS depth FROM messages)"""
-_LEVELS = (
-    _DEPTH
-    + """, iv AS (SELECT symbol, side, price, seq AS lo, coalesce(lead(seq) OVER (PARTITION BY symbol, side, price ORDER BY seq), 1000000000000) AS hi, depth FROM dp),
+# A level holds what accepted events left there.
+_DEPTH = _ORDERS + """, dp AS (SELECT m.*, CAST(SUM(coalesce(CASE WHEN c.kind = 'limit' THEN c.effective_qty ELSE -c.effective_qty END, 0))
+   OVER (PARTITION BY m.symbol, m.side, m.price ORDER BY m.seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth
+   FROM messages m LEFT JOIN classified c ON c.symbol = m.symbol AND c.seq = m.seq)"""
+_ALIVE = """, iv AS (SELECT symbol, side, price, seq AS lo, coalesce(lead(seq) OVER (PARTITION BY symbol, side, price ORDER BY seq), 1000000000000) AS hi, depth FROM dp),
 alive AS (SELECT m.symbol, m.seq, iv.side, iv.price, iv.depth,
    ROW_NUMBER() OVER (PARTITION BY m.symbol, m.seq, iv.side ORDER BY -iv.side * iv.price) AS rk
    FROM messages m JOIN iv ON iv.symbol = m.symbol AND iv.lo <= m.seq AND m.seq < iv.hi AND iv.depth > 0)"""
-)
-_POSITIONS = "(VALUES (500), (1000), (1500)) AS v(at_seq)"
+_LEVELS = _DEPTH + _ALIVE
+_POSITIONS = "(SELECT symbol, CAST(floor(max(seq) * unnest([0.25, 0.5, 1.0]::DOUBLE[])) AS BIGINT) AS at_seq FROM messages GROUP BY symbol) v"
 _RESTING = f"""{_ORDERS}, rest AS (SELECT v.at_seq, c.symbol, c.order_id,
    CAST(SUM(CASE WHEN c.kind = 'limit' THEN c.effective_qty ELSE -c.effective_qty END) AS BIGINT) AS remaining,
    MAX(CASE WHEN c.kind = 'limit' THEN c.side END) AS side, MAX(CASE WHEN c.kind = 'limit' THEN c.price END) AS price,
    MAX(CASE WHEN c.kind = 'limit' THEN c.seq END) AS entry_seq
-   FROM classified c JOIN {_POSITIONS} ON c.seq <= v.at_seq WHERE c.accepted GROUP BY 1, 2, 3),
+   FROM classified c JOIN {_POSITIONS} ON c.symbol = v.symbol AND c.seq <= v.at_seq WHERE c.accepted GROUP BY 1, 2, 3),
 resting AS (SELECT * FROM rest WHERE remaining > 0)"""
 _SNAP_ORDERS = """, so AS (SELECT symbol, seq, CASE WHEN rid % 2 = 0 THEN 1 ELSE -1 END AS side,
    CASE rid % 3 WHEN 0 THEN 'limit' WHEN 1 THEN 'market' ELSE 'ioc' END AS kind,
@@ -242,8 +244,9 @@ def oracle_sql() -> dict[str, str]:
       (SELECT symbol, ts_ns, MAX(seq) AS last_seq, arg_max(bid_size_l1, seq) AS last_rid FROM book_large WHERE h % 5 = 0 GROUP BY 1, 2) t
       ON b.symbol = t.symbol AND b.ts_ns >= t.ts_ns""")
     cells["microprice_lookup"] = _q(BOOK, f"SELECT symbol, seq, {FIXED_TABLE_SQL} AS g FROM book")
-    cells["locate_orders"] = _q(MESSAGES + _RESTING, """SELECT r.at_seq, r.symbol, r.order_id, r.side, r.price, r.remaining FROM resting r
-      JOIN (SELECT DISTINCT symbol, order_id FROM messages WHERE event_type = 4) x USING (symbol, order_id) WHERE r.at_seq = 1500""")
+    cells["locate_orders"] = _q(MESSAGES + _RESTING, """SELECT r.symbol, r.order_id, r.side, r.price, r.remaining FROM resting r
+      JOIN (SELECT DISTINCT symbol, order_id FROM messages WHERE event_type = 4) x USING (symbol, order_id)
+      WHERE r.at_seq = (SELECT max(seq) FROM messages m WHERE m.symbol = r.symbol)""")
     cells["unknown_cancels"] = _q(MESSAGES + _ORDERS, "SELECT symbol, seq, order_id FROM classified WHERE kind = 'cancel' AND reason IS NOT NULL")
     cells["future_mid"] = _q(BOOK, """, x AS (SELECT symbol, MAX(seq) AS last_seq FROM book GROUP BY 1)
       SELECT a.symbol, a.seq, (b.bid_price_l1 + b.ask_price_l1) // 2 AS future_mid FROM book a JOIN x USING (symbol)
@@ -347,7 +350,7 @@ def oracle_sql() -> dict[str, str]:
     cells["book_at"] = _q(MESSAGES + _RESTING, "SELECT at_seq, symbol, order_id, side, price, remaining, entry_seq FROM resting")
     cells["level_sizes"] = _q(MESSAGES + _RESTING, "SELECT at_seq, symbol, side, price, CAST(SUM(remaining) AS BIGINT) AS quantity, COUNT(*) AS orders FROM resting GROUP BY 1, 2, 3, 4")
     cells["queue_ahead"] = _q(MESSAGES + _DEPTH, "SELECT symbol, seq, order_id, greatest(depth - size, 0) AS queue_ahead FROM dp WHERE event_type = 1")
-    cells["book_invariants"] = _q(MESSAGES + _ORDERS + _LEVELS, """, tops AS (SELECT symbol, seq, MAX(price) FILTER (side = 1) AS b, MIN(price) FILTER (side = -1) AS a FROM alive WHERE rk = 1 GROUP BY 1, 2),
+    cells["book_invariants"] = _q(MESSAGES + _LEVELS, """, tops AS (SELECT symbol, seq, MAX(price) FILTER (side = 1) AS b, MIN(price) FILTER (side = -1) AS a FROM alive WHERE rk = 1 GROUP BY 1, 2),
       ids AS (SELECT symbol, order_id, COUNT(*) FILTER (kind = 'limit') AS i, COUNT(*) FILTER (kind = 'cancel') AS o, MIN(remaining) AS lo FROM classified WHERE accepted GROUP BY 1, 2)
       SELECT 'crossed' AS "check", COUNT(*) FILTER (b >= a) AS violations FROM tops UNION ALL SELECT 'empty_top', 0
       UNION ALL SELECT 'double_cancel', COUNT(*) FILTER (o > i) FROM ids UNION ALL SELECT 'negative_remaining', COUNT(*) FILTER (lo < 0) FROM ids""")
@@ -363,8 +366,8 @@ def oracle_sql() -> dict[str, str]:
       + """, (mx.seq >= 50)::INT::DOUBLE AS is_warm_50, (mx.seq >= 200)::INT::DOUBLE AS is_warm_200
       FROM mx ASOF LEFT JOIN flows f ON mx.symbol = f.symbol AND mx.seq >= f.seq""")
     cells["stream_features"] = cells["feature_matrix"]
-    cells["stream_depth"] = cells["depth_by_level"]
-    cells["stream_best_prices"] = cells["best_prices"]
+    cells["stream_depth"] = _q(MESSAGES + _STREAM_DEPTH, "SELECT symbol, seq, side, price, depth FROM dp")
+    cells["stream_best_prices"] = cells["best_prices"].replace(_DEPTH, _STREAM_DEPTH)
     cells["stream_order_ops"] = cells["route_order_ops"]
     cells["stream_event_log"] = _q(MESSAGES, "SELECT symbol, seq, ts_ns, event_type, order_id, side, size, price FROM messages")
     cells["labelled_dataset"] = _q(BOOK + _LABEL.format(k=10), f"SELECT symbol, {_CLASS} AS label, COUNT(*) AS n FROM lab WHERE mv IS NOT NULL GROUP BY 1, 2")

@@ -34,7 +34,7 @@ KEY = ("symbol", "seq")
 FLOATS = ("float", "double")
 # Table used where a query needs a fitted one as a given: g = 2.5 * (imbalance bucket - 5) + 0.5 * spread bucket.
 GIVEN_TABLE = G.MicropriceTable(tuple(tuple((i - 5) * 2.5 + s * 0.5 for s in range(5)) for i in range(11)))
-POSITIONS = (500, 1000, 1500)
+PARTS = (0.25, 0.5, 1.0)
 
 
 def query(function: Query) -> Query:
@@ -229,11 +229,17 @@ def _classified(spark, sf):
     return B.classify_order_events(B.order_events_of(fx.messages(spark, sf)))
 
 
+def _positions(spark, sf, parts=PARTS):
+    """A quarter, half and all of each symbol's events."""
+    last = fx.messages(spark, sf).groupBy(*KEYS).agg(F.max("seq").alias("last"))
+    return last.select(*KEYS, F.explode(F.array(*[F.floor(F.col("last") * p).cast("bigint") for p in parts])).alias("at_seq"))
+
+
 @query
 def locate_orders(spark, sf):
-    resting = B.book_at(_classified(spark, sf), [1500])
+    resting = B.book_at(_classified(spark, sf), _positions(spark, sf, (1.0,)))
     ids = fx.messages(spark, sf).where("event_type = 4").select(*KEYS, "order_id").distinct()
-    return B.locate_orders(ids, resting).select(F.lit(1500).cast("bigint").cast("int").alias("at_seq"), "symbol", "order_id", "side", "price", "remaining")
+    return B.locate_orders(ids, resting.withColumnRenamed("at_seq", "_at")).select("symbol", "order_id", "side", "price", "remaining")
 
 
 @query
@@ -440,8 +446,8 @@ def best_horizon(spark, sf):
 @query
 def top_of_ladder(spark, sf):
     by = ("at_seq", *KEYS)
-    sizes = B.level_sizes(B.book_at(_classified(spark, sf), POSITIONS), by=by)
-    return B.top_levels(sizes, 5, by=by).withColumn("at_seq", F.col("at_seq").cast("int")).drop("trade_date")
+    sizes = B.level_sizes(B.book_at(_classified(spark, sf), _positions(spark, sf)), by=by)
+    return B.top_levels(sizes, 5, by=by).drop("trade_date")
 
 
 @query
@@ -483,6 +489,29 @@ def classify_order_events(spark, sf):
     return _classified(spark, sf).select(*KEY, "kind", "order_id", "accepted", "reason", "effective_qty", "remaining")
 
 
+def _all_replaces(spark, sf):
+    """Replaces of missing orders, onto live ids, onto themselves and without quantity among the others."""
+    seq, rows = F.col("seq"), _replace_events(spark, sf)
+    replaced = F.col("kind") == "replace"
+    return rows.withColumns(
+        {
+            "order_id": F.when(replaced & (seq % 7 == 0), F.col("old_id")).when(replaced & (seq % 11 == 0), F.lit(7)).otherwise(F.col("order_id")),
+            "qty": F.when(replaced & (seq % 13 == 0), 0).otherwise(F.col("qty")),
+        }
+    )
+
+
+@query
+def classify_replaces(spark, sf):
+    return B.classify_replaces(_all_replaces(spark, sf)).drop("trade_date")
+
+
+@query
+def accepted_events(spark, sf):
+    events = _all_replaces(spark, sf)
+    return B.accepted_events(events, B.classify_replaces(events)).select(*KEY, "kind", "order_id")
+
+
 @query
 def order_lifecycle(spark, sf):
     return B.order_lifecycle(_classified(spark, sf)).drop("trade_date")
@@ -521,20 +550,20 @@ def sweep_ladder(spark, sf):
 
 @query
 def book_at(spark, sf):
-    return B.book_at(_classified(spark, sf), POSITIONS).withColumn("at_seq", F.col("at_seq").cast("int")).drop("trade_date")
+    return B.book_at(_classified(spark, sf), _positions(spark, sf)).drop("trade_date")
 
 
 @query
 def level_sizes(spark, sf):
     by = ("at_seq", *KEYS)
-    sizes = B.level_sizes(B.book_at(_classified(spark, sf), POSITIONS), by=by)
-    return sizes.withColumn("at_seq", F.col("at_seq").cast("int")).drop("trade_date")
+    sizes = B.level_sizes(B.book_at(_classified(spark, sf), _positions(spark, sf)), by=by)
+    return sizes.drop("trade_date")
 
 
 @query
 def sweep_orders(spark, sf):
     by = ("at_seq", *KEYS, "sweep")
-    resting = B.book_at(_classified(spark, sf), POSITIONS)
+    resting = B.book_at(_classified(spark, sf), _positions(spark, sf))
     sides = F.array(F.lit(1).cast("tinyint"), F.lit(-1).cast("tinyint"))
     incoming = resting.select("at_seq", *KEYS).distinct().withColumn("side", F.explode(sides)).select(
         "at_seq", *KEYS, F.col("side").alias("sweep"), F.lit(999_999_999).alias("taker_id"), "side",
@@ -542,7 +571,7 @@ def sweep_orders(spark, sf):
     )
     facing = resting.withColumn("sweep", (-F.col("side")).cast("tinyint"))
     fills = B.sweep_orders(facing, incoming, by=by)
-    return fills.select(F.col("at_seq").cast("int").alias("at_seq"), "symbol", F.col("sweep").alias("side"), F.col("fill_no").cast("bigint").alias("fill_no"), "maker_id", "price", "quantity")
+    return fills.select("at_seq", "symbol", F.col("sweep").alias("side"), F.col("fill_no").cast("bigint").alias("fill_no"), "maker_id", "price", "quantity")
 
 
 @query

@@ -15,14 +15,16 @@ from microbook.session import materialise
 # --- order events -------------------------------------------------------------------------------------------------
 
 
+def order_kind() -> Column:
+    """What a message does to a resting order; NULL for hidden executions, crosses and halts."""
+    kind = F.col("event_type")
+    return F.when(kind == 1, "limit").when(kind == 2, "reduce").when(kind == 3, "cancel").when(kind == 4, "execute")
+
+
 def order_events_of(messages: DataFrame) -> DataFrame:
     """Messages as order events. Hidden executions, crosses and halts do not touch a resting order."""
-    kind = (
-        F.when(F.col("event_type") == 1, "limit").when(F.col("event_type") == 2, "reduce")
-        .when(F.col("event_type") == 3, "cancel").when(F.col("event_type") == 4, "execute")
-    )
     keys = [c for c in KEYS if c in messages.columns]
-    return messages.withColumn("kind", kind).where("kind IS NOT NULL").select(
+    return messages.withColumn("kind", order_kind()).where("kind IS NOT NULL").select(
         *keys, SEQ, "kind", "order_id", "side", "price", F.col("size").alias("qty")
     )
 
@@ -30,29 +32,26 @@ def order_events_of(messages: DataFrame) -> DataFrame:
 def inherit_side(events: DataFrame, *, by: Sequence[str] = KEYS) -> DataFrame:
     """Fill the side of replace events from the order they replace, along chains of replaces.
 
-    Pointer doubling: each round halves the distance to the order that states its side.
+    An id may be entered again: a replace takes the side of the entry of its old id that came last before it. Entries are
+    linked by (id, event), so links always lead back in time. Each round doubles the distance that a link spans, and only links whose
+    side is still open are joined; an order from before the file leaves its side NULL.
     """
-    placed = events.where(F.col("kind").isin("limit", "replace")).select(
-        *by, "order_id", F.when(F.col("kind") == "limit", F.col("side")).alias("_side"),
-        F.when(F.col("kind") == "replace", F.col("old_id")).alias("_parent"),
-    )
-    links = placed.groupBy(*by, "order_id").agg(F.first("_side", True).alias("_side"), F.first("_parent", True).alias("_parent"))
-    links = materialise(links, "links")
-    open_links = links.where("_side IS NULL").count()
-    while open_links:
-        up = links.select(*by, F.col("order_id").alias("_parent"), F.col("_side").alias("_up_side"), F.col("_parent").alias("_up"))
-        links = materialise(
-            links.join(up, [*by, "_parent"], "left").select(
-                *by, "order_id", F.coalesce("_side", "_up_side").alias("_side"), F.col("_up").alias("_parent")
-            ),
-            "links",
-        )
-        still = links.where("_side IS NULL AND _parent IS NOT NULL").count()
-        if not still:
-            break
-        open_links = still
-    known = links.select(*by, "order_id", "_side")
-    return events.join(known, [*by, "order_id"], "left").withColumn("side", F.coalesce("side", "_side")).drop("_side")
+    entry = events.where(F.col("kind").isin("limit", "replace"))
+    old = F.when(F.col("kind") == "replace", F.col("old_id"))
+    rows = entry.select(*by, "order_id", SEQ, F.when(F.col("kind") == "limit", F.col("side")).alias("_side"), old.alias("_old"))
+    earlier = rows.select(*by, F.col("order_id").alias("_old"), F.col(SEQ).alias("_at"))
+    parents = rows.where("_old IS NOT NULL").join(earlier, [*by, "_old"]).where(F.col("_at") < F.col(SEQ))
+    parents = parents.groupBy(*by, "order_id", SEQ).agg(F.max("_at").alias("_at"), F.first("_old").alias("_old"))
+    known = materialise(rows.where("_side IS NOT NULL").select(*by, "order_id", SEQ, "_side"), "links")
+    links = materialise(parents, "links")
+    while links.head(1):
+        up_side = known.select(*by, F.col("order_id").alias("_old"), F.col(SEQ).alias("_at"), "_side")
+        found = links.join(up_side, [*by, "_old", "_at"]).select(*by, "order_id", SEQ, "_side")
+        known = materialise(known.unionByName(found), "links")
+        up = links.select(*by, F.col("order_id").alias("_old"), F.col(SEQ).alias("_at"), F.col("_old").alias("_farther"), F.col("_at").alias("_farther_at"))
+        still = links.join(found, [*by, "order_id", SEQ], "left_anti").join(up, [*by, "_old", "_at"])
+        links = materialise(still.select(*by, "order_id", SEQ, F.col("_farther_at").alias("_at"), F.col("_farther").alias("_old")), "links")
+    return events.join(known, [*by, "order_id", SEQ], "left").withColumn("side", F.coalesce("side", "_side")).drop("_side")
 
 
 def normalise_order_events(events: DataFrame, *, by: Sequence[str] = KEYS) -> DataFrame:
@@ -87,7 +86,9 @@ def _fold_orders(keys: list[str]):
                 if key != current:
                     current, resting = key, 0
                 reason, done = None, 0
-                if kind != "cancel" and qty <= 0:
+                if kind == "probe":
+                    pass
+                elif kind != "cancel" and qty <= 0:
                     reason = "bad_qty"
                 elif kind == "limit":
                     if resting:
@@ -110,14 +111,15 @@ def _fold_orders(keys: list[str]):
 def classify_order_events(events: DataFrame, *, by: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
     """Add `accepted`, `reason`, `effective_qty` (size really added or removed) and `remaining` (after the event).
 
-    Kinds: limit, reduce, execute, cancel (market and ioc never rest and are only checked for their quantity).
+    Kinds: limit, reduce, execute, cancel (market and ioc never rest and are only checked for their quantity); a probe changes nothing,
+    its `remaining` says what of its id rests at that moment. Replaces go through `classify_replaces`.
     Rejected: quantity not positive, id already resting, cancel or reduction of an id that does not rest.
 
     An id that is entered once, the rule on an exchange, needs only running sums, which are split by event chunk. Ids entered
     several times depend on their own history step by step and are folded in a streaming pass over sorted rows.
     """
     one_shot = events.where(F.col("kind").isin("market", "ioc"))
-    keyed = events.where(F.col("kind").isin("limit", "cancel", *_REMOVES))
+    keyed = events.where(F.col("kind").isin("limit", "cancel", "probe", *_REMOVES))
     valid_add = (F.col("kind") == "limit") & (F.col("qty") > 0)
     entries = keyed.where(valid_add).groupBy(*by, "order_id").agg(
         F.count("*").alias("_entries"), F.min(SEQ).alias("_entry"), F.min_by("qty", SEQ).alias("_entry_qty")
@@ -135,11 +137,12 @@ def classify_order_events(events: DataFrame, *, by: Sequence[str] = KEYS, size:
         lives & (F.col("_killed") - kill == 0), F.greatest(F.col("_entry_qty") - (F.col("_removed") - removal), F.lit(0))
     ).otherwise(F.lit(0))
     reason = (
-        F.when((F.col("kind") != "cancel") & (F.col("qty") <= 0), "bad_qty")
+        F.when(F.col("kind") == "probe", F.lit(None).cast("string"))
+        .when((F.col("kind") != "cancel") & (F.col("qty") <= 0), "bad_qty")
         .when((F.col("kind") != "limit") & (F.col("_resting") == 0), "unknown_id")
     )
     effective = (
-        F.when(F.col("reason").isNotNull(), F.lit(0))
+        F.when(F.col("reason").isNotNull() | (F.col("kind") == "probe"), F.lit(0))
         .when(F.col("kind") == "limit", F.col("qty"))
         .when(F.col("kind") == "cancel", F.col("_resting"))
         .otherwise(F.least("qty", "_resting"))
@@ -170,11 +173,54 @@ def classify_order_events(events: DataFrame, *, by: Sequence[str] = KEYS, size:
     return everything.withColumn("accepted", F.col("reason").isNull())
 
 
+def classify_replaces(events: DataFrame, *, by: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
+    """As `classify_order_events`, for events that hold replaces (`old_id` -> `order_id`).
+
+    A replace is one event with one verdict: it is refused as a whole, and the old order stays, if its quantity is not positive, its
+    old order does not rest, or its new id rests already and is not the old one. An accepted one comes out as a cancel (`sub_no` 0)
+    and a limit (`sub_no` 1), a refused one as a single rejected row of kind replace.
+
+    Verdicts depend on earlier verdicts only. Rounds start with all replaces accepted; refused ones stay in as probes, which change
+    nothing but see what rests. Each round settles at least the earliest open verdict of every chain, so they end.
+    """
+    keys = [*by, SEQ]
+    replace = events.where("kind = 'replace'")
+    flat = normalise_order_events(events, by=by)
+    same = replace.select(*keys, (F.col("old_id") == F.col("order_id")).alias("_same"), (F.coalesce("qty", F.lit(0)) > 0).alias("_valid"))
+    flat = materialise(flat.join(same, keys, "left"), "flat")
+    verdicts = materialise(same.select(*keys, F.col("_valid").alias("_ok")), "verdicts")
+    while True:
+        played = flat.join(verdicts.select(*keys, "_ok"), keys, "left").withColumn("kind", F.when(~F.col("_ok"), F.lit("probe")).otherwise(F.col("kind")))
+        classified = classify_order_events(played, by=by, size=size)
+        probed = F.col("kind") == "probe"
+        old_rests = F.when(F.col("sub_no") == 0, F.when(probed, F.col("remaining") > 0).otherwise(F.col("accepted")))
+        new_free = F.when(F.col("sub_no") == 1, F.when(probed, (F.col("remaining") == 0) | F.col("_same")).otherwise(F.col("accepted")))
+        states = classified.where("_valid IS NOT NULL").groupBy(*keys).agg(
+            F.max(old_rests).alias("_old_rests"), F.max(new_free).alias("_new_free"), F.max("_valid").alias("_valid"), F.max("_ok").alias("_before")
+        )
+        judged = states.withColumn("_ok", F.col("_valid") & F.col("_old_rests") & F.col("_new_free"))
+        verdicts = materialise(judged, "verdicts")
+        if not verdicts.where("_ok <> _before").head(1):
+            break
+    why = F.when(~F.col("_valid"), "bad_qty").when(~F.col("_old_rests"), "unknown_id").otherwise("duplicate_id")
+    nothing = F.lit(0).cast("bigint")
+    refused = replace.join(verdicts.where("NOT _ok"), keys).select(
+        *by, SEQ, F.lit(0).alias("sub_no"), "kind", "order_id", F.col("side").cast("tinyint").alias("side"), F.col("price").cast("bigint").alias("price"),
+        F.col("qty").cast("bigint").alias("qty"), why.alias("reason"), nothing.alias("effective_qty"), nothing.alias("remaining"), F.lit(False).alias("accepted"),
+    )
+    return classified.where("kind <> 'probe'").select(*refused.columns).unionByName(refused)
+
+
 def accepted_log(classified: DataFrame) -> DataFrame:
     """The events that would be logged: rejected ones leave no trace."""
     return classified.where("accepted")
 
 
+def accepted_events(events: DataFrame, classified: DataFrame, *, by: Sequence[str] = KEYS) -> DataFrame:
+    """The source events that were accepted, one row each, replaces too."""
+    return events.join(classified.where("accepted").select(*by, SEQ).distinct(), [*by, SEQ], "left_semi")
+
+
 def unknown_cancels(classified: DataFrame) -> DataFrame:
     return classified.where("kind = 'cancel' AND reason = 'unknown_id'")
 
@@ -210,16 +256,31 @@ def depth_change() -> Column:
     return F.when(kind == 1, size).when(kind.isin(2, 3, 4), -size).otherwise(F.lit(0))
 
 
+def effective_changes(messages: DataFrame, *, by: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
+    """Messages with `_change`, what they really add to their level: nothing for a removal of an order that does not rest, and never
+    more than rests of it."""
+    kind = order_kind()
+    columns = messages.columns
+    rows = messages.withColumns({"kind": kind, "qty": F.col("size").cast("bigint")})
+    done = classify_order_events(rows.where("kind IS NOT NULL"), by=by, size=size)
+    change = F.when(F.col("kind") == "limit", F.col("effective_qty")).otherwise(-F.col("effective_qty")).cast("bigint")
+    still = rows.where("kind IS NULL").select(*columns, F.lit(0).cast("bigint").alias("_change"))
+    return done.select(*columns, change.alias("_change")).unionByName(still)
+
+
 def depth_by_level(
     messages: DataFrame, initial_depth: DataFrame | None = None, *, by: Sequence[str] = KEYS, size: int = CHUNK
 ) -> DataFrame:
     """Add `depth`: the size resting at the row's side and price after the row.
 
-    `initial_depth` (by, side, price, size) is what rested before the first message; without it, removals of unseen orders
-    are clipped at zero. A hidden execution changes nothing.
+    Accepted events count with their effective size: removals of unseen orders change nothing. With `initial_depth` (by, side,
+    price, size), what rested before the first message, orders may stem from there, so every removal counts and a level never falls
+    below zero in the result. A hidden execution changes nothing.
     """
-    rows = messages.withColumn("_change", depth_change())
-    if initial_depth is not None:
+    if initial_depth is None:
+        rows = effective_changes(messages, by=by, size=size)
+    else:
+        rows = messages.withColumn("_change", depth_change())
         start = initial_depth.select(*by, "side", "price", F.lit(-1).cast("bigint").alias(SEQ), F.col("size").alias("_change"))
         rows = rows.unionByName(start, allowMissingColumns=True)
     summed = running_sum(rows, {"_depth": F.col("_change")}, by=(*by, "side", "price"), size=size)
@@ -257,7 +318,9 @@ def ladder_over_time(
     the opening sizes come from sums per level and chunk.
     """
     chunk = F.expr(f"{SEQ} div {size}")
-    moves = messages.select(*by, SEQ, "side", "price", depth_change().cast("bigint").alias("change"), chunk.alias("_chunk"))
+    changed = effective_changes(messages, by=by) if initial_depth is None else messages.withColumn("_change", depth_change().cast("bigint"))
+    changed = materialise(changed.select(*by, SEQ, "side", "price", F.col("_change").alias("change")), "changes")  # read three times
+    moves = changed.withColumn("_chunk", chunk)
     level = [*by, "side", "price"]
     sums = moves.groupBy(*level, "_chunk").agg(F.sum("change").alias("change"))
     if initial_depth is not None:
@@ -265,7 +328,7 @@ def ladder_over_time(
             *by, F.col("side").cast("tinyint").alias("side"), "price", F.lit(-1).cast("bigint").alias("_chunk"), F.col("size").alias("change")
         )
         sums = sums.unionByName(start)
-    ends = messages.groupBy(*by).agg(F.max(chunk).alias("_end"))
+    ends = moves.groupBy(*by).agg(F.max(chunk).alias("_end"))
     ordered = Window.partitionBy(*level).orderBy("_chunk")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = sums.withColumns({"_next": F.lead("_chunk").over(ordered), "change": F.sum("change").over(so_far)})
@@ -307,22 +370,24 @@ def top_levels(level_sizes: DataFrame, levels: int = 5, *, by: Sequence[str]) ->
 # --- the book at an event -----------------------------------------------------------------------------------------
 
 
-def book_at(classified: DataFrame, positions: Sequence[int], *, by: Sequence[str] = KEYS) -> DataFrame:
-    """Orders resting after each of `positions` (event indices): id, side, price, remaining size, entry index.
+def book_at(classified: DataFrame, positions: DataFrame, *, by: Sequence[str] = KEYS) -> DataFrame:
+    """Orders resting after each of `positions` (by, at_seq): id, side, price, remaining size, entry index.
 
-    Events are first reduced to one net change per order and gap between two positions; only these are repeated for later
-    positions.
+    Each event belongs to the first position that it counts for, found by a sorted pass over events and positions. Events are
+    reduced to one net change per order and position; only these are repeated for the later positions of the partition.
     """
-    at = sorted(set(positions))
-    stops = F.array(*[F.lit(p).cast("bigint") for p in at])
-    gap = F.size(F.filter(stops, lambda p: p < F.col(SEQ)))
     signed = F.when(F.col("kind") == "limit", F.col("effective_qty")).otherwise(-F.col("effective_qty"))
-    moves = classified.where(F.col("accepted") & F.col("kind").isin("limit", "cancel", *_REMOVES) & (F.col(SEQ) <= at[-1]))
-    net = moves.groupBy(*by, "order_id", gap.alias("_gap")).agg(
-        F.sum(signed).alias("_net"),
-        F.max(F.when(F.col("kind") == "limit", F.struct(SEQ, "side", "price"))).alias("_entry"),
+    moves = classified.where(F.col("accepted") & F.col("kind").isin("limit", "cancel", *_REMOVES)).select(
+        *by, SEQ, "order_id", signed.alias("_net"), F.when(F.col("kind") == "limit", F.struct(SEQ, "side", "price")).alias("_entry")
+    )
+    stops = positions.select(*by, "at_seq").distinct()
+    stop_lists = stops.groupBy(*by).agg(F.array_sort(F.collect_list("at_seq")).alias("_stops"))  # what the caller asked for, per partition
+    counted = moves.join(stop_lists, list(by)).withColumn("_first", F.size(F.filter("_stops", lambda p: p < F.col(SEQ))) + 1)
+    net = counted.where(F.col("_first") <= F.size("_stops")).groupBy(*by, "order_id", "_first").agg(
+        F.sum("_net").alias("_net"), F.max("_entry").alias("_entry")
     )
-    later = net.withColumn("at_seq", F.explode(F.slice(stops, F.col("_gap") + 1, F.lit(len(at)))))
+    rest = F.expr("slice(_stops, _first, size(_stops))")
+    later = net.join(stop_lists, list(by)).withColumn("at_seq", F.explode(rest))
     return (
         later.groupBy("at_seq", *by, "order_id").agg(F.sum("_net").alias("remaining"), F.max("_entry").alias("_entry"))
         .where("remaining > 0")

@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 
 from microbook.functions.predicates import extract_trades
 from microbook.functions.scalars import millis_to_ns, session_time_ns, to_fixed_point
-from microbook.operators.joins import positional_join
+from microbook.operators.joins import positional_join, require_equal_heights
 from microbook.schema import KEYS, ORDER_MESSAGE_CSV, QUOTE_CSV, SEQ, depth_columns, depth_csv
 
 CORRUPT = "_corrupt"
+#: Name without its last number, and that number.
+_PART = r"^(.*?)(\d*)\.csv[^/]*$"
 _NAME = r"([^/_]+)_(\d{4}-\d{2}-\d{2})_[^/]*$"
 
 
@@ -42,10 +44,11 @@ def assign_seq(rows: DataFrame, by: tuple[str, ...] = KEYS, out: str = SEQ) -> D
 
     Rows of one input split are consecutive in the scan, so the position is the row's distance from the start of its
     split plus the length of the splits before it. Only one row per split is aggregated and joined back; nothing is sorted.
-    Several files of one symbol and day follow each other in the order of their names.
+    Several files of one symbol and day follow each other by the number at the end of their names, so part 10 comes after part 2.
     """
     splits = rows.groupBy(*by, "_file", "_split").agg(F.min("_scan_row").alias("_start"), F.count("*").alias("_rows"))
-    earlier = Window.partitionBy(*by).orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    part = [F.regexp_extract("_file", _PART, 1), F.expr(f"try_cast(regexp_extract(_file, r'{_PART}', 2) AS bigint)"), F.col("_file"), F.col("_split")]
+    earlier = Window.partitionBy(*by).orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         *by, "_file", "_split", "_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
     )
@@ -110,11 +113,26 @@ def bad_rows(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(CORRUPT).isNotNull())
 
 
+def count_bad_rows(rows: DataFrame) -> DataFrame:
+    """Rows and unparsable rows per symbol and day."""
+    return rows.groupBy(*KEYS).agg(F.count("*").alias("rows"), F.count_if(F.col(CORRUPT).isNotNull()).alias("bad_rows"))
+
+
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
     return extract_trades(good_rows(read_order_messages(spark, path)))
 
 
-def read_joined(spark: SparkSession, message_path: str, depth_path: str, levels: int = 10) -> DataFrame:
-    """Message and depth side by side, row by row."""
-    messages = good_rows(read_order_messages(spark, message_path))
-    return positional_join(messages, good_rows(read_depth_snapshots(spark, depth_path, levels)))
+def read_joined(
+    spark: SparkSession, message_path: str, depth_path: str, levels: int = 10, *, unequal: str = "fail", bad: str = "fail"
+) -> DataFrame:
+    """Message and depth side by side, row by row.
+
+    Files of different heights fail (`unequal="drop"` keeps the rows that both have), and so do bad lines on either side
+    (`bad="drop"` leaves their events out; `count_bad_rows` says how many there are).
+    """
+    messages, depth = read_order_messages(spark, message_path), read_depth_snapshots(spark, depth_path, levels)
+    if unequal == "fail":
+        require_equal_heights(messages, depth)
+    if bad == "fail" and (found := bad_rows(messages.select(*KEYS, SEQ, CORRUPT)).unionByName(bad_rows(depth.select(*KEYS, SEQ, CORRUPT))).head(5)):
+        raise ValueError(f"lines that do not parse, first ones: {[r.asDict() for r in found]}")
+    return positional_join(good_rows(messages), good_rows(depth))

@@ -38,6 +38,63 @@ def test_replace_onto_live_id_and_side_chain(spark):
     assert rows(out.where("kind = 'cancel'"), "order_id", "sub_no") == [(1, 0), (2, 0), (3, 0)]
 
 
+def test_sides_of_cycles_swaps_and_reused_ids(spark):
+    df = events(
+        spark, ("replace", 1, None, 100, 5, 1), ("replace", 2, None, 100, 5, 3), ("replace", 3, None, 100, 5, 2),
+        ("limit", 7, 1, 100, 5), ("replace", 8, None, 100, 5, 7), ("limit", 7, -1, 100, 5), ("replace", 9, None, 100, 5, 7), ("replace", 8, None, 1, 1, 8),
+    )
+    assert column(B.inherit_side(df), "side") == [None, None, None, 1, 1, -1, -1, 1]
+
+
+def brute_replaces(stream):
+    """One verdict per event: (accepted, effective sizes of its parts)."""
+    live, out = {}, []
+    for kind, oid, qty, old in stream:
+        resting = live.get(oid, 0)
+        if kind == "replace":
+            if qty <= 0 or not live.get(old) or (old != oid and resting):
+                out.append((False, [0]))
+                continue
+            gone = live[old]
+            live[old] = 0
+            live[oid] = qty
+            out.append((True, [gone, qty]))
+        elif kind == "limit":
+            out.append((qty > 0 and not resting, [qty if qty > 0 and not resting else 0]))
+            if qty > 0 and not resting:
+                live[oid] = qty
+        else:
+            fine = bool(resting) and (kind == "cancel" or qty > 0)
+            done = (resting if kind == "cancel" else min(qty, resting)) if fine else 0
+            live[oid] = resting - done
+            out.append((fine, [done]))
+    return out
+
+
+@pytest.mark.parametrize("seed,ids", [(1, 8), (2, 60)])
+def test_replaces_have_one_verdict(spark, seed, ids):
+    rng = random.Random(seed)
+    stream = [
+        (rng.choice(["limit", "limit", "replace", "replace", "execute", "cancel"]), rng.randrange(ids), rng.randrange(0, 12), rng.randrange(ids)) for _ in range(220)
+    ]
+    df = events(spark, *[(k, o, 1 if k == "limit" else None, 100, q, old if k == "replace" else None) for k, o, q, old in stream])
+    classified = B.classify_replaces(df)
+    got = {}
+    for r in classified.orderBy("seq", "sub_no").collect():
+        accepted, sizes = got.setdefault(r["seq"], (r["accepted"], []))
+        assert accepted == r["accepted"]
+        sizes.append(r["effective_qty"])
+    want = brute_replaces(stream)
+    assert [got[i] for i in range(len(stream))] == want
+    assert column(B.accepted_events(df, classified), "seq") == [i for i, w in enumerate(want) if w[0]]
+
+
+def test_removal_of_an_unseen_order_changes_no_level(spark):
+    df = message(spark, (3, 9, 1, 30, 100), (1, 1, 1, 50, 100), (4, 1, 1, 80, 100), (1, 2, 1, 5, 100))
+    assert column(B.depth_by_level(df), "depth") == [0, 50, 0, 5]
+    assert column(B.best_prices(df), "bid_size_l1") == [0, 50, 0, 5]
+
+
 def brute_lifecycle(stream):
     live, out = {}, []
     for seq, (kind, oid, qty) in enumerate(stream):
@@ -156,7 +213,7 @@ def test_generated_flow(spark):
 
 def test_book_at_and_locate(spark):
     df = events(spark, ("limit", 1, 1, 100, 5), ("limit", 2, -1, 105, 4), ("reduce", 1, 1, 100, 2), ("cancel", 2, None, None, None))
-    at = B.book_at(B.classify_order_events(df), [1, 3])
+    at = B.book_at(B.classify_order_events(df), spark.createDataFrame([("AAPL", DAY, 1), ("AAPL", DAY, 3)], "symbol string, trade_date date, at_seq bigint"))
     assert rows(at, "at_seq", "order_id", "side", "price", "remaining") == [(1, 1, 1, 100, 5), (1, 2, -1, 105, 4), (3, 1, 1, 100, 3)]
     ids = spark.createDataFrame([("AAPL", DAY, 1), ("AAPL", DAY, 2)], "symbol string, trade_date date, order_id bigint")
     assert rows(B.locate_orders(ids, at.where("at_seq = 3")), "order_id", "remaining") == [(1, 3)]

@@ -58,6 +58,31 @@ def test_seq_over_many_splits_and_parts(spark, folder):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_parts_follow_their_numbers(spark, folder):
+    for part in range(12):
+        write(folder, f"AAPL_{DAY}_a_b_message_10_{part}.csv", message_lines(10, start=10 * part))
+    out = S.read_order_messages(spark, f"{folder}/*_message_*.csv")
+    assert out.count() == 120 and out.where("order_id <> seq + 1000").count() == 0
+
+
+def test_unequal_files_and_bad_lines_fail(spark, folder):
+    flow = generate_order_flow(spark, 10, ["AAPL"]).orderBy("seq").toPandas()
+    names = [f"{s}_{w}_l{i}" for i in range(1, 11) for s in ("ask", "bid") for w in ("price", "size")]
+    depth = [",".join(str(v) for v in r) for r in flow[names].values.tolist()]
+    write(folder, f"AAPL_{DAY}_a_b_message_10.csv", message_lines(10))
+    write(folder, f"AAPL_{DAY}_a_b_orderbook_10.csv", depth[:7])
+    paths = f"{folder}/*_message_*.csv", f"{folder}/*_orderbook_*.csv"
+    with pytest.raises(ValueError, match="different heights"):
+        S.read_joined(spark, *paths)
+    assert S.read_joined(spark, *paths, unequal="drop").count() == 7
+    write(folder, f"AAPL_{DAY}_a_b_orderbook_10.csv", [*depth[:9], "oops"])
+    with pytest.raises(ValueError, match="do not parse"):
+        S.read_joined(spark, *paths)
+    assert S.read_joined(spark, *paths, bad="drop").count() == 9
+    counted = S.count_bad_rows(S.read_depth_snapshots(spark, paths[1])).first()
+    assert (counted["rows"], counted["bad_rows"]) == (10, 1)
+
+
 def test_malformed_lines_keep_their_place(spark, folder):
     lines = message_lines(5)
     lines[2] = "34200.002,1,oops,1,2,1"
