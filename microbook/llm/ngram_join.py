@@ -15,7 +15,8 @@ the block's own row.
 
 Components need no link inside what is already connected. Every list first pairs its members with two hubs; only members of one
 list that are still in different components are then paired with each other. A group of thousands of near copies thus costs
-some pairs per member, and no link between different components is lost.
+some pairs per member, and no link between different components is lost. Before a pair is made, a lower bound of the elements in which
+its sets differ rules out most: those that no other document has, and a parity sketch of the others.
 """
 
 import itertools
@@ -44,9 +45,10 @@ BLOCK_DOCS = 60_000
 RANGE_SHINGLES = 2_000_000
 #: From this many documents of a block on, a shingle is sent as a count.
 FREQUENT_IN_BLOCK = 64
+#: 64-bit words of the parity sketch of a set.
+SKETCH = 16
 #: Subsets of larger sets are never cheaper than their lists.
 LIGHT_MOST = 12
-HUBS = 2
 PAIRS_AT_ONCE = 256
 
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
@@ -209,12 +211,24 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(rows)])
 
 
+_ENTRY = "key bigint, digest binary, n bigint, own bigint, sketch array<bigint>"
+_ENTRY_ARROW = (("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("own", pa.int64()), ("sketch", pa.list_(pa.int64())))
+
+
+def _sketches(keys: np.ndarray, carrier: np.ndarray, carriers: int) -> np.ndarray:
+    """Per carrier, the parity of the number of its keys in each of 64 * SKETCH classes, as SKETCH numbers."""
+    bits = 64 * SKETCH
+    place = (keys * _MIX) >> np.uint64(64 - bits.bit_length() + 1)
+    parity = np.bincount(carrier * bits + place.astype(np.int64), minlength=carriers * bits) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(carriers, bits), axis=1).view("<i8")
+
+
 def _prefixed(table: pa.Table) -> pa.Table:
     """One block: the list entries of its carriers."""
     by: dict[str, list[dict]] = {}
     for row in table.to_pylist():
         by.setdefault(row["kind"], []).append(row)
-    empty = pa.table({c: pa.array([], t) for c, t in (("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()))})
+    empty = pa.table({c: pa.array([], t) for c, t in _ENTRY_ARROW})
     if "block" not in by:
         return empty
     (head,) = by["block"]
@@ -240,11 +254,20 @@ def _prefixed(table: pa.Table) -> pa.Table:
     begin, length = _runs(carrier)
     place = np.arange(len(key)) - np.repeat(begin, length)
     shared = np.bincount(carrier, minlength=len(sizes))
+    own = n_keys - shared
     # Keys of one document alone come first in the order and are in no list.
-    take = place < (_prefix(sizes) - (n_keys - shared))[carrier]
+    take = place < (_prefix(sizes) - own)[carrier]
+    sketch = _sketches(key, carrier, len(sizes))
     digests = np.frombuffer(head["a"], "V16")
+    of = carrier[take]
     return pa.table(
-        {"key": key[take].view(np.int64), "digest": pa.array(digests[carrier[take]].tolist(), pa.binary()), "n": sizes[carrier[take]]}
+        {
+            "key": key[take].view(np.int64),
+            "digest": pa.array(digests[of].tolist(), pa.binary()),
+            "n": sizes[of],
+            "own": own[of],
+            "sketch": pa.array(sketch[of].tolist(), pa.list_(pa.int64())),
+        }
     )
 
 
@@ -312,9 +335,18 @@ def light_links(light: DataFrame, boundary: int) -> DataFrame:
     return rows.join(heads, "bucket").select(F.col("rep").alias("a"), other.alias("b")).where("a <> b").distinct()
 
 
-def _fits(n: str, m: str) -> str:
-    """Sizes that similar sets can have."""
-    return f"least({n}, {m}) * {DENOMINATOR} >= greatest({n}, {m}) * {NUMERATOR}"
+def _fits(boundary: int) -> str:
+    """Whether two sets can be similar, and the larger one is heavy: (n, own, sketch) and (m, own_m, sketch_m).
+
+    Similar sets differ in at most a ninth of n + m elements. What a set has of its own differs, and of the rest at least as
+    many elements as the parities of the sketches.
+    """
+    rest = NUMERATOR + DENOMINATOR
+    differing = " + ".join(["own + own_m", *(f"bit_count(sketch[{k}] ^ sketch_m[{k}])" for k in range(SKETCH))])
+    return (
+        f"greatest(n, m) > {boundary} AND least(n, m) * {DENOMINATOR} >= greatest(n, m) * {NUMERATOR}"
+        f" AND ({differing}) * {rest} <= (n + m) * {DENOMINATOR - NUMERATOR}"
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -335,14 +367,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def heavy_links(lists: DataFrame, docs: DataFrame, boundary: int, known: DataFrame, words: int = WORDS) -> DataFrame:
-    """Links with at least one set of more than `boundary` elements; `lists`: key, rep, n. `known` are links (a, b) found before."""
-    spark = docs.sparkSession
-    sizes = f"greatest(n, m) > {boundary} AND {_fits('n', 'm')}"
-    hashed = [F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n") for k in range(HUBS)]
-    hubs = lists.groupBy("key").agg(*[F.min(h).alias(f"hub{k}") for k, h in enumerate(hashed)], F.count(F.lit(1)).alias("c")).where("c > 1")
-    hub = F.explode(F.array(*[F.struct(f"hub{k}.rep", f"hub{k}.n") for k in range(HUBS)]))
-    heads = hubs.select("key", hub.alias("hub")).select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m")).distinct()
-    tried = lists.join(heads, "key").where(f"rep <> hub AND {sizes}")
+    """Links with at least one set of more than `boundary` elements; `lists`: key, rep, n, own, sketch. `known` are links (a, b) found before.
+
+    The first hub of a list is the member with the smallest share of shingles of its own, in a group of near copies the one that most
+    others are edits of; the other is any.
+    """
+    fits = _fits(boundary)
+    facts = ["rep", "n", "own", "sketch"]
+    central = F.struct((F.col("own") / F.col("n")).alias("share"), F.xxhash64("rep").alias("h"), *facts)
+    hubs = lists.groupBy("key").agg(
+        F.min(central).alias("central"), F.min(F.struct(F.xxhash64("rep").alias("h"), *facts)).alias("other"), F.count(F.lit(1)).alias("c")
+    ).where("c > 1")
+    hub = F.explode(F.array(*[F.struct(*[f"{name}.{c}" for c in facts]) for name in ("central", "other")])).alias("hub")
+    other_end = [F.col(f"hub.{c}").alias(as_) for c, as_ in zip(facts, ("hub", "m", "own_m", "sketch_m"), strict=True)]
+    heads = hubs.select("key", hub).select("key", *other_end).distinct()
+    tried = lists.join(heads, "key").where(f"rep <> hub AND {fits}")
     tried = stored(tried.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "ngram-tried")
 
     # Whole sets of the documents that are in a list of two or more; all pairs come from these.
@@ -358,19 +397,18 @@ def heavy_links(lists: DataFrame, docs: DataFrame, boundary: int, known: DataFra
     links = verified(tried, sets).union(known)
 
     component = connected_components(links)
-    placed = lists.join(component, lists.rep == component.node, "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("component")
-    )
+    placed = lists.join(component, lists.rep == component.node, "left").select("key", *facts, F.coalesce("component", "rep").alias("component"))
     placed = stored(placed, "ngram-placed")
-    sides = placed.groupBy("key", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = (
-        sides.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("component", "least", "most")]) for side in ("left", "right")
+    # Components of a list meet; the one with fewer members there is spelled out first, so a stray set beside a large group is one row.
+    sides = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    few, many = (sides.select("key", F.struct("members", "component").alias(side)) for side in ("few", "many"))
+    crossing = few.join(many, "key").where("few < many").select(
+        "key", F.col("few.component").alias("component"), F.col("many.component").alias("component_m")
+    )
+    others = placed.select(
+        "key", *[F.col(c).alias(as_) for c, as_ in zip([*facts, "component"], ("b", "m", "own_m", "sketch_m", "component_m"), strict=True)]
     )
-    near = f"component_left < component_right AND least_left * {NUMERATOR} <= most_right * {DENOMINATOR} AND least_right * {NUMERATOR} <= most_left * {DENOMINATOR}"
-    crossing = left.join(right, "key").where(near).select("key", "component_left", "component_right")
-    members = placed.select("key", F.col("component").alias("component_left"), F.col("rep").alias("a"), "n")
-    others = placed.select("key", F.col("component").alias("component_right"), F.col("rep").alias("b"), F.col("n").alias("m"))
-    pairs = crossing.join(members, ["key", "component_left"]).join(others, ["key", "component_right"]).where(sizes)
+    pairs = crossing.join(placed.withColumnRenamed("rep", "a"), ["key", "component"]).join(others, ["key", "component_m"]).where(fits)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return links.union(verified(stored(pairs, "ngram-left"), sets))
 
@@ -392,8 +430,8 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     )
     counted = made.where("kind IN ('post', 'many')").groupBy("part").applyInArrow(_counted, _BLOCK)
     to_blocks = counted.unionByName(made.where("kind IN ('block', 'kept')"))
-    entries = to_blocks.groupBy("block").applyInArrow(_prefixed, "key bigint, digest binary, n bigint")
-    lists = stored(entries.join(nodes.select("digest", "rep"), "digest").where("rep IS NOT NULL").select("key", "rep", "n").distinct(), "ngram-lists")
+    entries = to_blocks.groupBy("block").applyInArrow(_prefixed, _ENTRY)
+    lists = stored(entries.join(nodes.select("digest", "rep"), "digest").where("rep IS NOT NULL").groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("n", "own", "sketch")]), "ngram-lists")
 
     small = f"n <= {LIGHT_MOST}"
     sizes = {r["n"]: r["c"] for r in nodes.where(small).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
