@@ -37,9 +37,35 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+_written: dict[str, list[str]] = {}
+
+
+def claim(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, deleted by `clean_up`."""
+    path = os.path.join(work_dir(spark), "microbook", f"{label}-{uuid.uuid4().hex}")
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete every intermediate table that this application has written so far; returns their number.
+
+    DataFrames that read them are of no use afterwards: call it when results are stored.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    return len(paths)
+
+
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage and fixes values such as partition ids."""
+    """Write `df` to the shared folder and read it back: cuts the lineage and fixes values such as partition ids.
+
+    Runs a job at once; the table stays until `clean_up`.
+    """
     spark = df.sparkSession
-    path = os.path.join(work_dir(spark), "microbook", f"{label}-{uuid.uuid4().hex}")
+    path = claim(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.parquet(path)

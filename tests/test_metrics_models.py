@@ -184,3 +184,16 @@ def test_own_fills_and_policy_pairing(spark):
     fills = spark.createDataFrame([("A", DAY, 5, 1, 2)], "symbol string, trade_date date, seq bigint, taker_id bigint, maker_id bigint")
     own = spark.createDataFrame([("A", DAY, 2, 1), ("A", DAY, 9, 1)], "symbol string, trade_date date, order_id bigint, side_sign int")
     assert rows(K.own_fills(fills, own), "order_id", "side_sign") == [(2, 1)]
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from microbook import session
+
+    kept = session._written.pop(spark.sparkContext.applicationId, [])  # what other tests still read
+    try:
+        path = materialise(spark.range(5), "brief").inputFiles()[0]
+        assert session.clean_up(spark) == 1 and session.clean_up(spark) == 0
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(path).count()
+    finally:
+        session._written[spark.sparkContext.applicationId] = kept
