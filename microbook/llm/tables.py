@@ -1,11 +1,8 @@
 """The given tables, and folders for what the operators write."""
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from microbook.session import work_dir
+from microbook.session import claim
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; each call of an operator gets its own, so reruns never see half-written files."""
-    return os.path.join(work_dir(spark), "microbook", f"{label}-{uuid.uuid4().hex}")
+    return claim(spark, label)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
