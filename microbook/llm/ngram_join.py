@@ -22,18 +22,17 @@ its sets differ rules out most: those that no other document has, and a parity s
 import itertools
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from microbook.llm.graph import connected_components
-from microbook.llm.tables import new_folder, stored
+from microbook.llm.tables import new_folder, rows_per_batch, stored
 from microbook.llm.tokens import slices
 
 WORDS = 5
@@ -274,18 +273,6 @@ def _prefixed(table: pa.Table) -> pa.Table:
 # --- linking --------------------------------------------------------------------------------------------------------------
 
 
-@contextmanager
-def _small_batches(spark: SparkSession):
-    """Rows with two whole sets go to Python a few at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(PAIRS_AT_ONCE))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def light_boundary(sizes: dict[int, int], scanned: dict[int, int]) -> int:
     """The largest size of light sets, by cost: rows of subsets against entries read when scanning lists.
 
@@ -362,7 +349,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = (sets.select(F.col("rep").alias(end), F.col("items").alias(name)) for end, name in (("a", "x"), ("b", "y")))
-    with _small_batches(pairs.sparkSession):
+    with rows_per_batch(pairs.sparkSession, PAIRS_AT_ONCE):  # each row has two whole sets
         return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compared, "a bigint, b bigint"), "ngram-links")
 
 

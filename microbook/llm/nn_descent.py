@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microbook.llm.graph import connected_components
-from microbook.llm.tables import stored
+from microbook.llm.tables import rows_per_batch, stored
 
 THRESHOLD = 0.98
 NEIGHBOURS = 8
@@ -221,8 +221,9 @@ def links_within(nodes: DataFrame, component: DataFrame, threshold: float, block
                 {"id": pa.array(np.concatenate(out_ids or [np.zeros(0)]).astype(np.int64)), "links": pa.array(np.concatenate(out_links or [np.zeros(0)]).astype(np.int64))}
             )
 
-    # The members of one row are 2 * BLOCK vectors or so.
-    return groups.select("members").repartition(F.rand(1)).mapInArrow(counted, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+    with rows_per_batch(nodes.sparkSession, 8):  # a row has 2 * BLOCK vectors or so
+        found = stored(groups.select("members").mapInArrow(counted, "id bigint, links bigint"), "embedding-counts")
+    return found.groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(
@@ -240,7 +241,8 @@ def near_duplicates(
     links = lists.where(F.col("cosine") >= threshold).count()
     component = None
     for number in range(rounds):
-        lists = stored(descend(lists, nodes, k, number), "embedding-lists")
+        with rows_per_batch(nodes.sparkSession, 256):  # a row has CHUNK vectors or so
+            lists = stored(descend(lists, nodes, k, number), "embedding-lists")
         before, links = links, lists.where(F.col("cosine") >= threshold).count()
         if links - before > NEW_LINKS * max(links, 1):
             continue

@@ -1,5 +1,7 @@
 """The given tables, and folders for what the operators write."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from microbook.session import claim
@@ -19,3 +21,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows for the jobs inside: for rows that are large themselves."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
