@@ -23,6 +23,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, most_tasks: int = 20_000) -> DataFrame:
+    """Small stored rows that each stand for much work (a file, a range): a partition for each, beyond `most_tasks` several share one."""
+    return rows.repartition(max(1, min(rows.count(), most_tasks)))
+
+
 @contextmanager
 def rows_per_batch(spark: SparkSession, rows: int):
     """Arrow batches of at most `rows` rows for the jobs inside: for rows that are large themselves."""

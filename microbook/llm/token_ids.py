@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from microbook.llm.files import attempt_name, create_folder, open_input, open_output
-from microbook.llm.tables import new_folder, stored
+from microbook.llm.tables import dealt, new_folder, stored
 from microbook.llm.tokens import encoder, slices, with_end
 
 MAGIC, END_MAGIC = b"MBTOK001", b"MBTOKEND"
@@ -179,7 +179,6 @@ def read_token_ids(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """One row per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    files = max(1, manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,9 +193,7 @@ def read_token_ids(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     }
                 )
 
-    return (
-        based.select("path", "base").repartition(files).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    )
+    return dealt(based.select("path", "base")).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end: int, *, word_level: bool = False, folder: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from microbook.llm.files import attempt_name, create_folder, open_input, open_output
-from microbook.llm.tables import new_folder, stored
+from microbook.llm.tables import dealt, new_folder, stored
 
 VERSION = b"WARC/1.1\r\n"
 REVISIT_FROM = 100
@@ -164,7 +164,7 @@ def _ranges(manifest: DataFrame, range_bytes: int) -> DataFrame:
     begins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint")))
     rows = manifest.where("bytes > 0").select("path", "bytes", begins.alias("base"))
     rows = rows.withColumn("upto", F.least(F.col("base") + range_bytes, F.col("bytes")))
-    return rows.repartition(max(1, rows.count()))
+    return dealt(rows)
 
 
 def scan(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -239,7 +239,7 @@ def read_warc(manifest: DataFrame, range_bytes: int = RANGE_BYTES, *, payloads:
 
     schema = _RECORD + (", payload binary" if payloads else "")
     names = [part.split()[0] for part in schema.split(", ")]
-    return begun.repartition(max(1, begun.count())).mapInPandas(read, schema)
+    return dealt(begun).mapInPandas(read, schema)
 
 
 def resolved(records: DataFrame) -> DataFrame:
