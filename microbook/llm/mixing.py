@@ -121,6 +121,6 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` repeated as often as the mix takes them; doc_id must be unique. Rows that it does not take go."""
-    copies = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    copies = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
     named = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return named.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return named.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

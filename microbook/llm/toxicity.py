@@ -11,7 +11,7 @@ count that positives have significantly more often than unlabelled texts; a text
 so one insult counts the same in a short and in a long text.
 
 Training rows are a bounded sample of the labelled rows (`most_rows`, chosen by hash); the class prior is counted over all of
-them. Scoring is one pass over all texts without a shuffle; the weights have a fixed size whatever the corpus.
+them. Features are counted and chosen by Spark; the driver gets the chosen ones alone. Scoring is one pass over all texts without a shuffle; the weights have a fixed size whatever the corpus.
 """
 
 import zlib
@@ -30,6 +30,8 @@ BITS = 18
 MOST_ROWS = 20_000
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5)
+#: How many deviations above its expected count among positives a feature must be.
+LEAST_Z = 3.5
 _STRIP = " \t\r\n\v\f.,;:!?\"'()[]{}<>|&%$#*-_/\\"
 _WORDS_KEPT = 500_000
 
@@ -83,14 +85,16 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def telling(features: np.ndarray, lengths: np.ndarray, positive: np.ndarray, size: int, least_z: float = 3.5) -> np.ndarray:
-    """Which features positives have significantly more often than unlabelled texts."""
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    n_pos, n_all = int(positive.sum()), len(positive)
-    in_pos = np.bincount(features[positive[row]], minlength=size)
-    rate = (np.bincount(features, minlength=size) + 1.0) / (n_all + 2.0)
-    excess = in_pos - n_pos * rate
-    return (excess > least_z * np.sqrt(n_pos * rate * (1 - rate))) & (in_pos >= 2)
+def telling(rows: DataFrame, least_z: float = LEAST_Z) -> list[int]:
+    """Features that positives have significantly more often than unlabelled texts; `rows`: toxic, features. At most 2 ** bits."""
+    n_all, n_pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counts = rows.select(F.explode("features").alias("feature"), "toxic").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("in_pos")
+    )
+    rate = (F.col("n") + 1.0) / (n_all + 2.0)
+    excess = F.col("in_pos") - n_pos * rate
+    chosen = counts.where((F.col("in_pos") >= 2) & (excess > least_z * F.sqrt(n_pos * rate * (1 - rate))))
+    return sorted(r["feature"] for r in chosen.select("feature").collect())
 
 
 def train(
@@ -112,9 +116,7 @@ def train(
         weights[size] = 10.0 if len(pos) else -10.0  # nothing to tell apart
         return weights
     weights[size] = np.log(prior / (1 - prior))
-    keep = telling(features, lengths, positive, size)[features]
-    lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[keep], minlength=len(lengths))
-    features, starts = features[keep], np.cumsum(lengths) - lengths
+    starts = np.cumsum(lengths) - lengths
 
     def part(rows):
         n = lengths[rows]
@@ -163,7 +165,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, bits:
 
     schema = "doc_id bigint, toxic int, features array<int>"
     rows = stored(texts.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(featured, schema), "toxic-train")
-    taken = rows.orderBy("doc_id").toArrow().combine_chunks()
+    chosen = np.zeros(1 << bits, bool)
+    chosen[telling(rows)] = True
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("features")
+            keep = chosen[found.flatten().to_numpy()]
+            ends = found.offsets.to_numpy().astype(np.int64)
+            flat = found.flatten().filter(pa.array(keep))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)])[ends - ends[0]], pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "features"])
+
+    taken = rows.mapInArrow(kept, schema).orderBy("doc_id").toArrow().combine_chunks()
     lists = taken.column("features").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy().astype(np.int64)) if len(taken) else np.zeros(0, np.int64)
     flat = lists.flatten().to_numpy().astype(np.int64) if len(taken) else np.zeros(0, np.int64)
@@ -171,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, bits:
     return train(flat, lengths, positive, prior, bits=bits, **how)
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, bits: int = BITS, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`columns` of each row and its score; NULL or empty text scores as the bias alone."""
+def score(docs: DataFrame, weights: np.ndarray, *, bits: int = BITS, columns: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """`columns` of each row and its score as `out`; NULL or empty text scores as the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2 ** bits + 1 numbers
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +194,10 @@ def score(docs: DataFrame, weights: np.ndarray, *, bits: int = BITS, columns: tu
         for batch in slices(batches, "text"):
             found, lengths = of.rows(batch.column("text"))
             value = _sigmoid(_sums(known[found].astype(float), lengths) + float(known[-1]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(value)], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(value)], [*columns, out])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", score double"
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + f", `{out}` double"
     return docs.select(*columns, *(c for c in ("text",) if c not in columns)).mapInArrow(scored, schema)
 
 
@@ -198,4 +212,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
 def clean_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **how) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, with all their columns."""
     columns = tuple(docs.columns)
-    return score(docs, fit(docs, labels, **how), columns=columns).where(F.col("score") < threshold).select(*columns)
+    return score(docs, fit(docs, labels, **how), columns=columns, out="_toxicity").where(F.col("_toxicity") < threshold).select(*columns)
