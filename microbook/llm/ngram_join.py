@@ -45,7 +45,7 @@ RANGE_SHINGLES = 2_000_000
 #: From this many documents of a block on, a shingle is sent as a count.
 FREQUENT_IN_BLOCK = 64
 #: 64-bit words of the parity sketch of a set.
-SKETCH = 16
+SKETCH = 8
 #: Subsets of larger sets are never cheaper than their lists.
 LIGHT_MOST = 12
 PAIRS_AT_ONCE = 256
@@ -387,9 +387,16 @@ def heavy_links(lists: DataFrame, docs: DataFrame, boundary: int, known: DataFra
     placed = lists.join(component, lists.rep == component.node, "left").select("key", *facts, F.coalesce("component", "rep").alias("component"))
     placed = stored(placed, "ngram-placed")
     # Components of a list meet; the one with fewer members there is spelled out first, so a stray set beside a large group is one row.
-    sides = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    few, many = (sides.select("key", F.struct("members", "component").alias(side)) for side in ("few", "many"))
-    crossing = few.join(many, "key").where("few < many").select(
+    # Two stray sets are judged right here.
+    sides = placed.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("members"), F.min("n").alias("n"), F.max("n").alias("most"), F.min("own").alias("own"), F.first("sketch").alias("sketch")
+    )
+    few = sides.select("key", F.struct("members", "component").alias("few"), "n", "most", "own", "sketch")
+    many = sides.select(
+        "key", F.struct("members", "component").alias("many"), *[F.col(c).alias(as_) for c, as_ in zip(("n", "most", "own", "sketch"), ("m", "most_m", "own_m", "sketch_m"), strict=True)]
+    )
+    sized = f"n * {NUMERATOR} <= most_m * {DENOMINATOR} AND m * {NUMERATOR} <= most * {DENOMINATOR}"
+    crossing = few.join(many, "key").where(f"few < many AND {sized} AND (many.members > 1 OR ({fits}))").select(
         "key", F.col("few.component").alias("component"), F.col("many.component").alias("component_m")
     )
     others = placed.select(
