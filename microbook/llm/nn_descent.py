@@ -6,8 +6,10 @@ node with each other (forward and reverse lists), which is how neighbours of nei
 Rounds end when links at or above the threshold stop appearing and an audit (a bounded set of queries chosen by hash, each
 compared with all vectors) finds enough of its links inside the components found so far.
 
-A list that is full of links is saturated: it must be longer than it is. Components hold exactly such nodes together, so lists are
-enlarged to the component: its members are compared in blocks, and only the numbers of links come out, never the pairs.
+A list that is full of links is saturated: it must be longer than it is. Inside a component, lists are enlarged to the component: its
+members are compared in blocks, and only the numbers of links come out, never the pairs. A link that leaves the component is missing
+in the lists only if both of its ends are saturated. These ends are therefore compared across components, without those inside: two
+components meet if a bound on the angle between their vectors, from one vector and a radius of each, leaves room for a link.
 
 The members of a node's neighbourhood are dealt to chunks by hash, anew in each round, so a hub with a third of all vectors as
 reverse neighbours is many small groups. The best of a node are cut per task before they are shuffled.
@@ -226,6 +228,110 @@ def links_within(nodes: DataFrame, component: DataFrame, threshold: float, block
     return found.groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _near_components(centers: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs (p, q) of components that may hold a link between them; `centers`: component, label, size, embedding, radius."""
+    sized = centers.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = centers.drop("blocks").join(sized, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "label", "size", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "component", "radius", "embedding"
+    )
+    groups = met.groupBy("label", "size", "x", "y").agg(
+        F.collect_list(F.struct((F.col("block") == F.col("x")).alias("first"), "component", "radius", "embedding")).alias("members")
+    )
+    room = float(np.arccos(threshold)) + 1e-6  # beyond the rounding of an angle
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column("members")
+            ends = members.offsets.to_numpy().astype(np.int64)
+            ends = ends - ends[0]
+            flat = members.flatten()
+            ids, radius, vectors = flat.field("component").to_numpy(), flat.field("radius").to_numpy(), flat.field("embedding")
+            first = flat.field("first").to_numpy(zero_copy_only=False).astype(bool)
+            inner = (batch.column("x").to_numpy() == batch.column("y").to_numpy()).tolist()
+            for x, y, same in zip(ends[:-1].tolist(), ends[1:].tolist(), inner, strict=True):
+                unit, own = _matrix(vectors.slice(x, y - x)), np.flatnonzero(first[x:y])
+                other = own if same else np.flatnonzero(~first[x:y])
+                angle = np.arccos(np.clip(unit[own] @ unit[other].T, -1.0, 1.0))
+                close = angle <= radius[x:y][own][:, None] + radius[x:y][other][None, :] + room
+                if same:
+                    close = np.triu(close, 1)
+                a, b = np.nonzero(close)
+                yield pa.RecordBatch.from_pydict({"p": pa.array(ids[x:y][own][a]), "q": pa.array(ids[x:y][other][b])})
+
+    with rows_per_batch(centers.sparkSession, 8):
+        return stored(groups.select("x", "y", "members").mapInArrow(near, "p bigint, q bigint"), "embedding-near")
+
+
+def bridges(nodes: DataFrame, lists: DataFrame, component: DataFrame, threshold: float, k: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b, cosine) between saturated nodes of different components: at least one for any two components that have one."""
+    full = lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("worst")).where((F.col("n") >= k) & (F.col("worst") >= threshold))
+    member = nodes.join(component, nodes.id == component.node).join(full.select(F.col("a").alias("id")), "id", "left_semi")
+    member = stored(member.select("component", "id", "label", "size", "embedding"), "embedding-saturated")
+    pivots = member.groupBy("component").agg(F.min_by("embedding", "id").alias("pivot"))
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angle = np.zeros(len(batch))
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                one, two = (_matrix(batch.column(c).take(pa.array(rows))) for c in ("embedding", "pivot"))
+                angle[rows] = np.arccos(np.clip((one * two).sum(axis=1), -1.0, 1.0))
+            yield pa.RecordBatch.from_pydict({"component": batch.column("component"), "angle": pa.array(angle)})
+
+    away = member.join(pivots, "component").select("component", "size", "embedding", "pivot").mapInArrow(turned, "component bigint, angle double")
+    radius = away.groupBy("component").agg(F.max("angle").alias("radius"))
+    kinds = member.groupBy("component").agg(
+        F.first("label").alias("label"), F.first("size").alias("size"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")
+    )
+    centers = stored(kinds.join(pivots.withColumnRenamed("pivot", "embedding"), "component").join(radius, "component"), "embedding-centers")
+    pairs = _near_components(centers, threshold, block)
+    # Each block of one component meets each block of the other.
+    sides = [centers.select(F.col("component").alias(c), F.col("blocks").alias(f"{c}_blocks")) for c in ("p", "q")]
+    pairs = pairs.join(sides[0], "p").join(sides[1], "q")
+    dealt = member.join(centers.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("component", "block", "id", "embedding")
+    meeting = []
+    for own, other, x, y in (("p", "q", "x", "y"), ("q", "p", "y", "x")):
+        met = pairs.join(dealt.withColumnRenamed("component", own), own).withColumnRenamed("block", x)
+        met = met.withColumn(y, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+        meeting.append(met.select("p", "q", "x", "y", F.lit(own == "p").alias("first"), "id", "embedding"))
+    groups = meeting[0].union(meeting[1]).groupBy("p", "q", "x", "y").agg(F.collect_list(F.struct("first", "id", "embedding")).alias("members"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, found = batch.column("members"), []
+            ends = members.offsets.to_numpy().astype(np.int64)
+            ends = ends - ends[0]
+            flat = members.flatten()
+            ids, vectors = flat.field("id").to_numpy(), flat.field("embedding")
+            first = flat.field("first").to_numpy(zero_copy_only=False).astype(bool)
+            for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                unit, own, other = _matrix(vectors.slice(x, y - x)), np.flatnonzero(first[x:y]), np.flatnonzero(~first[x:y])
+                if not len(own) or not len(other):
+                    continue
+                cosine = unit[own] @ unit[other].T
+                a, b = np.unravel_index(cosine.argmax(), cosine.shape)
+                if cosine[a, b] >= threshold:
+                    found.append((ids[x:y][own[a : a + 1]], ids[x:y][other[b : b + 1]], cosine[a, b : b + 1]))
+            yield _emitted(found)
+
+    with rows_per_batch(nodes.sparkSession, 8):  # a row has 2 * BLOCK vectors or so
+        return stored(groups.select("members").mapInArrow(linked, _EDGES), "embedding-bridges")
+
+
+def components_of(nodes: DataFrame, lists: DataFrame, threshold: float, k: int) -> DataFrame:
+    """node, component by the links in `lists` and those that saturated lists had no room for."""
+    links = lists.where(F.col("cosine") >= threshold).select("a", "b")
+    component = stored(connected_components(links), "embedding-components")
+    across = bridges(nodes, lists, component, threshold, k).select("a", "b")
+    if across.isEmpty():
+        return component
+    held = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return stored(connected_components(held.union(across)), "embedding-components")
+
+
 def near_duplicates(
     embeddings: DataFrame, *, threshold: float = THRESHOLD, k: int = NEIGHBOURS, rounds: int = MOST_ROUNDS, enough: float = ENOUGH
 ) -> DataFrame:
@@ -246,14 +352,13 @@ def near_duplicates(
         before, links = links, lists.where(F.col("cosine") >= threshold).count()
         if links - before > NEW_LINKS * max(links, 1):
             continue
-        component = connected_components(lists.where(F.col("cosine") >= threshold).select("a", "b"))
+        component = components_of(nodes, lists, threshold, k)
         ends = [component.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in ("a", "b")]
         met = truth.join(ends[0], "a").join(ends[1], "b").where("of_a = of_b").count()
         if met >= enough * asked:
             break
     if component is None:
-        component = connected_components(lists.where(F.col("cosine") >= threshold).select("a", "b"))
-    component = stored(component, "embedding-components")
+        component = components_of(nodes, lists, threshold, k)
     counted = links_within(nodes, component, threshold)
     classes = nodes.join(component, nodes.id == component.node, "left").join(counted, "id", "left").select(
         F.col("label").alias("_label"),

@@ -179,6 +179,23 @@ def test_links_and_components_match_brute_force(spark):
     assert found == true and got == want  # small enough for full recall
 
 
+def test_dense_groups_joined_by_weaker_links_are_one_component(spark):
+    rng = np.random.default_rng(7)
+    turn, rows = np.arccos(0.984), []
+    for group, angle in enumerate((0.0, turn, 2 * turn, np.pi / 2)):  # the last one is on its own
+        base = np.zeros(16)
+        base[:2] = np.cos(angle), np.sin(angle)
+        rows += [(100 * group + i, (base + 0.004 * rng.standard_normal(16)).tolist(), 1) for i in range(25)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in N.near_duplicates(df).collect())
+    assert got == links_by_brute_force(rows) and {r[2] for r in got} == {0, 300}
+    nodes = N.nodes_of(df)
+    lists = N.stored(N.first_graph(nodes, 8), "lists")
+    apart = N.stored(N.connected_components(lists.where("cosine >= 0.98").select("a", "b")), "apart")
+    across = {(r.a // 100, r.b // 100) for r in N.bridges(nodes, lists, apart, 0.98, 8, block=4).collect()}
+    assert across and {tuple(sorted(x)) for x in across} <= {(0, 1), (1, 2)}
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert N.near_duplicates(df).collect() == []
