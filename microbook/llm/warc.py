@@ -10,7 +10,7 @@ payload. Ranges are then read again from their verified entries on.
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -25,8 +25,9 @@ VERSION = b"WARC/1.1\r\n"
 REVISIT_FROM = 100
 FILE_BYTES = 1 << 30
 RANGE_BYTES = 16 << 20
-#: A header longer than this is not one that this writer or any known crawler makes.
+#: Bytes read at first for a header; a longer one is read on to its end. The name of a field is never longer.
 HEADER_BYTES = 1 << 16
+_CUT = -2
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = re.compile(r"<urn:page:(-?\d+|null)>")
 
@@ -70,10 +71,24 @@ class Header(NamedTuple):
         return self.size + self.payload + 4
 
 
+def header_end(data: bytes, at: int) -> int:
+    """Where the blank line after the header at `at` begins; -1 if there is no header, _CUT if `data` ends before that is known."""
+    if not data.startswith(VERSION, at):
+        return -1
+    at += len(VERSION)
+    while (stop := data.find(b"\r\n", at)) != at:
+        if data.find(b":", at, min(at + HEADER_BYTES, len(data) if stop < 0 else stop)) < 0 and (stop >= 0 or len(data) - at >= HEADER_BYTES):
+            return -1
+        if stop < 0:
+            return _CUT
+        at = stop + 2
+    return at - 2
+
+
 def parse_header(data: bytes, at: int) -> Header | None:
     """The header that begins at `at`, or None if there is none."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0 or not data.startswith(VERSION, at):
+    end = header_end(data, at)
+    if end < 0:
         return None
     fields = {}
     for line in data[at + len(VERSION) : end].split(b"\r\n"):
@@ -87,11 +102,24 @@ def parse_header(data: bytes, at: int) -> Header | None:
     return Header(fields, end + 4 - at, int(length))
 
 
-def candidates(data: bytes, base: int, upto: int) -> dict[int, int]:
-    """Offset -> successor of all that looks like a record and begins in [base, upto); `data` begins at `base`."""
+def whole_header(data: bytes, at: int, left: int, read: Callable[[int], bytes]) -> Header | None:
+    """parse_header, but a header that `data` cuts is read to its end; `left`: bytes of the file from `at` on, `read`: its first n."""
+    while len(data) - at < left and header_end(data, at) == _CUT:
+        data, at = read(min(left, max(HEADER_BYTES, 2 * (len(data) - at)))), 0
+    return parse_header(data, at)
+
+
+def candidates(data: bytes, base: int, upto: int, size: int | None = None, read: Callable[[int, int], bytes] | None = None) -> dict[int, int]:
+    """Offset -> successor of all that looks like a record and begins in [base, upto); `data` begins at `base`.
+
+    A record follows the blank line that ends the one before. So headers of candidates never overlap, and only the last can be cut;
+    then the file, of `size` bytes, is read on by read(bytes, offset).
+    """
     found, at = {}, data.find(VERSION)
     while 0 <= at < upto - base:
-        if header := parse_header(data, at):
+        left = len(data) - at if size is None else size - base - at
+        follows = at < 4 or data.startswith(b"\r\n\r\n", at - 4)
+        if follows and (header := whole_header(data, at, left, lambda n, at=at: read(n, base + at))):
             found[base + at] = base + at + header.whole
         at = data.find(VERSION, at + 1)
     return found
@@ -173,8 +201,9 @@ def scan(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                data = open_input(row.path).read_at(min(row.upto + HEADER_BYTES, row.bytes) - row.base, row.base)
-                out = exits(candidates(data, row.base, row.upto), row.upto)
+                file = open_input(row.path)
+                data = file.read_at(min(row.upto + HEADER_BYTES, row.bytes) - row.base, row.base)
+                out = exits(candidates(data, row.base, row.upto, row.bytes, file.read_at), row.upto)
                 yield pd.DataFrame({"path": row.path, "base": row.base, "at": list(out.keys()), "leaves": list(out.values())})
 
     return _ranges(manifest, range_bytes).mapInPandas(scanned, "path string, base bigint, at bigint, leaves bigint")
@@ -202,7 +231,7 @@ _RECORD = "page_id bigint, record_type string, refers_to bigint, payload_bytes b
 def read_warc(manifest: DataFrame, range_bytes: int = RANGE_BYTES, *, payloads: bool = False) -> DataFrame:
     """The real records: page_id, record_type, refers_to, payload_bytes, payload_digest (of the payload there), url, at, path.
 
-    With `payloads` the payload itself comes too. A file whose chain breaks before its end gives the records before the break.
+    With `payloads` the payload itself comes too. A file whose chain breaks before its end is an error.
     """
     ranges_of = F.ceil(F.max("bytes") / range_bytes)
     most_ranges = manifest.agg(ranges_of).first()[0] or 0
@@ -222,9 +251,9 @@ def read_warc(manifest: DataFrame, range_bytes: int = RANGE_BYTES, *, payloads:
                 while at < row.upto:
                     if len(data) < HEADER_BYTES and at + len(data) < row.bytes:
                         data = file.read_at(min(HEADER_BYTES, row.bytes - at), at)
-                    header = parse_header(data, 0)
-                    if header is None:
-                        break
+                    header = whole_header(data, 0, row.bytes - at, lambda n, at=at: file.read_at(n, at))
+                    if header is None or at + header.whole > row.bytes:
+                        raise ValueError(f"{row.path} has no whole record at {at}")
                     if len(data) < header.whole:
                         data = file.read_at(header.whole, at)
                     body = data[header.size : header.size + header.payload]
@@ -253,7 +282,16 @@ def resolved(records: DataFrame) -> DataFrame:
     return records.where("record_type <> 'revisit'").unionByName(referred)
 
 
+def check_complete(manifest: DataFrame, records: DataFrame) -> None:
+    """An error if a file of the manifest did not give as many records as were written to it."""
+    read = records.groupBy("path").agg(F.count(F.lit(1)).alias("read"))
+    wrong = manifest.join(read, "path", "left").where(F.col("records") != F.coalesce("read", F.lit(0))).select("path", "records", "read")
+    if differing := wrong.take(5):
+        raise ValueError("records written and read differ: " + ", ".join(f"{r.path} {r.records} {r.read or 0}" for r in differing))
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, *, folder: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     manifest = write_warc(pages, folder or new_folder(spark, "warc"))
     records = stored(read_warc(manifest, range_bytes), "warc-records")
+    check_complete(manifest, records)
     return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -65,6 +65,31 @@ def test_no_pages_and_null_ids(spark):
     assert (row.page_id, row.payload_bytes, row.record_type, row.refers_to) == (None, 0, "response", None)
 
 
+@pytest.mark.parametrize("range_bytes", [5_000, 1 << 24])
+def test_very_long_urls_lose_nothing(spark, range_bytes):
+    rows = [(i, f"http://h/{i}", f"page {i} " * 40) for i in range(9)]
+    rows[4] = (4, "data:," + "x" * 200_000, "WARC/1.1\r\nx: " + "y" * 100_000)
+    rows.append((90, "u", rows[4][2]))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    got = W.round_trip(spark, df, range_bytes=range_bytes).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
+
+
+def test_broken_files_are_errors(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(9)], "page_id bigint, url string, html string").coalesce(1)
+    manifest = W.write_warc(df, str(tmp_path / "w"))
+    records = W.stored(W.read_warc(manifest), "records")
+    W.check_complete(manifest, records)
+    with pytest.raises(ValueError, match="differ"):
+        W.check_complete(manifest, records.where("page_id <> 5"))
+    path = manifest.first().path.removeprefix("file://")
+    data = open(path, "rb").read()
+    with open(path, "wb") as file:
+        file.write(data.replace(b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:6>", b"WARC_Type: response\r\nWARC-Record-ID: <urn:page:6>"))
+    with pytest.raises(Exception, match="no whole record"):
+        W.read_warc(manifest).collect()
+
+
 def test_headers():
     data = W.record("response", 5, "u", "d", b"body")
     assert W.parse_header(data, 0).whole == len(data)
