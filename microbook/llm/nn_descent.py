@@ -4,7 +4,9 @@ Vectors are compared only with equal label (and dimension). Equal vectors are on
 from sorted orders by random hyperplanes: neighbours in an order are compared in windows. Rounds then compare all neighbours of a
 node with each other (forward and reverse lists), which is how neighbours of neighbours meet, and keep the best of each node.
 Rounds end when links at or above the threshold stop appearing and an audit (a bounded set of queries chosen by hash, each
-compared with all vectors) finds enough of its links inside the components found so far.
+compared with all vectors) finds enough of its links inside the components found so far. Recall is the mean over queries, taken apart
+for those with few and with many links, of which the worse counts. If it is too low, lists get twice as long, new orders are added and
+rounds go on; if that does not help either, the result is an error that names the recall.
 
 A list that is full of links is saturated: it must be longer than it is. Inside a component, lists are enlarged to the component: its
 members are compared in blocks, and only the numbers of links come out, never the pairs. A link that leaves the component is missing
@@ -33,8 +35,13 @@ WINDOW = 64
 CHUNK = 64
 BLOCK = 512
 MOST_ROUNDS = 8
+#: Queries of one block of the audit, at most so many blocks (each twice the one before), until so many queries have few links.
 AUDITED = 256
+AUDIT_BLOCKS = 5
+LEAST_LINKED = 64
 ENOUGH = 0.95
+#: How often lists are made twice as long before a failed audit is an error.
+MOST_ENLARGED = 3
 #: Rounds go on while they find more than this share of new links.
 NEW_LINKS = 0.002
 
@@ -82,8 +89,8 @@ def _emitted(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "cosine": pa.array(c.astype(float))})
 
 
-def first_graph(nodes: DataFrame, k: int, orders: int = ORDERS) -> DataFrame:
-    """Neighbours in `orders` sorted orders: each is one range shuffle of the vectors."""
+def first_graph(nodes: DataFrame, k: int, orders: int = ORDERS, begin: int = 0) -> DataFrame:
+    """Neighbours in `orders` sorted orders, from number `begin` on: each is one range shuffle of the vectors."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +100,7 @@ def first_graph(nodes: DataFrame, k: int, orders: int = ORDERS) -> DataFrame:
                 rows = np.flatnonzero(sizes == size)
                 unit = _matrix(batch.column("embedding").take(pa.array(rows)))
                 for order in range(orders):
-                    side = unit @ np.random.default_rng((order, int(size))).standard_normal((int(size), PLANES)) > 0
+                    side = unit @ np.random.default_rng((begin + order, int(size))).standard_normal((int(size), PLANES)) > 0
                     codes[rows, order] = side @ (1 << np.arange(PLANES - 1, -1, -1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, orders), pa.int32()), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [lists], [*kept, "codes"])
@@ -161,32 +168,55 @@ def descend(lists: DataFrame, nodes: DataFrame, k: int, number: int) -> DataFram
     return best_of(groups.select("members").mapInArrow(met, _EDGES).union(lists), k)
 
 
-def audit(nodes: DataFrame, audited: int = AUDITED) -> DataFrame:
-    """All links (a, b, cosine) of a bounded set of queries chosen by hash, by comparing them with every vector."""
-    queries = nodes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(audited).select("id", "label", "size", "embedding").toArrow()
+def audit(nodes: DataFrame, audited: int = AUDITED, skipped: int = 0, threshold: float = THRESHOLD) -> DataFrame:
+    """All links (a, b, cosine) of `audited` queries in an order by hash, after the first `skipped`, by comparing them with every vector."""
+    ordered = nodes.select("id", "label", "size", "embedding").orderBy(F.xxhash64("id", F.lit("audit")), "id")
+    queries = ordered.offset(skipped).limit(audited).toArrow()
     ids = queries.column("id").to_numpy()
     key = list(zip(queries.column("label").to_pylist(), queries.column("size").to_pylist(), strict=True))
     by: dict[tuple, list[int]] = {}
     for at, k in enumerate(key):
         by.setdefault(k, []).append(at)
     vectors = queries.column("embedding").to_pylist()
-    asked = {k: (ids[at], _unit(np.array([vectors[i] for i in at], float))) for k, at in by.items()}
+    parts = [(k, at[i : i + AUDITED]) for k, at in by.items() for i in range(0, len(at), AUDITED)]
+    asked = [(k, ids[at], _unit(np.array([vectors[i] for i in at], float))) for k, at in parts]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "size"))
             own, found = batch.column("id").to_numpy(), []
-            for (wanted, dimension), (of, unit) in asked.items():
+            for (wanted, dimension), of, unit in asked:
                 rows = np.flatnonzero((label == wanted) & (size == dimension))
                 if len(rows):
                     cosine = unit @ _matrix(batch.column("embedding").take(pa.array(rows))).T
-                    q, r = np.nonzero((cosine >= THRESHOLD) & (of[:, None] != own[rows][None, :]))
+                    q, r = np.nonzero((cosine >= threshold) & (of[:, None] != own[rows][None, :]))
                     found.append((of[q], own[rows][r], cosine[q, r]))
             yield _emitted(found)
 
     return nodes.select("id", "label", "size", "embedding").mapInArrow(compared, _EDGES)
 
 
+def audited_links(nodes: DataFrame, few: int, least: int = LEAST_LINKED, threshold: float = THRESHOLD) -> DataFrame:
+    """Links of audited queries (a, b, cosine, n: links of a). Blocks are drawn until `least` queries with at most `few` links are among them."""
+    total, drawn, block, found = nodes.count(), 0, AUDITED, None
+    for _ in range(AUDIT_BLOCKS):
+        links = stored(audit(nodes, block, drawn, threshold), "embedding-audit")
+        counted = links.join(links.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+        found = counted if found is None else found.union(counted)
+        drawn, block = drawn + block, 2 * block
+        if drawn >= total or found.where(F.col("n") <= few).select("a").distinct().count() >= least:
+            break
+    return stored(found, "embedding-audit")
+
+
+def recall_of(truth: DataFrame, component: DataFrame, few: int) -> float:
+    """Mean share of a query's links inside its component; the smaller one of queries with at most `few` links and with more. 1 without links."""
+    ends = [component.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in ("a", "b")]
+    met = F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)).cast("double")
+    shares = truth.join(ends[0], "a", "left").join(ends[1], "b", "left").groupBy("a", (F.col("n") <= few).alias("few")).agg(F.avg(met).alias("share"))
+    return min((row["recall"] for row in shares.groupBy("few").agg(F.avg("share").alias("recall")).collect()), default=1.0)
+
+
 def links_within(nodes: DataFrame, component: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Numbers of links of each node inside its component (id, links), counting copies: members are compared block by block."""
     member = nodes.join(component, nodes.id == component.node).select("component", "id", "copies", "embedding")
@@ -342,23 +372,25 @@ def near_duplicates(
     """
     nodes = stored(nodes_of(embeddings), "embedding-nodes")
     lists = stored(first_graph(nodes, k), "embedding-lists")
-    truth = stored(audit(nodes), "embedding-audit")
-    asked = truth.count()
-    links = lists.where(F.col("cosine") >= threshold).count()
-    component = None
-    for number in range(rounds):
-        with rows_per_batch(nodes.sparkSession, 256):  # a row has CHUNK vectors or so
-            lists = stored(descend(lists, nodes, k, number), "embedding-lists")
-        before, links = links, lists.where(F.col("cosine") >= threshold).count()
-        if links - before > NEW_LINKS * max(links, 1):
-            continue
+    few = k
+    truth = audited_links(nodes, few, threshold=threshold)
+    for enlarged in range(MOST_ENLARGED + 1):
+        if enlarged:
+            k *= 2
+            lists = stored(best_of(lists.union(first_graph(nodes, k, begin=enlarged * ORDERS)), k), "embedding-lists")
+        links = lists.where(F.col("cosine") >= threshold).count()
+        for number in range(rounds):
+            with rows_per_batch(nodes.sparkSession, 256):  # a row has CHUNK vectors or so
+                lists = stored(descend(lists, nodes, k, enlarged * rounds + number), "embedding-lists")
+            before, links = links, lists.where(F.col("cosine") >= threshold).count()
+            if links - before <= NEW_LINKS * max(links, 1):
+                break
         component = components_of(nodes, lists, threshold, k)
-        ends = [component.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in ("a", "b")]
-        met = truth.join(ends[0], "a").join(ends[1], "b").where("of_a = of_b").count()
-        if met >= enough * asked:
+        recall = recall_of(truth, component, few)
+        if recall >= enough:
             break
-    if component is None:
-        component = components_of(nodes, lists, threshold, k)
+    else:
+        raise RuntimeError(f"recall of audited embeddings is {recall:.4f} with lists of {k}, less than {enough}")
     counted = links_within(nodes, component, threshold)
     classes = nodes.join(component, nodes.id == component.node, "left").join(counted, "id", "left").select(
         F.col("label").alias("_label"),

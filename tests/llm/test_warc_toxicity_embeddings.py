@@ -221,6 +221,23 @@ def test_dense_groups_joined_by_weaker_links_are_one_component(spark):
     assert across and {tuple(sorted(x)) for x in across} <= {(0, 1), (1, 2)}
 
 
+def test_the_audit_can_fail_and_sees_small_groups(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(16)
+    rows = [(i, (base + 0.01 * rng.standard_normal(16)).tolist(), 1) for i in range(300)]  # one large group, and pairs
+    rows += [(1000 + 2 * i + j, x.tolist(), 1) for i in range(40) for x in [rng.standard_normal(16)] for j, x in enumerate((x, x + 0.001))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    nodes = N.stored(N.nodes_of(df), "nodes")
+    truth = N.audited_links(nodes, 8)
+    assert truth.where("n <= 8").select("a").distinct().count() >= 64
+    group = nodes.where("id < 1000").selectExpr("id AS node", "0L AS component")
+    assert N.recall_of(truth, group, 8) == 0.0  # nearly all links are found, but no pair
+    assert N.recall_of(truth, group.union(nodes.where("id >= 1000").selectExpr("id", "id - id % 2")), 8) == 1.0
+    monkeypatch.setattr(N, "MOST_ENLARGED", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        N.near_duplicates(df.where("vec_id >= 1000"), rounds=1, enough=1.5)
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert N.near_duplicates(df).collect() == []
