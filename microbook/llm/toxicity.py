@@ -6,16 +6,19 @@ ones at the rate of the class prior. With class prior p and a linear score f, th
     p R_pos(f, +) + max(0, R_unl(f, -) - p R_pos(f, -))
 
 where the second part estimates the risk on true negatives. When it falls below zero, that is overfitting of the
-unlabelled rows, and the step goes the other way. Features are hashed presence of words and word beginnings, of which only those
-count that positives have significantly more often than unlabelled texts; a text's evidence is the sum of its features' weights,
-so one insult counts the same in a short and in a long text.
+unlabelled rows, and the step goes the other way. Features are presence of words and word beginnings by 64-bit hash, of which only those
+count that positives have significantly more often than unlabelled texts; a text's evidence is the sum of its features' weights, less
+what a clean text with as many features has by chance. So one insult counts the same in a short and in a long text, and length alone
+is no evidence.
 
 Training rows are a bounded sample of the labelled rows (`most_rows`, chosen by hash); the class prior is counted over all of
-them. Features are counted and chosen by Spark; the driver gets the chosen ones alone. Scoring is one pass over all texts without a shuffle; the weights have a fixed size whatever the corpus.
+them. Features are counted and chosen by Spark; the driver gets the chosen ones alone, 2 ** BITS
+at most. Scoring is one pass over all texts without a shuffle.
 """
 
-import zlib
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from microbook.llm.tables import stored
 from microbook.llm.tokens import slices
 
+#: At most 2 ** BITS features are chosen.
 BITS = 18
 MOST_ROWS = 20_000
 THRESHOLD = 0.7
@@ -39,15 +43,15 @@ _WORDS_KEPT = 500_000
 class Features:
     """Hashed features of words; a word is looked at once per worker."""
 
-    def __init__(self, bits: int = BITS):
-        self._mask, self._known = (1 << bits) - 1, {}
+    def __init__(self):
+        self._known = {}
 
     def _of(self, word: str) -> list[int]:
         core = word.strip(_STRIP)
         if not core:
             return []
         names = [f"w {core}", *(f"b {core[:n]}" for n in BEGINNINGS if len(core) > n)]
-        return [zlib.crc32(name.encode()) & self._mask for name in names]
+        return [int.from_bytes(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for name in names]
 
     def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Distinct features of all texts one after the other, and the number of features of each; NULL has none."""
@@ -71,8 +75,12 @@ class Features:
         features = flat[np.arange(total) + np.repeat(begin[codes] - (after - per_word), per_word)]
         per_text = np.diff(np.concatenate([[0], after])[ends - ends[0]])
         # distinct within a text
-        keyed = np.unique((np.repeat(np.arange(len(texts)), per_text) << 32) | features)
-        return keyed & 0xFFFFFFFF, np.bincount(keyed >> 32, minlength=len(texts))
+        of = np.repeat(np.arange(len(texts)), per_text)
+        order = np.lexsort((features, of))
+        features, of = features[order], of[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (features[1:] != features[:-1]) | (of[1:] != of[:-1])
+        return features[new], np.bincount(of[new], minlength=len(texts))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -85,15 +93,28 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def telling(rows: DataFrame, least_z: float = LEAST_Z) -> list[int]:
-    """Features that positives have significantly more often than unlabelled texts; `rows`: toxic, features. At most 2 ** bits."""
+class Model(NamedTuple):
+    features: np.ndarray  # 64-bit hashes in order
+    weights: np.ndarray  # one per feature, the bias last
+    chance: float  # evidence by chance for each distinct feature of a clean text
+
+
+def positions(features: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Position of each feature in the ordered `chosen`, len(chosen) if it is not there."""
+    at = np.searchsorted(chosen, features)
+    return np.where(np.append(chosen, 0)[at] == features, at, len(chosen)) if len(chosen) else np.zeros(len(features), np.int64)
+
+
+def telling(rows: DataFrame, least_z: float = LEAST_Z, most: int = 1 << BITS) -> list[int]:
+    """Features that positives have significantly more often than unlabelled texts; `rows`: toxic, features. The `most` significant ones."""
     n_all, n_pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = rows.select(F.explode("features").alias("feature"), "toxic").groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("in_pos")
     )
     rate = (F.col("n") + 1.0) / (n_all + 2.0)
     excess = F.col("in_pos") - n_pos * rate
-    chosen = counts.where((F.col("in_pos") >= 2) & (excess > least_z * F.sqrt(n_pos * rate * (1 - rate))))
+    deviation = F.sqrt(n_pos * rate * (1 - rate))
+    chosen = counts.where((F.col("in_pos") >= 2) & (excess > least_z * deviation)).orderBy((excess / deviation).desc(), "feature").limit(most)
     return sorted(r["feature"] for r in chosen.select("feature").collect())
 
 
@@ -104,12 +125,13 @@ def train(
     prior: float,
     *,
     bits: int = BITS,
+    size: int | None = None,
     steps: int = 400,
     rate: float = 0.05,
     shrink: float = 1e-6,
 ) -> np.ndarray:
     """Weights (one per feature, the bias last) that minimise the non-negative risk with logistic loss, by Adam."""
-    size = 1 << bits
+    size = 1 << bits if size is None else size
     weights, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     pos, unl = np.flatnonzero(positive), np.arange(len(positive))
     if not 0 < len(pos) < len(unl):
@@ -144,7 +166,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, bits: int = BITS, **how) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, bits: int = BITS, **how) -> Model:
     """Weights learnt from the labelled rows that are not held out. A document with several labels is toxic if one says so."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -156,44 +178,54 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, bits:
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Features(bits)
+        of = Features()
         for batch in slices(batches, "text"):
             found, lengths = of.rows(batch.column("text"))
             ends = np.concatenate([[0], np.cumsum(lengths)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "features"])
 
-    schema = "doc_id bigint, toxic int, features array<int>"
+    schema = "doc_id bigint, toxic int, features array<bigint>"
     rows = stored(texts.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(featured, schema), "toxic-train")
-    chosen = np.zeros(1 << bits, bool)
-    chosen[telling(rows)] = True
+    chosen = np.array(telling(rows, most=1 << bits), np.int64)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column("features")
-            keep = chosen[found.flatten().to_numpy()]
+            at = positions(found.flatten().to_numpy(), chosen)
+            keep = at < len(chosen)
             ends = found.offsets.to_numpy().astype(np.int64)
-            flat = found.flatten().filter(pa.array(keep))
+            flat = pa.array(at[keep])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)])[ends - ends[0]], pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "features"])
+            size = pa.array(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists, size], ["doc_id", "toxic", "features", "size"])
 
-    taken = rows.mapInArrow(kept, schema).orderBy("doc_id").toArrow().combine_chunks()
+    taken = rows.mapInArrow(kept, schema + ", size bigint").orderBy("doc_id").toArrow().combine_chunks()
     lists = taken.column("features").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy().astype(np.int64)) if len(taken) else np.zeros(0, np.int64)
     flat = lists.flatten().to_numpy().astype(np.int64) if len(taken) else np.zeros(0, np.int64)
     positive = taken.column("toxic").to_numpy().astype(bool) if len(taken) else np.zeros(0, bool)
-    return train(flat, lengths, positive, prior, bits=bits, **how)
+    weights = train(flat, lengths, positive, prior, size=len(chosen), **how)
+    sizes = taken.column("size").to_numpy().astype(float) if len(taken) else np.zeros(0)
+    return Model(chosen, weights, by_chance(_sums(weights[flat], lengths), sizes, positive))
+
+
+def by_chance(evidence: np.ndarray, sizes: np.ndarray, positive: np.ndarray) -> float:
+    """Evidence for each distinct feature of the rows that are no positives."""
+    clean = sizes.sum() - sizes[positive].sum()
+    return max(0.0, float(evidence.sum() - evidence[positive].sum())) / clean if clean > 0 else 0.0
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, bits: int = BITS, columns: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, *, columns: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
     """`columns` of each row and its score as `out`; NULL or empty text scores as the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2 ** bits + 1 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS features
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, known = Features(bits), shared.value
+        of, (chosen, weights, chance) = Features(), shared.value
+        known = np.append(weights[:-1], 0.0)
         for batch in slices(batches, "text"):
             found, lengths = of.rows(batch.column("text"))
-            value = _sigmoid(_sums(known[found].astype(float), lengths) + float(known[-1]))
+            value = _sigmoid(_sums(known[positions(found, chosen)], lengths) - chance * lengths + weights[-1])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(value)], [*columns, out])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}

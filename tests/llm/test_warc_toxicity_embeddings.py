@@ -137,6 +137,16 @@ def test_held_out_toxic_texts_are_found_and_clean_ones_left_alone(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if not r.predicted}
 
 
+def test_length_alone_is_no_evidence(spark):
+    docs, labels = toxic_corpus(spark)
+    model = T.fit(docs, labels)
+    long = " ".join(f"{i:x}{i * 7919 % 99991}q" for i in range(100_000))
+    texts = spark.createDataFrame([(1, long), (2, "w1 w2 w3"), (3, "w1 vileperson idiotic!")], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in T.score(texts, model).collect()}
+    assert got[1] < 0.3 and got[2] < 0.3 and got[3] > 0.7
+    assert T.by_chance(np.array([2.0, 2.0, 9.0]), np.array([10.0, 30.0, 50.0]), np.array([False, False, True])) == 0.1
+
+
 def test_toxicity_without_labels_or_documents(spark):
     docs, labels = toxic_corpus(spark, 20)
     assert all(r.predicted == 0 for r in T.toxicity(docs, labels.limit(0)).collect())
