@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from microbook.llm import exact_dedup, licenses, mixing, ngram_join, nn_descent, packing, token_counts, token_ids, toxicity, warc
+from microbook.llm import exact_dedup, licenses, mixing, ngram_join, nn_descent, packing, resampling, token_counts, token_ids, toxicity, warc
 from microbook.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op8_nn_descent": op8_nn_descent,
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_resampling": op11_resampling,
 }
 
 
@@ -152,4 +158,54 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_resampling": r"""
+        WITH steps AS (
+            SELECT list(v ORDER BY b) AS step
+            FROM (
+                SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+                FROM range(256) r(b)
+            )
+        ), texts AS (
+            SELECT doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark
+        ), cut AS (
+            SELECT doc_id, item_id, doc_id IS NOT NULL AS own,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM texts
+        ), runs AS (
+            SELECT doc_id, own, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature
+            FROM cut
+        ), counted AS (
+            SELECT doc_id, own, feature, count(*) AS n FROM runs GROUP BY ALL
+        ), named AS (
+            SELECT feature, hex(encode(feature)) AS bytes FROM (SELECT DISTINCT feature FROM counted)
+        ), hashed AS (
+            SELECT feature,
+                   xor(list_reduce(
+                       list_prepend(4294967295, list_transform(range(len(bytes) // 2), lambda i: CAST('0x' || bytes[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+                       lambda c, b: xor(c // 256, step[1 + (xor(c, b) & 255)])
+                   ), 4294967295) % 10000 AS bucket
+            FROM named, steps
+        ), placed AS (
+            SELECT doc_id, own, bucket, sum(n) AS n FROM counted JOIN hashed USING (feature) GROUP BY ALL
+        ), buckets AS (
+            SELECT bucket, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM placed GROUP BY bucket
+        ), totals AS (
+            SELECT sum(s) AS total_s, sum(t) AS total_t FROM buckets
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1) * (total_s + 10000) / ((s + 1) * (total_t + 10000)))) AS gain FROM buckets, totals
+        ), weighed AS (
+            SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+            FROM placed JOIN gains USING (bucket) WHERE own GROUP BY doc_id
+        ), scored AS (
+            SELECT c.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(words) >= 20 AS eligible,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+                       (CAST('0x' || sha256('7:' || c.doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM cut c LEFT JOIN weighed w ON c.doc_id = w.doc_id
+            WHERE own
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place, count(*) FILTER (eligible) OVER () AS n FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+    """,
 }
