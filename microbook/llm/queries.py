@@ -3,9 +3,10 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from microbook.llm import exact_dedup, licenses, mixing, ngram_join, nn_descent, packing, resampling, token_counts, token_ids, toxicity, warc
+from microbook.llm import exact_dedup, licenses, mixing, ngram_join, nn_descent, packing, resampling, secret_scan, token_counts, token_ids, toxicity, warc
 from microbook.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,19 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
@@ -70,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_resampling": op11_resampling,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 
