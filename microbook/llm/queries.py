@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microbook.llm import exact_dedup, licenses, mixing, ngram_join, nn_descent, packing, resampling, secret_scan, token_counts, token_ids, toxicity, warc
+from microbook.llm import exact_dedup, hard_negatives, licenses, mixing, ngram_join, nn_descent, packing, resampling, secret_scan, token_counts, token_ids, toxicity, warc
 from microbook.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_resampling": op11_resampling,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_secret_scan": op13_secret_scan,
 }
 
@@ -223,4 +230,27 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
     """,
+    "op12_hard_negatives": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), anchors AS (
+            SELECT * FROM rows WHERE vec_id % 100 = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+            FROM anchors a JOIN rows r ON a.vec_id <> r.vec_id
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+            FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER own AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives p JOIN scored s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW own AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER own <= 5
+    """,
 }
