@@ -139,8 +139,6 @@ classified AS (SELECT symbol, seq, kind, order_id, side, price, qty,
    CAST(CASE WHEN kind = 'limit' THEN qty WHEN kind = 'cancel' THEN live ELSE least(qty, live) END AS BIGINT) AS effective_qty,
    CAST(CASE WHEN kind = 'limit' THEN qty WHEN kind = 'cancel' THEN 0 ELSE live - least(qty, live) END AS BIGINT) AS remaining,
    (kind = 'limit' OR live > 0) AS accepted FROM oc)"""
-_STREAM_DEPTH = """, dp AS (SELECT *, greatest(CAST(SUM(CASE event_type WHEN 1 THEN size WHEN 5 THEN 0 ELSE -size END)
-   OVER (PARTITION BY symbol, side, price ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT), 0) AS depth FROM messages)"""
 # A level holds what accepted events left there.
 _DEPTH = _ORDERS + """, dp AS (SELECT m.*, CAST(SUM(coalesce(CASE WHEN c.kind = 'limit' THEN c.effective_qty ELSE -c.effective_qty END, 0))
    OVER (PARTITION BY m.symbol, m.side, m.price ORDER BY m.seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth
@@ -194,6 +192,35 @@ _REPLACES = """, ev AS (SELECT symbol, seq, CASE event_type WHEN 1 THEN 'limit'
    side, price, size AS qty FROM messages WHERE event_type <= 4)"""
 
 
+# Replaces of missing orders, onto live ids, onto themselves and without quantity among the others.
+_ALL_REPLACES = _REPLACES + """, ar AS (SELECT symbol, seq, kind,
+   CASE WHEN kind = 'replace' AND seq % 7 = 0 THEN old_id WHEN kind = 'replace' AND seq % 11 = 0 THEN 7 ELSE order_id END AS order_id, old_id,
+   CASE WHEN kind <> 'replace' THEN side END AS side, price, CASE WHEN kind = 'replace' AND seq % 13 = 0 THEN 0 ELSE qty END::BIGINT AS qty FROM ev),
+numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY seq) AS n FROM ar)"""
+# The order rule played event by event: sizes that rest by id, in one row per symbol and event.
+_PLAYED = _ALL_REPLACES + """, play AS (
+  SELECT symbol, 0::BIGINT AS n, MAP {}::MAP(BIGINT, STRUCT(qty BIGINT, side TINYINT)) AS live, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::BIGINT AS order_id,
+    NULL::BIGINT AS old_id, NULL::TINYINT AS side, NULL::BIGINT AS price, NULL::BIGINT AS qty, NULL::BIGINT AS own, NULL::BIGINT AS gone, NULL::VARCHAR AS reason
+  FROM (SELECT DISTINCT symbol FROM numbered)
+  UNION ALL
+  SELECT symbol, n,
+    CASE WHEN reason IS NOT NULL OR kind = 'ioc' THEN live
+      WHEN kind = 'limit' THEN map_concat(live, MAP {order_id: {'qty': qty, 'side': side}})
+      WHEN kind = 'cancel' THEN map_concat(live, MAP {order_id: {'qty': 0::BIGINT, 'side': side}})
+      ELSE map_concat(live, MAP {old_id: {'qty': 0::BIGINT, 'side': side}}, MAP {order_id: {'qty': qty, 'side': side}}) END,
+    seq, kind, order_id, old_id, side, price, qty, own, gone, reason
+  FROM (
+    SELECT p.symbol, e.n, p.live, e.seq, e.kind, e.order_id, e.old_id, CASE WHEN e.kind = 'replace' THEN p.live[e.old_id].side ELSE e.side END::TINYINT AS side,
+      e.price, e.qty, coalesce(p.live[e.order_id].qty, 0) AS own, coalesce(p.live[e.old_id].qty, 0) AS gone,
+      CASE WHEN e.kind <> 'cancel' AND e.qty <= 0 THEN 'bad_qty'
+        WHEN e.kind = 'limit' AND coalesce(p.live[e.order_id].qty, 0) > 0 THEN 'duplicate_id'
+        WHEN e.kind = 'cancel' AND coalesce(p.live[e.order_id].qty, 0) = 0 THEN 'unknown_id'
+        WHEN e.kind = 'replace' AND coalesce(p.live[e.old_id].qty, 0) = 0 THEN 'unknown_id'
+        WHEN e.kind = 'replace' AND e.old_id <> e.order_id AND coalesce(p.live[e.order_id].qty, 0) > 0 THEN 'duplicate_id' END AS reason
+    FROM play p JOIN numbered e ON e.symbol = p.symbol AND e.n = p.n + 1)),
+verdicts AS (SELECT * EXCLUDE (live, n) FROM play WHERE seq IS NOT NULL)"""
+
+
 def _range_sql(columns):
     return " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS nulls, MIN({c})::DOUBLE AS smallest, MAX({c})::DOUBLE AS largest FROM book" for c in columns
@@ -366,10 +393,19 @@ def oracle_sql() -> dict[str, str]:
       + """, (mx.seq >= 50)::INT::DOUBLE AS is_warm_50, (mx.seq >= 200)::INT::DOUBLE AS is_warm_200
       FROM mx ASOF LEFT JOIN flows f ON mx.symbol = f.symbol AND mx.seq >= f.seq""")
     cells["stream_features"] = cells["feature_matrix"]
-    cells["stream_depth"] = _q(MESSAGES + _STREAM_DEPTH, "SELECT symbol, seq, side, price, depth FROM dp")
-    cells["stream_best_prices"] = cells["best_prices"].replace(_DEPTH, _STREAM_DEPTH)
+    cells["stream_depth"] = cells["depth_by_level"]
+    cells["stream_best_prices"] = cells["best_prices"]
     cells["stream_order_ops"] = cells["route_order_ops"]
-    cells["stream_event_log"] = _q(MESSAGES, "SELECT symbol, seq, ts_ns, event_type, order_id, side, size, price FROM messages")
+    cells["accepted_events"] = _q(MESSAGES + _PLAYED, "SELECT symbol, seq, kind, order_id FROM verdicts WHERE reason IS NULL")
+    cells["stream_event_log"] = cells["accepted_events"]
+    # An accepted replace is a cancel and a limit, a refused one a single row without effect.
+    cells["classify_replaces"] = _q(MESSAGES + _PLAYED, """, whole AS (SELECT *, kind = 'replace' AND reason IS NULL AS parts FROM verdicts)
+      SELECT symbol, seq, 0 AS sub_no, CASE WHEN parts THEN 'cancel' ELSE kind END AS kind, CASE WHEN parts THEN old_id ELSE order_id END AS order_id,
+        CASE WHEN kind <> 'replace' THEN side END AS side, CASE WHEN NOT parts THEN price END AS price, CASE WHEN NOT parts THEN qty END AS qty, reason,
+        CASE WHEN reason IS NOT NULL THEN 0 WHEN parts THEN gone WHEN kind = 'cancel' THEN own ELSE qty END AS effective_qty,
+        CASE WHEN kind = 'replace' OR kind IN ('cancel', 'ioc') THEN 0 WHEN reason IS NOT NULL THEN own ELSE qty END AS remaining, reason IS NULL AS accepted
+      FROM whole
+      UNION ALL SELECT symbol, seq, 1, 'limit', order_id, side, price, qty, NULL, qty, qty, true FROM whole WHERE parts""")
     cells["labelled_dataset"] = _q(BOOK + _LABEL.format(k=10), f"SELECT symbol, {_CLASS} AS label, COUNT(*) AS n FROM lab WHERE mv IS NOT NULL GROUP BY 1, 2")
     cells["symbol_summary"] = _q(BOOK + _DIFFS + f", s2 AS (SELECT symbol, seq, {IMB} AS imb, {SPREAD} AS spr, {_full(f'SUM(db1 - da1) {_rows(50)}', 50)} AS o FROM d)",
       f"SELECT symbol, COUNT(*) AS rows, {rnd('AVG(imb)')} AS mean_imbalance, {rnd('AVG(spr)')} AS mean_spread, {rnd('AVG(o)')} AS mean_ofi_50 FROM s2 GROUP BY 1")

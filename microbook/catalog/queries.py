@@ -24,7 +24,7 @@ from microbook.plans import training as TN
 from microbook.plans.backtest import run_backtest
 from microbook.schema import FEATURE_NAMES, HORIZONS, KEYS, SYMBOLS, TOB_COLUMNS
 from microbook.sources.tob import depth_to_tob, quotes_to_tob
-from microbook.streaming import depth as SD
+from microbook.streaming import book as SB
 from microbook.streaming import features as SF
 from microbook.streaming import pipelines as PI
 
@@ -717,14 +717,21 @@ def stream_features(spark, sf):
     return _rounded_matrix(SF.stream_features(windows, GIVEN_TABLE, as_float=False))
 
 
+def _booked(stream: DataFrame, levels: int) -> DataFrame:
+    with SB.state_on_disk(stream.sparkSession):
+        return PI.run_to_table(SB.stream_book(stream, at="at", levels=levels), "booked")
+
+
 @query
 def stream_depth(spark, sf):
-    return PI.run_to_table(SD.stream_depth(_stream(spark, fx.message_log(spark, sf))), "depth").drop("trade_date")
+    events = SB.book_events(_stream(spark, fx.message_log(spark, sf)))
+    return SB.depth_rows(_booked(events, 0)).drop("trade_date")
 
 
 @query
 def stream_best_prices(spark, sf):
-    return PI.run_to_table(SD.stream_ladder(_stream(spark, fx.message_log(spark, sf))), "ladder").drop("trade_date")
+    events = SB.book_events(_stream(spark, fx.message_log(spark, sf)))
+    return SB.ladder_rows(_booked(events, 1)).drop("trade_date")
 
 
 @query
@@ -735,7 +742,8 @@ def stream_order_ops(spark, sf):
 
 @query
 def stream_event_log(spark, sf):
-    return PI.run_to_table(_stream(spark, fx.message_log(spark, sf)), "log").drop("trade_date")
+    events = _stream(spark, fx.feed(spark, sf, "replace_log", lambda: dense_index(_all_replaces(spark, sf), "at")))
+    return SB.accepted_event_log(_booked(events, 0)).select(*KEY, "kind", "order_id")
 
 
 def registered() -> dict[str, Query]:

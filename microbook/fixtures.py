@@ -5,14 +5,13 @@ would keep ingested data; everything is computed by Spark from the whole input.
 """
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microbook.partitioning import forward_fill, order_chunks, running_sum
+from microbook.partitioning import dense_index, forward_fill, order_chunks, running_sum
 from microbook.schema import KEYS, SEQ
-from microbook.session import materialise, work_dir
+from microbook.session import claim, materialise
 
 TRADE_DATE = "2012-06-21"
 
@@ -147,22 +146,44 @@ def messages_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "messages_large", build)
 
 
-def _as_feed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A table stored file after file in event order, as a feed delivers it: a later file holds later events only."""
+#: Rows of one file of a feed, index steps that stay together in it.
+FEED_ROWS, FEED_STEP = 16_384, 1_024
+
+
+def _written_once(spark: SparkSession, sf_dir: str, name: str, write) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _tables:
+        path = claim(spark, name)
+        write(path)
+        _tables[key] = spark.read.parquet(path)
+    return _tables[key]
+
+
+def feed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table stored as files of bounded size that arrive in any order: steps of the index are dealt by hash, in one job."""
+
+    def write(path: str) -> None:
+        build().repartition(F.expr(f"{SEQ} div {FEED_STEP}")).write.option("maxRecordsPerFile", FEED_ROWS).parquet(path)
+
+    return _written_once(spark, sf_dir, name, write)
+
+
+def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with `at`, their dense index per symbol and day."""
+    return feed(spark, sf_dir, "message_log", lambda: dense_index(messages(spark, sf_dir), "at"))
+
+
+def _in_order(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table stored file after file in event order: a later file holds later events only."""
+
+    def write(path: str) -> None:
         rows = build()
-        path = os.path.join(work_dir(spark), "microbook", f"{name}-{uuid.uuid4().hex}")
         last = rows.agg(F.max(SEQ)).first()[0]
         step = min(50_000, max(500, last // 5))
         for start in range(0, last + 1, step):
             rows.where(F.col(SEQ).between(start, start + step - 1)).coalesce(1).write.mode("append").parquet(path)
-        _tables[key] = spark.read.parquet(path)
-    return _tables[key]
 
-
-def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_feed(spark, sf_dir, "message_log", lambda: messages(spark, sf_dir))
+    return _written_once(spark, sf_dir, name, write)
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +193,7 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns = messages(spark, sf_dir).select(*KEYS, SEQ, "event_type", "side", "size")
         return book(spark, sf_dir).join(columns, [*KEYS, SEQ], "left")
 
-    return _as_feed(spark, sf_dir, "joined", build)
+    return _in_order(spark, sf_dir, "joined", build)
 
 
 def folder_of(table: DataFrame) -> str:

@@ -1,7 +1,5 @@
 """Sources and sinks around the streaming operators."""
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Transformer
@@ -11,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from microbook.functions.predicates import route_order_ops
 from microbook.schema import KEYS, SEQ
-from microbook.session import work_dir
+from microbook.session import claim
 
 
 def read_event_stream(spark: SparkSession, path: str, schema, *, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,7 +28,10 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, *, by: tuple[str, .
 
 
 def event_log_stream(events: DataFrame, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
-    """Event log as a table by day and symbol, in any number of files; `seq` is the replay order."""
+    """Event log as a table by day and symbol, in any number of files; `seq` is the replay order.
+
+    Give it `streaming.book.accepted_event_log`, so that events without effect leave no trace.
+    """
     return append_stream(events, path, checkpoint, by=tuple(reversed(KEYS)), once=once)
 
 
@@ -47,6 +48,6 @@ def score_stream(features: DataFrame, score: Callable[[DataFrame], DataFrame] |
 def run_to_table(df: DataFrame, label: str) -> DataFrame:
     """Process what is available, with checkpoint and output in the shared work folder, and return the written table."""
     spark = df.sparkSession
-    root = os.path.join(work_dir(spark), "microbook", f"{label}-{uuid.uuid4().hex}")
+    root = claim(spark, label)
     append_stream(df, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/table")

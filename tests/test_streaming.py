@@ -1,4 +1,5 @@
 import os
+import random
 import tempfile
 
 import pytest
@@ -7,13 +8,15 @@ from pyspark.sql import functions as F
 from microbook import fixtures as fx
 from microbook.catalog.queries import GIVEN_TABLE, _stream
 from microbook.functions.predicates import extract_trades
+from microbook.operators import book as BK
 from microbook.operators.metrics import drift
 from microbook.operators.quality import differing_rows
 from microbook.plans.matrix import build_feature_matrix
 from microbook.schema import FEATURE_NAMES, KEYS
+from microbook.streaming import book as SB
 from microbook.streaming import features as SF
 from microbook.streaming import pipelines as PI
-from tests.helpers import frame
+from tests.helpers import DAY
 
 
 def test_stream_equals_batch(spark, sf):
@@ -95,3 +98,123 @@ def test_scores_only_observe(spark, sf):
     kept = windows.select(*KEYS, "seq", "bid_price_l1", "bid_size_l1")
     joined = kept.join(scores, [*KEYS, "seq"]).drop("score")
     assert differing_rows(joined, fx.book(spark, sf).select(kept.columns)).count() == 0
+
+
+EVENT = "symbol string, trade_date date, seq bigint, kind string, order_id bigint, old_id bigint, side tinyint, price bigint, qty bigint"
+RULES = ("accepted", "rejected")
+
+
+def brute_book(stream, levels):
+    """(reason, effective size, rest, depth at the changed level, best prices) per event, played one by one."""
+    live, out = {}, []
+    for _, kind, oid, old, side, price, qty in stream:
+        rest = live.get(oid, (0, 0, 0))
+        level, done, after, reason = (side, price), 0, 0, None
+        if kind != "cancel" and qty <= 0:
+            reason, after = "bad_qty", rest[2]
+        elif kind in ("market", "ioc"):
+            done = qty
+        elif kind == "limit" and rest[2]:
+            reason, after = "duplicate_id", rest[2]
+        elif kind == "replace":
+            was = live.get(old, (0, 0, 0))
+            reason = "unknown_id" if not was[2] else "duplicate_id" if old != oid and rest[2] else None
+            if not reason:
+                live.pop(old)
+                live[oid] = (was[0], price, qty)
+                level, done, after = (was[0], price), qty, qty
+        elif kind == "limit":
+            live[oid], done, after = (side, price, qty), qty, qty
+        elif not rest[2]:
+            reason = "unknown_id"
+        else:
+            done = rest[2] if kind == "cancel" else min(qty, rest[2])
+            after, level = rest[2] - done, rest[:2]
+            if after:
+                live[oid] = (*rest[:2], after)
+            else:
+                live.pop(oid)
+        after = 0 if kind in ("market", "ioc") or (reason and kind == "replace") else after
+        sizes = {}
+        for s, p, q in live.values():
+            sizes[s, p] = sizes.get((s, p), 0) + q
+        tops = [sorted((p for s, p in sizes if s == sign), key=lambda p: -sign * p) for sign in (1, -1)]
+        cells = []
+        for i in range(levels):
+            for sign, prices in zip((1, -1), tops):
+                cells += [prices[i], sizes[sign, prices[i]]] if i < len(prices) else [None, 0]
+        out.append((reason, done, after, sizes.get(level, 0) if None not in level else None, *cells))
+    return out
+
+
+def random_events(n, ids, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        kind = rng.choice(["limit", "limit", "limit", "replace", "replace", "execute", "reduce", "cancel", "ioc"])
+        side = rng.choice([1, -1])
+        removal = kind in ("execute", "reduce", "cancel")
+        rows.append((
+            i, kind, rng.randrange(ids) + (1 << 60), rng.randrange(ids) + (1 << 60) if kind == "replace" else None,
+            None if removal or kind == "replace" else side, None if removal else 100 - side * rng.randrange(1, 5), rng.randrange(0, 12),
+        ))
+    return rows
+
+
+def booked(spark, folder, files, levels=2, symbol="AAPL", **options):
+    """Each list of events becomes one file and one run of the stream, with the state of the runs before."""
+    for events in files:
+        full = [(symbol, DAY, *event) for event in events]
+        spark.createDataFrame(full, EVENT).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        with SB.state_on_disk(spark):
+            out = SB.stream_book(PI.read_event_stream(spark, f"{folder}/in", spark.createDataFrame([], EVENT).schema), levels=levels, **options)
+            PI.append_stream(out, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@pytest.mark.parametrize("seed,ids", [(1, 9), (2, 80)])
+def test_streamed_book_equals_events_played_one_by_one(spark, seed, ids):
+    """Files in disorder, several runs on one state; the same rows as the batch operators accept."""
+    events = random_events(240, ids, seed)
+    want = brute_book(events, 2)
+    parts = [events[i::3] if seed == 1 else events[80 * i : 80 * i + 80] for i in (2, 0, 1)]
+    out = booked(spark, tempfile.mkdtemp(prefix="spark-"), parts)
+    got = {r["seq"]: r for r in out.collect()}
+    assert out.count() == len(events) and all(r["gap"] == 0 and r["status"] in RULES for r in got.values())
+    wide = [f"{s}_{w}_l{i}" for i in (1, 2) for s in ("bid", "ask") for w in ("price", "size")]
+    assert [tuple(got[i][c] for c in ("reason", "effective_qty", "remaining", "depth", *wide)) for i in range(len(events))] == want
+    batch = spark.createDataFrame([("AAPL", DAY, *e) for e in events], EVENT)
+    accepted = BK.accepted_events(batch, BK.classify_replaces(batch))
+    assert differing_rows(SB.accepted_event_log(out).select(batch.columns), accepted).count() == 0
+
+
+def test_late_rows_gaps_and_expired_days(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    row = lambda seq, oid, qty=5: (seq, "limit", oid, None, 1, 100, qty)
+    out = booked(spark, folder, [[row(0, 1), row(1, 2)], [row(1, 9), row(4, 3), row(5, 4)]], levels=1, patience_ms=1)
+    assert sorted((r["seq"], r["status"], r["gap"]) for r in out.collect()) == [(0, "accepted", 0), (1, "accepted", 0), (1, "late", 0)]
+    out = booked(spark, folder, [[row(6, 5)]], levels=1, patience_ms=1)  # the gap has been open for longer than its patience
+    done = {(r["seq"], r["status"]): r for r in out.collect()}
+    assert {k[0] for k in done if k[1] == "accepted"} == {0, 1, 4, 5, 6}
+    assert done[4, "accepted"]["gap"] == 2 and done[6, "accepted"]["depth"] == 25
+    out = booked(spark, folder, [[row(2, 7)]], levels=1, patience_ms=1)
+    assert [r["seq"] for r in SB.dead_letters(out).orderBy("seq").collect()] == [1, 2]
+    assert SB.depth_rows(out).count() == SB.ladder_rows(out).count() == 5
+
+
+def test_a_day_without_rows_gives_its_state_back(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    row = lambda seq, oid: (seq, "limit", oid, None, 1, 100, 5)
+    booked(spark, folder, [[row(0, 1), row(1, 2)]], levels=1, expire_ms=1)
+    booked(spark, folder, [[row(0, 3)]], levels=1, symbol="MSFT", expire_ms=1)  # timers go off with any symbol's rows
+    out = booked(spark, folder, [[row(0, 1)]], levels=1, expire_ms=1)
+    assert [r["status"] for r in out.where("symbol = 'AAPL'").collect()] == ["accepted"] * 3
+
+
+def test_streamed_depth_and_ladder_equal_batch(spark, sf):
+    stream = _stream(spark, fx.message_log(spark, sf))
+    with SB.state_on_disk(spark):
+        out = PI.run_to_table(SB.stream_book(SB.book_events(stream), at="at", levels=3), "book")
+    messages = fx.messages(spark, sf)
+    assert differing_rows(SB.ladder_rows(out), BK.ladder_over_time(messages, 3)).count() == 0
+    assert differing_rows(SB.depth_rows(out), BK.depth_by_level(messages).select(*KEYS, "seq", "side", "price", "depth")).count() == 0
