@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from microbook.operators.ladder import sweep_chunk
-from microbook.partitioning import CHUNK, running_sum
+from microbook.partitioning import CHUNK, forward_fill, running_sum
 from microbook.schema import KEYS, SEQ
 from microbook.session import materialise
 
@@ -108,6 +107,53 @@ def _fold_orders(keys: list[str]):
     return fold
 
 
+#: Orders with a clash and at most so many events are folded as arrays.
+MOST_FOLDED = 1_024
+
+
+def _short_folds(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rule event by event, over the sorted array of an order's events."""
+    columns = rows.columns
+    order = [SEQ, *(["sub_no"] if "sub_no" in columns else [])]
+    carried = [*order, *(c for c in columns if c not in keys and c not in order)]
+    history = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("_events"))
+    start = F.struct(F.lit(0).cast("bigint").alias("rests"), F.array().cast("array<struct<reason: string, effective_qty: bigint, remaining: bigint>>").alias("done"))
+
+    def step(state: Column, event: Column) -> Column:
+        rests, qty, what = state["rests"], event["qty"].cast("bigint"), event["kind"]
+        reason = (
+            F.when(what == "probe", F.lit(None).cast("string")).when((what != "cancel") & (qty <= 0), "bad_qty")
+            .when((what == "limit") & (rests > 0), "duplicate_id").when((what != "limit") & (rests == 0), "unknown_id")
+        )
+        moved = (
+            F.when((what == "probe") | reason.isNotNull(), F.lit(0)).when(what == "limit", qty).when(what == "cancel", rests)
+            .otherwise(F.least(qty, rests)).cast("bigint")
+        )
+        after = F.when(what == "limit", rests + moved).otherwise(rests - moved)
+        result = F.struct(reason.alias("reason"), moved.alias("effective_qty"), after.alias("remaining"))
+        return F.struct(after.alias("rests"), F.concat(state["done"], F.array(result)).alias("done"))
+
+    played = history.withColumn("_done", F.aggregate("_events", start, step)["done"])
+    both = played.select(*keys, F.explode(F.arrays_zip("_events", "_done")).alias("_row"))
+    return both.select(*[F.col(c) if c in keys else F.col(f"_row._events.{c}") for c in columns], "_row._done.*")
+
+
+def _histories(rows: DataFrame, keys: list[str], inputs: dict[str, Column], entry: Column) -> DataFrame:
+    """Add running totals of `inputs` and `_entry`, the newest entry before the row, in one pass over the rows of each order."""
+    ordered = Window.partitionBy(*keys).orderBy("_at")
+    totals = rows.withColumns({name: F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for name, value in inputs.items()})
+    return totals.withColumn("_entry", F.last(entry, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def _long_histories(rows: DataFrame, keys: list[str], inputs: dict[str, Column], entry: Column, size: int) -> DataFrame:
+    """The same for orders with very many events, which are spread by chunks of events."""
+    totals = running_sum(rows, inputs, by=keys, order=("_at",), size=size)
+    entries = totals.select(*keys, (F.col("_at") * 2 + 1).alias("_twice"), entry.alias("_new")).where("_new IS NOT NULL")
+    stacked = totals.withColumn("_twice", F.col("_at") * 2).unionByName(entries.withColumn("_only_entry", F.lit(True)), allowMissingColumns=True)
+    filled = forward_fill(stacked, {"_entry": F.col("_new")}, by=keys, seq="_twice", size=size)
+    return filled.where("_only_entry IS NULL").drop("_twice", "_new", "_only_entry")
+
+
 def classify_order_events(events: DataFrame, *, by: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
     """Add `accepted`, `reason`, `effective_qty` (size really added or removed) and `remaining` (after the event).
 
@@ -115,27 +161,30 @@ def classify_order_events(events: DataFrame, *, by: Sequence[str] = KEYS, size:
     its `remaining` says what of its id rests at that moment. Replaces go through `classify_replaces`.
     Rejected: quantity not positive, id already resting, cancel or reduction of an id that does not rest.
 
-    An id that is entered once, the rule on an exchange, needs only running sums, which are split by event chunk. Ids entered
-    several times depend on their own history step by step and are folded in a streaming pass over sorted rows.
+    What rests of an order is its newest entry minus all removals since, nothing after a cancel: running totals, one shuffle by order.
+    Orders with more than `size` events are spread by chunks of events. This holds as long as no id is entered while it
+    rests; the few ids where that happens depend on their own history step by step and are folded in a streaming pass over
+    sorted rows. The result is stored.
     """
+    keys, columns = [*by, "order_id"], events.columns
     one_shot = events.where(F.col("kind").isin("market", "ioc"))
-    keyed = events.where(F.col("kind").isin("limit", "cancel", "probe", *_REMOVES))
+    place = F.col(SEQ) * 2 + (F.col("sub_no") if "sub_no" in columns else F.lit(0))
+    keyed = events.where(F.col("kind").isin("limit", "cancel", "probe", *_REMOVES)).withColumn("_at", place)
     valid_add = (F.col("kind") == "limit") & (F.col("qty") > 0)
-    entries = keyed.where(valid_add).groupBy(*by, "order_id").agg(
-        F.count("*").alias("_entries"), F.min(SEQ).alias("_entry"), F.min_by("qty", SEQ).alias("_entry_qty")
-    )
-    known = keyed.join(entries, [*by, "order_id"], "left")
-
-    once = known.where(F.coalesce(F.col("_entries"), F.lit(0)) < 2)
-    lives = F.coalesce(F.col(SEQ) > F.col("_entry"), F.lit(False))
-    removal = F.when(lives & F.col("kind").isin(*_REMOVES) & (F.col("qty") > 0), F.col("qty")).otherwise(F.lit(0))
-    kill = F.when(lives & (F.col("kind") == "cancel"), 1).otherwise(0)
-    summed = running_sum(
-        once, {"_removed": removal, "_killed": kill}, by=(*by, "order_id"), order=(SEQ,), size=size
-    )
-    resting = F.when(
-        lives & (F.col("_killed") - kill == 0), F.greatest(F.col("_entry_qty") - (F.col("_removed") - removal), F.lit(0))
-    ).otherwise(F.lit(0))
+    removal = F.when(F.col("kind").isin(*_REMOVES) & (F.col("qty") > 0), F.col("qty")).otherwise(F.lit(0)).cast("bigint")
+    kill = (F.col("kind") == "cancel").cast("bigint")
+    inputs = {"_removed": removal, "_killed": kill}
+    entry = F.when(valid_add, F.struct(F.col("qty").cast("bigint").alias("qty"), "_removed", "_killed"))
+    long_orders = keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size).select(*keys)
+    if long_orders.head(1):
+        long_orders = materialise(long_orders, "long-orders")
+        told = _histories(keyed.join(long_orders, keys, "left_anti"), keys, inputs, entry).unionByName(
+            _long_histories(keyed.join(long_orders, keys, "left_semi"), keys, inputs, entry, size)
+        )
+    else:
+        told = _histories(keyed, keys, inputs, entry)
+    left = F.col("_entry.qty") - (F.col("_removed") - removal - F.col("_entry._removed"))
+    resting = F.when(F.col("_killed") - kill == F.col("_entry._killed"), F.greatest(left, F.lit(0))).otherwise(F.lit(0)).cast("bigint")
     reason = (
         F.when(F.col("kind") == "probe", F.lit(None).cast("string"))
         .when((F.col("kind") != "cancel") & (F.col("qty") <= 0), "bad_qty")
@@ -146,31 +195,39 @@ def classify_order_events(events: DataFrame, *, by: Sequence[str] = KEYS, size:
         .when(F.col("kind") == "limit", F.col("qty"))
         .when(F.col("kind") == "cancel", F.col("_resting"))
         .otherwise(F.least("qty", "_resting"))
-    )
+    ).cast("bigint")
     after = F.when(F.col("kind") == "limit", F.col("_resting") + F.col("effective_qty")).otherwise(
         F.col("_resting") - F.col("effective_qty")
     )
-    columns = [*events.columns, "reason", "effective_qty", "remaining"]
+    clash = valid_add & (F.col("_resting") > 0)
+    results = [*columns, "reason", "effective_qty", "remaining"]
     simple = (
-        summed.withColumn("_resting", resting).withColumn("reason", reason).withColumn("effective_qty", effective)
-        .withColumn("remaining", after).select(*columns)
-    )
-
-    keys = [*by, "order_id"]
-    many = known.where("_entries > 1").select(*events.columns)
-    order = [*keys, SEQ, *(["sub_no"] if "sub_no" in events.columns else [])]
-    out_schema = T.StructType(
-        [*many.schema.fields, T.StructField("reason", T.StringType()), T.StructField("effective_qty", T.LongType()),
-         T.StructField("remaining", T.LongType())]
+        told.withColumn("_resting", resting).withColumn("reason", reason).withColumn("effective_qty", effective)
+        .withColumn("remaining", after).select(*results, clash.alias("_clash"))
     )
-    folded = many.repartition(*keys).sortWithinPartitions(*order).mapInPandas(_fold_orders(keys), out_schema)
-
     checked = one_shot.select(
-        *events.columns, F.when(F.col("qty") <= 0, "bad_qty").alias("reason"),
-        F.greatest(F.col("qty"), F.lit(0)).alias("effective_qty"), F.lit(0).cast("bigint").alias("remaining"),
+        *columns, F.when(F.col("qty") <= 0, "bad_qty").alias("reason"),
+        F.greatest(F.col("qty"), F.lit(0)).cast("bigint").alias("effective_qty"), F.lit(0).cast("bigint").alias("remaining"),
     )
-    everything = simple.unionByName(folded.select(*columns)).unionByName(checked)
-    return everything.withColumn("accepted", F.col("reason").isNull())
+    done = materialise(simple.unionByName(checked.withColumn("_clash", F.lit(False))), "classified")
+    if done.where("_clash").head(1):
+        rest = F.col("kind").isin("market", "ioc")
+        clashing = done.where("_clash").select(*keys).distinct()
+        counted = done.where(~rest).join(clashing, keys, "left_semi").groupBy(*keys).agg((F.count("*") > MOST_FOLDED).alias("_long"))
+        clashing = materialise(counted, "clashing-orders")
+        apart = done.where(~rest).join(clashing, keys)
+        folded = _short_folds(apart.where("NOT _long").select(*columns), keys)
+        if clashing.where("_long").head(1):
+            order = [*keys, SEQ, *(["sub_no"] if "sub_no" in columns else [])]
+            many = apart.where("_long").select(*columns)
+            out_schema = T.StructType(
+                [*many.schema.fields, T.StructField("reason", T.StringType()), T.StructField("effective_qty", T.LongType()),
+                 T.StructField("remaining", T.LongType())]
+            )
+            folded = folded.unionByName(many.repartition(*keys).sortWithinPartitions(*order).mapInPandas(_fold_orders(keys), out_schema))
+        folded = materialise(folded.select(*results), "clashing-orders")
+        done = done.where(rest).unionByName(done.where(~rest).join(clashing, keys, "left_anti")).select(*results).unionByName(folded)
+    return done.select(*results, F.col("reason").isNull().alias("accepted"))
 
 
 def classify_replaces(events: DataFrame, *, by: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
@@ -300,7 +357,48 @@ def queue_ahead(messages: DataFrame, *, by: Sequence[str] = KEYS, size: int = CH
     return adds.withColumn("queue_ahead", F.greatest(F.col("depth") - F.col("size"), F.lit(0))).drop("depth")
 
 
-LADDER_CHUNK = 8_192
+#: Messages of one step of the ladder: below it levels are laid out message by message, above it by ranges of steps.
+LADDER_STEP = 16
+
+
+def level_intervals(changed: DataFrame, *, by: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
+    """(by, side, price, begin, until, quantity): when a level held which size, from `changed` (by, seq, side, price, change).
+
+    `until` is exclusive and NULL for what holds to the end. Rows of a level are spread by chunks of `size` events; an interval ends with
+    its chunk, and the chunk's total goes on from there to the level's next change. So a level that a third of all messages
+    touch is many tasks.
+    """
+    level = [*by, "side", "price"]
+    moves = changed.where(F.col("change") != 0).withColumn("_chunk", F.expr(f"{SEQ} div {size}"))
+    parts = moves.groupBy(*level, "_chunk").agg(F.sum("change").alias("change"), F.min(SEQ).alias("_first"))
+    along = Window.partitionBy(*level).orderBy("_chunk")
+    so_far = F.sum("change").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = parts.withColumns({"_total": so_far, "_next": F.lead("_chunk").over(along), "_next_first": F.lead("_first").over(along)})
+    behind = totals.select(*level, ((F.col("_chunk") + 1) * size).alias("begin"), F.col("_next_first").alias("until"), F.col("_total").alias("quantity"))
+    carry = totals.where("_next IS NOT NULL").select(*level, F.col("_next").alias("_chunk"), F.lit(-2).cast("bigint").alias(SEQ), F.col("_total").alias("change"))
+    inside = Window.partitionBy(*level, "_chunk").orderBy(SEQ)
+    held = moves.select(*level, "_chunk", SEQ, "change").unionByName(carry).select(
+        *level, F.col(SEQ).alias("begin"), F.coalesce(F.lead(SEQ).over(inside), (F.col("_chunk") + 1) * size).alias("until"),
+        F.sum("change").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("quantity"),
+    ).where("begin > -2")
+    return held.unionByName(behind).where("quantity > 0 AND (until IS NULL OR until > begin)")
+
+
+def _cover(first: Column, last: Column) -> Column:
+    """The steps first..last - 1 as few aligned ranges of 2^h steps, (h, number) each: two at most per h."""
+
+    def at_height(h: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("bigint"), h)
+        low, high = F.ceil(first / width).cast("bigint"), F.floor(last / width).cast("bigint")
+        whole = low < high
+
+        def node(number: Column) -> Column:
+            return F.struct(h.cast("bigint").alias("h"), number.alias("node"))
+
+        return F.array(F.when(whole & (low % 2 == 1), node(low)), F.when(whole & (high % 2 == 1), node(high - 1)))
+
+    heights = F.sequence(F.lit(0), F.floor(F.log2((last - first).cast("double"))).cast("int"))
+    return F.filter(F.flatten(F.transform(heights, at_height)), lambda node: node.isNotNull())
 
 
 def ladder_over_time(
@@ -309,46 +407,80 @@ def ladder_over_time(
     initial_depth: DataFrame | None = None,
     *,
     by: Sequence[str] = KEYS,
-    size: int = LADDER_CHUNK,
+    size: int = LADDER_STEP,
 ) -> DataFrame:
     """Best `levels` prices and sizes of both sides after each message; NULL price and size 0 where a side is shallower.
 
-    The stream is cut into chunks of `size` messages. Each chunk also gets what its levels hold when it starts, so chunks are
-    independent, and their rows are bounded by `size` plus the number of live price levels. Messages are shuffled once;
-    the opening sizes come from sums per level and chunk.
+    No book is replayed. Each level's sizes are intervals of the event index. An interval is laid out message by message only in the
+    steps of `size` messages where it begins and ends; the whole steps between are covered by few aligned ranges of 2^h steps. A range
+    keeps its best `levels` alone, so what a step inherits is bounded by the ladder and the number of heights, whatever the book holds.
     """
-    chunk = F.expr(f"{SEQ} div {size}")
-    changed = effective_changes(messages, by=by) if initial_depth is None else messages.withColumn("_change", depth_change().cast("bigint"))
-    changed = materialise(changed.select(*by, SEQ, "side", "price", F.col("_change").alias("change")), "changes")  # read three times
-    moves = changed.withColumn("_chunk", chunk)
-    level = [*by, "side", "price"]
-    sums = moves.groupBy(*level, "_chunk").agg(F.sum("change").alias("change"))
+    if initial_depth is None:
+        changed = materialise(effective_changes(messages, by=by).select(*by, SEQ, "side", "price", F.col("_change").alias("change")), "changes")
+    else:
+        changed = messages.select(*by, SEQ, "side", "price", depth_change().cast("bigint").alias("change"))
+    side_type = dict(changed.dtypes)["side"]
+    moves = changed
     if initial_depth is not None:
         start = initial_depth.select(
-            *by, F.col("side").cast("tinyint").alias("side"), "price", F.lit(-1).cast("bigint").alias("_chunk"), F.col("size").alias("change")
+            *by, F.lit(-1).cast("bigint").alias(SEQ), F.col("side").cast(side_type).alias("side"), "price", F.col("size").cast("bigint").alias("change")
         )
-        sums = sums.unionByName(start)
-    ends = moves.groupBy(*by).agg(F.max(chunk).alias("_end"))
-    ordered = Window.partitionBy(*level).orderBy("_chunk")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = sums.withColumns({"_next": F.lead("_chunk").over(ordered), "change": F.sum("change").over(so_far)})
-    opening = (
-        held.join(ends, list(by)).withColumn("_until", F.coalesce("_next", "_end")).where("change <> 0 AND _until > _chunk")
-        .withColumn("_chunk", F.explode(F.expr("sequence(_chunk + 1, _until)")))
-        .select(*level, "_chunk", "change", F.lit(None).cast("bigint").alias(SEQ))
+        moves = changed.unionByName(start)
+    ends = changed.groupBy(*by).agg((F.max(SEQ) + 1).alias("_end"))
+    rank = (-F.col("side") * F.col("price")).cast("bigint").alias("rank")  # smaller is better
+    held = level_intervals(moves, by=by).join(ends, list(by)).select(
+        *by, F.col("side").cast("tinyint").alias("side"), rank, "quantity", F.greatest("begin", F.lit(0)).alias("begin"), F.coalesce("until", "_end").alias("until")
     )
-    wide = ", ".join(f"{side}_price_l{i} bigint, {side}_size_l{i} bigint" for i in range(1, levels + 1) for side in ("bid", "ask"))
-    kinds = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", {SEQ} bigint, {wide}"
-    run = sweep_chunk(list(by), levels)
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return run(key[:-1], rows)
-
-    return moves.unionByName(opening).groupBy(*by, "_chunk").applyInPandas(one, schema)
+    held = materialise(held.where("until > begin"), "level-intervals")  # read twice
+    first, last = F.ceil(F.col("begin") / size).cast("bigint"), F.expr(f"until div {size}")  # whole steps
+
+    # Whole steps: the best of each range, then of each step.
+    spans = held.select(*by, "side", "rank", "quantity", first.alias("_first"), last.alias("_last")).where("_first < _last")
+    nodes = spans.select(*by, "side", "rank", "quantity", F.inline(_cover(F.col("_first"), F.col("_last"))))
+    best = Window.partitionBy(*by, "side", "h", "node").orderBy("rank")
+    nodes = nodes.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= levels).drop("_n")
+    begin, stop = F.expr("shiftleft(node, h)"), F.expr("shiftleft(node + 1, h) - 1")
+    coarse = nodes.withColumn("_from", F.explode(F.sequence(begin, stop, F.lit(1_024).cast("bigint")))).withColumn("_to", F.least(F.col("_from") + 1_023, stop))
+    inherited = coarse.select(*by, "side", "rank", "quantity", F.explode(F.sequence("_from", "_to")).alias("_step"))
+    best = Window.partitionBy(*by, "_step", "side").orderBy("rank")
+    inherited = inherited.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= levels)
+    inherited = inherited.select(*by, "_step", "side", "rank", "quantity", (F.col("_step") * size).alias("begin"), ((F.col("_step") + 1) * size).alias("until"))
+
+    # Parts of steps: before the first whole one and behind the last, or all of a short interval.
+    edge = F.least(F.col("until"), first * size)
+    parts = F.array(
+        F.struct("begin", edge.alias("until")),
+        F.when(F.col("until") > F.greatest(edge, last * size), F.struct(F.greatest(edge, last * size).alias("begin"), "until")),
+    )
+    pieces = held.select(*by, "side", "rank", "quantity", F.inline(F.filter(parts, lambda x: x["until"] > x["begin"])))
+    pieces = pieces.withColumn("_step", F.expr(f"begin div {size}"))
+    asked = changed.select(*by, F.expr(f"{SEQ} div {size}").alias("_step"), SEQ, F.lit(True).alias("_asked"))
+
+    # Everything about a step meets in one task; no further shuffle.
+    stacked = pieces.unionByName(inherited).unionByName(asked, allowMissingColumns=True).repartition(*by, "_step")
+    at = F.when(F.col("_asked"), F.array(F.col(SEQ))).otherwise(F.sequence("begin", F.col("until") - 1))
+    laid = stacked.select(*by, "_step", F.explode(at).alias(SEQ), "side", "rank", "quantity", "_asked")
+    shown = F.max("_asked").alias("_asked")
+    if levels == 1:
+        tops = [
+            (F.min(F.when(F.col("side") == side, F.col("rank"))).alias(f"{name}_rank"), F.min_by("quantity", F.when(F.col("side") == side, F.col("rank"))).alias(f"{name}_size_l1"))
+            for side, name in ((1, "bid"), (-1, "ask"))
+        ]
+        rows = laid.groupBy(*by, "_step", SEQ).agg(shown, *[cell for pair in tops for cell in pair])
+        cells = [c for side, name in ((1, "bid"), (-1, "ask")) for c in (
+            (-side * F.col(f"{name}_rank")).cast("bigint").alias(f"{name}_price_l1"), F.coalesce(f"{name}_size_l1", F.lit(0)).cast("bigint").alias(f"{name}_size_l1"))]
+    else:
+        found = [F.collect_list(F.when(F.col("side") == side, F.struct("rank", "quantity"))).alias(name) for side, name in ((1, "bid"), (-1, "ask"))]
+        rows = laid.groupBy(*by, "_step", SEQ).agg(shown, *found).withColumns({name: F.array_sort(name) for name in ("bid", "ask")})
+        cells = []
+        for i in range(1, levels + 1):
+            for side, name in ((1, "bid"), (-1, "ask")):
+                cell = F.get(name, F.lit(i - 1))
+                cells += [(-side * cell["rank"]).cast("bigint").alias(f"{name}_price_l{i}"), F.coalesce(cell["quantity"], F.lit(0)).cast("bigint").alias(f"{name}_size_l{i}")]
+    return rows.where("_asked").select(*by, SEQ, *cells)
 
 
-def best_prices(messages: DataFrame, initial_depth: DataFrame | None = None, *, by: Sequence[str] = KEYS, size: int = LADDER_CHUNK) -> DataFrame:
+def best_prices(messages: DataFrame, initial_depth: DataFrame | None = None, *, by: Sequence[str] = KEYS, size: int = LADDER_STEP) -> DataFrame:
     return ladder_over_time(messages, 1, initial_depth, by=by, size=size)
 
 
@@ -370,27 +502,34 @@ def top_levels(level_sizes: DataFrame, levels: int = 5, *, by: Sequence[str]) ->
 # --- the book at an event -----------------------------------------------------------------------------------------
 
 
-def book_at(classified: DataFrame, positions: DataFrame, *, by: Sequence[str] = KEYS) -> DataFrame:
+def book_at(classified: DataFrame, positions: DataFrame, *, by: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
     """Orders resting after each of `positions` (by, at_seq): id, side, price, remaining size, entry index.
 
-    Each event belongs to the first position that it counts for, found by a sorted pass over events and positions. Events are
-    reduced to one net change per order and position; only these are repeated for the later positions of the partition.
+    Events and positions are numbered together, so each event knows the first position that it counts for. Per order the net changes
+    between positions add up to intervals of positions with one size; only what rests is repeated, once for each position of its
+    interval. Rows grow with the events and the result, not with their product.
     """
     signed = F.when(F.col("kind") == "limit", F.col("effective_qty")).otherwise(-F.col("effective_qty"))
     moves = classified.where(F.col("accepted") & F.col("kind").isin("limit", "cancel", *_REMOVES)).select(
         *by, SEQ, "order_id", signed.alias("_net"), F.when(F.col("kind") == "limit", F.struct(SEQ, "side", "price")).alias("_entry")
     )
-    stops = positions.select(*by, "at_seq").distinct()
-    stop_lists = stops.groupBy(*by).agg(F.array_sort(F.collect_list("at_seq")).alias("_stops"))  # what the caller asked for, per partition
-    counted = moves.join(stop_lists, list(by)).withColumn("_first", F.size(F.filter("_stops", lambda p: p < F.col(SEQ))) + 1)
-    net = counted.where(F.col("_first") <= F.size("_stops")).groupBy(*by, "order_id", "_first").agg(
+    stops = positions.select(*by, F.col("at_seq").cast("bigint").alias(SEQ)).distinct().withColumn("_stop", F.lit(1).cast("bigint"))
+    both = moves.withColumn("_stop", F.lit(0).cast("bigint")).unionByName(stops, allowMissingColumns=True)
+    # At the same index the event comes before the position, which includes it.
+    passed = running_sum(both, {"_passed": F.col("_stop")}, by=by, order=(SEQ, "_stop"), size=size)
+    numbered = passed.where("_stop = 1").select(*by, F.col("_passed").alias("_number"), F.col(SEQ).alias("at_seq"))
+    net = passed.where("_stop = 0").groupBy(*by, "order_id", (F.col("_passed") + 1).alias("_first")).agg(
         F.sum("_net").alias("_net"), F.max("_entry").alias("_entry")
     )
-    rest = F.expr("slice(_stops, _first, size(_stops))")
-    later = net.join(stop_lists, list(by)).withColumn("at_seq", F.explode(rest))
+    along = Window.partitionBy(*by, "order_id").orderBy("_first")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = numbered.groupBy(*by).agg(F.max("_number").alias("_last"))
+    rests = net.withColumns(
+        {"remaining": F.sum("_net").over(so_far), "_entry": F.max("_entry").over(so_far), "_until": F.lead("_first").over(along)}
+    ).where("remaining > 0")
+    spans = rests.join(last, list(by)).withColumn("_until", F.coalesce("_until", F.col("_last") + 1)).where("_first < _until")
     return (
-        later.groupBy("at_seq", *by, "order_id").agg(F.sum("_net").alias("remaining"), F.max("_entry").alias("_entry"))
-        .where("remaining > 0")
+        spans.withColumn("_number", F.explode(F.sequence("_first", F.col("_until") - 1))).join(numbered, [*by, "_number"])
         .select("at_seq", *by, "order_id", "_entry.side", "_entry.price", "remaining", F.col(f"_entry.{SEQ}").alias("entry_seq"))
     )
 

@@ -117,7 +117,8 @@ def brute_lifecycle(stream):
 
 
 @pytest.mark.parametrize("seed,ids", [(1, 12), (2, 300)])
-def test_classification_equals_state_machine(spark, seed, ids):
+def test_classification_equals_state_machine(spark, monkeypatch, seed, ids):
+    monkeypatch.setattr(B, "MOST_FOLDED", 20 if ids < 100 else 1_000)
     rng = random.Random(seed)
     stream = [(rng.choice(["limit", "limit", "reduce", "execute", "cancel"]), rng.randrange(ids), rng.randrange(0, 40)) for _ in range(600)]
     df = events(spark, *[(k, o, 1, 100, q) for k, o, q in stream])
@@ -183,7 +184,7 @@ def test_queue_ahead_and_depth(spark):
 
 def test_best_prices_and_removal(spark):
     df = message(spark, (1, 1, 1, 10, 100), (1, 2, -1, 5, 105), (1, 3, 1, 7, 101), (3, 3, 1, 7, 101), (3, 1, 1, 10, 100))
-    for size in (2, 1_000):
+    for size in (1, 2, 1_000):
         out = B.best_prices(df, size=size)
         assert column(out, "bid_price_l1") == [100, 100, 101, 100, None]
         assert column(out, "bid_size_l1") == [10, 10, 7, 10, 0]
@@ -227,3 +228,81 @@ def test_ladder_with_initial_depth(spark):
         assert column(out, "ask_price_l1") == [105, 105, 107, 104]
         assert column(out, "ask_size_l1") == [6, 2, 1, 3]
         assert column(out, "ask_price_l2") == [107, 107, None, 107]
+
+
+def brute_ladder(stream, levels):
+    """(type, id, side, size, price) -> best levels after each message; every id is entered once."""
+    live, sizes, out = {}, {}, []
+    for kind, oid, side, size, price in stream:
+        change = size if kind == 1 else -min(size, live.get(oid, 0)) if kind in (2, 4) else -live.get(oid, 0) if kind == 3 else 0
+        live[oid] = live.get(oid, 0) + change
+        sizes[side, price] = sizes.get((side, price), 0) + change
+        cells = []
+        tops = {s: sorted((p for (t, p), q in sizes.items() if t == s and q > 0), key=lambda p: -s * p) for s in (1, -1)}
+        for i in range(levels):
+            for s in (1, -1):
+                cells += [tops[s][i], sizes[s, tops[s][i]]] if i < len(tops[s]) else [None, 0]
+        out.append(tuple(cells))
+    return out
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_ladder_equals_messages_played_one_by_one(spark, levels):
+    rng = random.Random(levels)
+    orders, stream = {}, []
+    for oid in range(400):
+        if orders and rng.random() < 0.5:
+            old = rng.choice(list(orders))
+            stream.append((rng.choice((2, 3, 4, 5)), old, orders[old][0], rng.randrange(1, 9), orders[old][1]))
+        else:
+            orders[oid] = rng.choice((1, -1)), 100 + rng.randrange(-15, 15)
+            stream.append((1, oid, orders[oid][0], rng.randrange(1, 9), orders[oid][1]))
+    wide = [f"{s}_{w}_l{i}" for i in range(1, levels + 1) for s in ("bid", "ask") for w in ("price", "size")]
+    for size in (3, 16):
+        out = B.ladder_over_time(message(spark, *stream), levels, size=size).orderBy("seq").collect()
+        assert [tuple(r[c] for c in wide) for r in out] == brute_ladder(stream, levels)
+
+
+def test_intervals_do_not_depend_on_chunks(spark, sf):
+    changed = B.effective_changes(fx.messages(spark, sf)).withColumnRenamed("_change", "change")
+
+    def covered(size):
+        spans = B.level_intervals(changed, size=size).withColumn("until", F.coalesce("until", F.lit(5_000)))
+        return spans.groupBy("symbol", "side", "price", "quantity").agg(F.sum(F.col("until") - F.col("begin")).alias("n"))
+
+    assert differing_rows(covered(7), covered(65_536)).count() == 0
+
+
+def test_cover_is_exact_and_short(spark):
+    rng = random.Random(5)
+    spans = [(a, a + rng.randrange(1, 300)) for a in (rng.randrange(1_000) for _ in range(60))] + [(0, 1 << 20), (3, 4)]
+    df = spark.createDataFrame(spans, "a bigint, b bigint")
+    nodes = df.select("a", "b", F.explode(B._cover(F.col("a"), F.col("b"))).alias("x")).select("a", "b", "x.*").collect()
+    for a, b in spans:
+        own = sorted((r["node"] << r["h"], (r["node"] + 1) << r["h"]) for r in nodes if (r["a"], r["b"]) == (a, b))
+        own = sorted(set(own))
+        assert own[0][0] == a and own[-1][1] == b and all(x[1] == y[0] for x, y in zip(own, own[1:])) and len(own) <= 2 * (b - a).bit_length()
+
+
+def test_many_positions(spark):
+    rng = random.Random(3)
+    stream = []
+    for oid in range(150):
+        stream.append(("limit", oid, rng.choice((1, -1)), 100, rng.randrange(1, 9)))
+        if rng.random() < 0.7:
+            stream.append((rng.choice(("reduce", "cancel")), rng.randrange(oid + 1), None, None, rng.randrange(1, 9)))
+    classified = B.classify_order_events(events(spark, *stream))
+    stops = spark.createDataFrame([("AAPL", DAY, i) for i in (-1, 0, 7, *range(20, 400, 3))], "symbol string, trade_date date, at_seq bigint")
+    live, want = {}, set()
+    for i in range(400):
+        if i < len(stream):
+            kind, oid, side, _, qty = stream[i]
+            if kind == "limit":
+                live[oid] = [side, qty, i]
+            elif live.get(oid, (0, 0))[1]:
+                live[oid][1] -= min(qty, live[oid][1]) if kind == "reduce" else live[oid][1]
+        if i in (0, 7) or (i >= 20 and (i - 20) % 3 == 0):
+            want |= {(i, oid, s, q, e) for oid, (s, q, e) in live.items() if q}
+    for size in (65_536, 16):
+        got = B.book_at(classified, stops, size=size)
+        assert {tuple(r) for r in got.select("at_seq", "order_id", "side", "remaining", "entry_seq").collect()} == want
