@@ -69,7 +69,6 @@ def rnd(expression: str, digits: int = 6) -> str:
 
 
 # Early values of an exponential average are short decimals. This offset keeps them off the rounding boundary.
-OFFSET = "1.7320508e-9::DOUBLE"
 
 
 IMB = "((bid_size_l1 - ask_size_l1)::DOUBLE / NULLIF(bid_size_l1 + ask_size_l1, 0))"
@@ -78,6 +77,10 @@ IMB_BUCKET = f"CAST(least(greatest(trunc((coalesce({IMB}, 0) + 1.0) / 2.0 * 11),
 SP_BUCKET = f"CAST(least(greatest(floor({SPREAD}) - 1, 0), 4) AS INTEGER)"
 
 
+def _grid(value: str, parts: int) -> str:
+    return f"(floor({value} * {parts} + 0.5::DOUBLE) / {parts}::DOUBLE)"
+
+
 def _q(ctes: str, body: str) -> str:
     body = body.strip()
     return f"WITH RECURSIVE {ctes}{body}" if body.startswith(",") else f"WITH RECURSIVE {ctes}\n{body}"
@@ -317,7 +320,7 @@ def oracle_sql() -> dict[str, str]:
     cells["multi_level_ofi"] = _q(BOOK + _DIFFS, f"SELECT symbol, seq, {_full(f'CAST(SUM({_ML}) {_rows(50)} AS BIGINT)', 50)} AS mlofi_l2_l5_w50 FROM d")
     cells["spread_zscore"] = _q(BOOK + _DIFFS, f"SELECT symbol, seq, {rnd(_Z)} AS spread_zscore_200 FROM d")
     cells["realized_vol"] = _q(BOOK + _DIFFS, f"SELECT symbol, seq, {rnd(_full(f'sqrt(SUM(dm2*dm2/4.0) {_rows(200)})', 200))} AS realized_vol_200 FROM d")
-    cells["queue_depletion_ewma"] = _q(BOOK + _DIFFS + _EWMA, f"SELECT symbol, seq, {rnd(f'qb + {OFFSET}')} AS queue_depletion_bid, {rnd(f'qa + {OFFSET}')} AS queue_depletion_ask FROM ew")
+    cells["queue_depletion_ewma"] = _q(BOOK + _DIFFS + _EWMA, f"SELECT symbol, seq, {_grid('qb', 999983)} AS queue_depletion_bid, {_grid('qa', 999983)} AS queue_depletion_ask FROM ew")
     cells["signed_trade_flow"] = _q(TRADES + _FLOW, "SELECT symbol, seq, signed_trade_flow_50 FROM flows")
     cells["trade_flow_imbalance"] = _q(TRADES + _FLOW, f"SELECT symbol, seq, {rnd('tfi_50', 9)} AS tfi_50 FROM flows")
     cells["labels"] = _q(BOOK + _LABEL.format(k=50), f"SELECT symbol, seq, {_CLASS} AS label FROM lab WHERE mv IS NOT NULL")
@@ -385,7 +388,7 @@ def oracle_sql() -> dict[str, str]:
     matrix = f"""SELECT d.symbol, d.seq, d.ts_ns, {rnd(FIXED_TABLE_SQL)} AS microprice_g_dev, {rnd(IMB)} AS imbalance_l1, {rnd(SPREAD)} AS spread_ticks,
       {rnd(f'coalesce({_Z}, 0)', 5)} AS spread_zscore_200, {_full(f'SUM(db1 - da1) {_rows(50)}', 50)} AS o50, {_full(f'SUM(db1 - da1) {_rows(200)}', 200)} AS o200,
       {_full(f'SUM({_ML}) {_rows(50)}', 50)} AS ml, {rnd(f"coalesce({_full(f'sqrt(SUM(dm2*dm2/4.0) {_rows(200)})', 200)}, 0)", 5)} AS realized_vol_200,
-      {rnd(f'qb + {OFFSET}', 5)} AS queue_depletion_bid, {rnd(f'qa + {OFFSET}', 5)} AS queue_depletion_ask FROM d JOIN ew USING (symbol, seq)"""
+      {_grid('qb', 99991)} AS queue_depletion_bid, {_grid('qa', 99991)} AS queue_depletion_ask FROM d JOIN ew USING (symbol, seq)"""
     cells["feature_matrix"] = _q(TRADES + _DIFFS + _EWMA + _FLOW + f", mx AS ({matrix})", f"""SELECT mx.symbol, mx.seq, ts_ns, microprice_g_dev, imbalance_l1, spread_ticks, spread_zscore_200,
       coalesce(o50, 0)::DOUBLE AS ofi_50, coalesce(o200, 0)::DOUBLE AS ofi_200, coalesce(ml, 0)::DOUBLE AS mlofi_l2_l5_w50, coalesce(signed_trade_flow_50, 0)::DOUBLE AS signed_trade_flow_50,
       {rnd('coalesce(tfi_50, 0)')} AS tfi_50, realized_vol_200, queue_depletion_bid, queue_depletion_ask, """

@@ -32,6 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 KEY = ("symbol", "seq")
 FLOATS = ("float", "double")
+GRID = {5: 99_991, 6: 999_983}
 # Table used where a query needs a fitted one as a given: g = 2.5 * (imbalance bucket - 5) + 0.5 * spread bucket.
 GIVEN_TABLE = G.MicropriceTable(tuple(tuple((i - 5) * 2.5 + s * 0.5 for s in range(5)) for i in range(11)))
 PARTS = (0.25, 0.5, 1.0)
@@ -42,13 +43,13 @@ def query(function: Query) -> Query:
     return function
 
 
-# Early values of an exponential average are short decimals. This offset keeps them off the rounding boundary.
-OFFSET = 1.7320508e-9
-
-
 def rounded(column: str, digits: int = 6):
+    """Rounded to digits. Exponential averages start as short decimals, often halfway between two of them, so they are rounded to multiples
+    of one part in a prime number instead."""
     exact = F.col(column).cast("double")
-    value = F.round(exact + OFFSET if column.startswith("queue_depletion") else exact, digits)
+    if column.startswith("queue_depletion"):
+        return (F.floor(exact * GRID[digits] + 0.5) / float(GRID[digits])).alias(column)
+    value = F.round(exact, digits)
     return F.when(value == 0, 0.0).otherwise(value).alias(column)
 
 
@@ -363,7 +364,7 @@ def realized_vol(spark, sf):
 
 @query
 def queue_depletion_ewma(spark, sf):
-    done = W.add_features(fx.book(spark, sf), *W.queue_depletion_ewma())
+    done = W.exact_queue_depletion(fx.book(spark, sf))
     return done.select(*KEY, rounded("queue_depletion_bid"), rounded("queue_depletion_ask"))
 
 

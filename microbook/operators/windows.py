@@ -6,7 +6,7 @@ others are a running sum minus its own lag.
 """
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -220,6 +220,59 @@ def ewma(column: str, alpha: float, out: str, *, after: Sequence[Stage] = ()) ->
     return WindowFeature(stages if after else [lambda w: {}, *stages], back=back + 1, max_rows=rows)
 
 
+def exact_ewma(
+    df: DataFrame, values: Mapping[str, Column], alpha: float, *, by: Sequence[str] = KEYS, seq: str = SEQ, size: int = CHUNK
+) -> DataFrame:
+    """Recursive averages of `values` (new column -> input) over the whole history, whatever its length and scale.
+
+    A stretch of n rows takes the average y before it to (1-alpha)^n * y + b: the stretches are scanned on their own, their pairs
+    (n, b) composed in order, one row per chunk, and each chunk continues from the exact average that it inherits. `seq` is unique inside
+    `by` and need not be dense; the first row starts the average. Inputs must not be NULL.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    if alpha == 1:
+        return df.withColumns({out: value.cast("double") for out, value in values.items()})
+    decay = -math.log1p(-alpha)
+    rows = min(size, math.floor(_EWMA_RANGE / decay))
+    inputs = {f"_x_{out}": value.cast("double") for out, value in values.items()}
+    chunked = df.withColumns({"_chunk": F.expr(f"`{seq}` div {rows}"), **inputs})
+    firsts = chunked.groupBy(*by).agg(F.min(seq).alias("_start"))
+    chunked = chunked.join(firsts, list(by))
+    inside = Window.partitionBy(*by, "_chunk").orderBy(seq)
+    share = F.when(F.col(seq) == F.col("_start"), F.lit(1.0)).otherwise(F.lit(alpha))
+
+    # A chunk has `rows` rows at most, so weights e^(decay * place) neither overflow nor underflow.
+    placed = chunked.withColumn("_row", F.row_number().over(inside))
+    weight = F.exp((F.col("_row") - rows // 2) * F.lit(decay))
+    sums = {f"_s_{out}": F.sum(share * F.col(f"_x_{out}") * weight).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / weight for out in values}
+    scanned = placed.withColumns(sums)
+    ends = scanned.groupBy(*by, "_chunk").agg(
+        F.max("_row").alias("_n"), *[F.max_by(f"_s_{out}", "_row").alias(f"_b_{out}") for out in values]
+    )
+    per_key = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_n", *[f"_b_{out}" for out in values]))).alias("_parts"))
+    zero = F.struct(*[F.lit(0.0).alias(out) for out in values])
+    start = F.struct(zero.alias("now"), F.array().cast(f"array<struct<_chunk: bigint, {', '.join(f'`_in_{out}`: double' for out in values)}>>").alias("done"))
+
+    def step(state: Column, part: Column) -> Column:
+        given = F.struct(part["_chunk"].alias("_chunk"), *[state["now"][out].alias(f"_in_{out}") for out in values])
+        kept = F.exp(part["_n"] * F.lit(-decay))
+        now = F.struct(*[(kept * state["now"][out] + part[f"_b_{out}"]).alias(out) for out in values])
+        return F.struct(now.alias("now"), F.concat(state["done"], F.array(given)).alias("done"))
+
+    inherited = per_key.select(*by, F.inline(F.aggregate("_parts", start, step)["done"]))
+    kept = F.exp(F.col("_row") * F.lit(-decay))
+    out = scanned.join(inherited, [*by, "_chunk"]).withColumns({out: F.col(f"_s_{out}") + kept * F.col(f"_in_{out}") for out in values})
+    return out.drop("_chunk", "_row", "_start", *inputs, *sums, *[f"_in_{out}" for out in values])
+
+
+def exact_queue_depletion(book: DataFrame, alpha: float = EWMA_ALPHA, *, by: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
+    """`queue_depletion_bid` and `queue_depletion_ask` over the whole history."""
+    changes = add_features(book, *[first_difference(f"{side}_size_l1", f"queue_growth_{side}") for side in ("bid", "ask")], by=by)
+    grown = {f"queue_depletion_{side}": F.col(f"queue_growth_{side}") for side in ("bid", "ask")}
+    return exact_ewma(changes, grown, alpha, by=by, size=size).drop("queue_growth_bid", "queue_growth_ask")
+
+
 def queue_depletion_ewma(alpha: float = EWMA_ALPHA) -> list[WindowFeature]:
     """Smoothed growth of the best bid and ask queues."""
 

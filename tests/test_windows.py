@@ -80,6 +80,19 @@ def test_ewma_against_recursion(spark, alpha):
     assert np.allclose(short, want, rtol=0, atol=1e-8)
 
 
+@pytest.mark.parametrize("alpha", [0.05, 0.9, 1.0])
+def test_exact_ewma_keeps_the_whole_history(spark, alpha):
+    """One huge value at the start outlives any fixed look-back; indices have holes; chunks of any size."""
+    values = np.random.default_rng(4).integers(-5, 5, 3_000).astype(float)
+    values[0] = 1e30
+    seqs = np.arange(3_000) * 2 + (np.arange(3_000) > 1_500) * 700
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "A", "seq": seqs, "x": values}))
+    want = pd.Series(values).ewm(alpha=alpha, adjust=False).mean()
+    for size in (90, 65_536):
+        got = column(W.exact_ewma(df, {"y": F.col("x")}, alpha, by=("symbol",), size=size), "y")
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
 def test_queue_depletion_signs(spark):
     df = tob(spark, [(100, 10 + 10 * i, 200, 200 - 10 * i) for i in range(6)])
     out = W.add_features(df, *W.queue_depletion_ewma(0.5))
