@@ -29,7 +29,6 @@ def _library(vocabulary: str):
         from tokenizers import Tokenizer
 
         _LIBRARIES[vocabulary] = Tokenizer.from_file(vocabulary)
-        _LIBRARIES[vocabulary].encode_special_tokens = True
     return _LIBRARIES[vocabulary]
 
 

@@ -1,11 +1,13 @@
 """Token ids of whole texts from the `tokenizers` library, each distinct word encoded once per Python worker.
 
 A text is cut at single spaces; a word keeps the space before it, as the vocabularies' own word patterns do, so the ids of a text
-are the ids of its words one after the other (`tests/llm/test_tokens.py` holds this against the library). Arrow finds the distinct
+are the ids of its words one after the other (`tests/llm/test_tokens_and_packing.py` holds this against the library). A text that holds
+the literal of a token that was added to the vocabulary, such as an end mark, goes to the library whole. Arrow finds the distinct
 words of a batch, the library encodes those that the worker has not met, numpy puts the ids in place.
 """
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -40,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(vocabulary)
-        self._library.encode_special_tokens = True
+        added = [re.escape(token.content) for token in self._library.get_added_tokens_decoder().values()]
+        self._added = f"(?i){'|'.join(added)}" if added else None
         self._word_level, self._words_kept = word_level, words_kept
         self._known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self._ids, self._used = np.zeros(1 << 16, np.uint32), 0
@@ -89,16 +92,20 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each; NULL is an empty text."""
-        texts = pc.fill_null(texts, "")
+        texts = whole_texts = pc.fill_null(texts, "")
         self._words, self._used = self._kept
+        odd = np.zeros(len(texts), bool)
+        if self._added:  # the library cuts a text at the vocabulary's added tokens before anything else
+            odd |= pc.match_substring_regex(texts, self._added).to_numpy(zero_copy_only=False)
         if self._word_level:
-            return self._by_words(pc.ascii_lower(texts))
-        odd = pc.match_substring_regex(texts, _BESIDE_SPACE).to_numpy(zero_copy_only=False)
+            texts = pc.ascii_lower(texts)
+        else:
+            odd |= pc.match_substring_regex(texts, _BESIDE_SPACE).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._by_words(texts)
         ids, lengths = self._by_words(pc.if_else(pa.array(odd), "", texts))
         rows = np.flatnonzero(odd)
-        whole = [np.array(e.ids, np.uint32) for e in self._library.encode_batch_fast(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)]
+        whole = [np.array(e.ids, np.uint32) for e in self._library.encode_batch_fast(whole_texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)]
         at = np.cumsum(lengths)
         parts, done = [], 0
         for row, own in zip(rows, whole, strict=True):

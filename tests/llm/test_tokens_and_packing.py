@@ -15,15 +15,14 @@ from microbook.llm.tokens import Encoder, slices, with_end
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     None, "", " ", "  ", "a ", " a", "a  b", "x\n y", "x \n", "tab\tx y", "a  b", "　x y", "it's we'll 's x", "<|endoftext|> hi",
+    "hello <|endoftext|> world <|endoftext|>x", "A<|ENDOFTEXT|>B <|StartOfText|>", "<|startoftext|>One  two<|endoftext|>", "x <|endoftext |>",
     "Å İstanbul K ́x 12 345,,..!! ß ΣΑΣ Σ x", "d.,e f\x0b g\x1c h \x85i", "\U0001f600 \U0001f600\U0001f600",
 ]
 EXTRA = "doc_id bigint, text string, key string, length string, nth string, start string"
 
 
 def library(path):
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
 
 
 def ids_of(path, texts):
