@@ -271,7 +271,7 @@ def oracle_sql() -> dict[str, str]:
     cells["asof_trades"] = _q(TRADES, """SELECT b.symbol, b.seq, t.price AS last_price, t.size AS last_size
       FROM book b ASOF LEFT JOIN trades t ON b.symbol = t.symbol AND b.seq >= t.seq""")
     cells["asof_peers"] = _q(BOOK_LARGE, """SELECT b.symbol, b.seq, t.last_rid FROM book_large b ASOF LEFT JOIN
-      (SELECT symbol, ts_ns, MAX(seq) AS last_seq, arg_max(bid_size_l1, seq) AS last_rid FROM book_large WHERE h % 5 = 0 GROUP BY 1, 2) t
+      (SELECT symbol, ts_ns, MAX(seq) AS last_seq, arg_max(bid_size_l1, seq) AS last_rid FROM book_large GROUP BY 1, 2) t
       ON b.symbol = t.symbol AND b.ts_ns >= t.ts_ns""")
     cells["microprice_lookup"] = _q(BOOK, f"SELECT symbol, seq, {FIXED_TABLE_SQL} AS g FROM book")
     cells["locate_orders"] = _q(MESSAGES + _RESTING, """SELECT r.symbol, r.order_id, r.side, r.price, r.remaining FROM resting r
@@ -428,7 +428,7 @@ def oracle_sql() -> dict[str, str]:
             pairs.append(f"{expression if whole else rnd(expression)} AS {c}_{suffix}")
     cells["compare_policies"] = _q(everything + _FILLS + _SUMMARY, f"SELECT symbol, {', '.join(pairs)} FROM summary GROUP BY 1")
     cells["own_fills"] = _q(TRADES, """, fl AS (SELECT symbol, seq, order_id AS maker_id, order_id + 1 AS taker_id, size FROM trades),
-      own AS (SELECT symbol, rid AS order_id, CAST(CASE WHEN rid % 2 = 0 THEN 1 ELSE -1 END AS TINYINT) AS side_sign FROM book WHERE h % 3 = 0)
+      own AS (SELECT symbol, rid AS order_id, CAST(CASE WHEN rid % 2 = 0 THEN 1 ELSE -1 END AS TINYINT) AS side_sign FROM book)
       SELECT x.symbol, x.seq, x.order_id, o.side_sign FROM (SELECT symbol, seq, maker_id AS order_id FROM fl UNION ALL SELECT symbol, seq, taker_id FROM fl) x
       JOIN own o ON o.symbol = x.symbol AND o.order_id = x.order_id""")
     return cells

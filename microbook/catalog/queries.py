@@ -214,7 +214,7 @@ def asof_trades(spark, sf):
 @query
 def asof_peers(spark, sf):
     book = fx.book_large(spark, sf)
-    right = book.where("h % 5 = 0").select(*KEYS, "ts_ns", "seq", F.col("bid_size_l1").alias("last_rid"))
+    right = book.select(*KEYS, "ts_ns", "seq", F.col("bid_size_l1").alias("last_rid"))
     found = J.asof_backward(
         book.select(*KEYS, "seq", "ts_ns"), right, on="ts_ns", right_order="seq", values=("last_rid",), width=10 * 86_400 * 10**9
     )
@@ -697,7 +697,7 @@ def compare_policies(spark, sf):
 @query
 def own_fills(spark, sf):
     fills = _trades(spark, sf).select(*KEYS, "seq", F.col("order_id").alias("maker_id"), (F.col("order_id") + 1).alias("taker_id"))
-    own = fx.book(spark, sf).where("h % 3 = 0").select(
+    own = fx.book(spark, sf).select(
         *KEYS, F.col("rid").alias("order_id"), F.when(F.col("rid") % 2 == 0, 1).otherwise(-1).cast("tinyint").alias("side_sign")
     )
     return K.own_fills(fills, own).select(*KEY, "order_id", "side_sign")
