@@ -293,6 +293,15 @@ def oracle_sql() -> dict[str, str]:
           FROM range(55) s(state) LEFT JOIN norm ON norm.state = s.state LEFT JOIN pay ON pay.state = s.state
           JOIN g ON g.state = COALESCE(norm.next_state, s.state) WHERE g.n < 200 GROUP BY g.n, s.state)""",
       f"SELECT CAST(state // 5 AS INTEGER) AS imb_bucket, CAST(state % 5 AS INTEGER) AS sp_bucket, {rnd('v', 4)} AS g FROM g WHERE n = 200")
+    fine = _STATES.replace(IMB_BUCKET, IMB_BUCKET.replace("* 11)", "* 2000)").replace(", 0), 10)", ", 0), 1999)")).replace(SP_BUCKET, SP_BUCKET.replace(", 4)", ", 49)")).replace("* 5 +", "* 50 +")
+    cells["fit_microprice_fine"] = _q(BOOK + fine + """,
+      pay AS (SELECT state, MAX(payoff) AS payoff FROM norm GROUP BY 1),
+      seen AS (SELECT state FROM norm UNION SELECT next_state FROM norm),
+      g AS (SELECT 0 AS n, state, 0.0::DOUBLE AS v FROM seen
+        UNION ALL SELECT g.n + 1, s.state, COALESCE(MAX(pay.payoff), 0) + COALESCE(SUM(norm.probability * g.v), 0)
+          FROM seen s LEFT JOIN norm ON norm.state = s.state LEFT JOIN pay ON pay.state = s.state
+          JOIN g ON g.state = COALESCE(norm.next_state, s.state) WHERE g.n < 16 GROUP BY g.n, s.state)""",
+      f"SELECT CAST(state // 50 AS INTEGER) AS imb_bucket, CAST(state % 50 AS INTEGER) AS sp_bucket, {rnd('v', 4)} AS g FROM g JOIN pay USING (state) WHERE n = 16")
     cells["log_loss"] = _q(SCORED + _POOL, f"SELECT symbol, {rnd('AVG(-ln(CASE label WHEN 0 THEN p_down WHEN 1 THEN p_stable ELSE p_up END))')} AS logloss, COUNT(*) AS n FROM pool GROUP BY 1")
     cells["auc_up_vs_down"] = _q(SCORED + _POOL + """, rk AS (SELECT symbol, label, rank() OVER w + (COUNT(*) OVER (PARTITION BY symbol, s) - 1) / 2.0 AS rk
       FROM (SELECT *, p_up - p_down AS s FROM pool WHERE label IN (0, 2)) WINDOW w AS (PARTITION BY symbol ORDER BY s)),

@@ -278,6 +278,13 @@ def fit_microprice(spark, sf):
     return with_rounded(G.fit_microprice(fx.book(spark, sf)).cells(spark), "g", digits=4)
 
 
+@query
+def fit_microprice_fine(spark, sf):
+    """100,000 states: 2,000 imbalance buckets by 50 spread buckets, a fixed number of rounds."""
+    fine = G.fit_microprice(fx.book(spark, sf), imb_buckets=2_000, spread_buckets=50, max_rounds=16, tolerance=0.0)
+    return with_rounded(fine.cells(spark), "g", digits=4)
+
+
 @query
 def log_loss(spark, sf):
     return with_rounded(Q.log_loss(fx.scored(spark, sf)), "logloss")

@@ -1,7 +1,8 @@
 """Microprice adjustment table: states are (imbalance bucket, spread bucket) pairs.
 
-The counts are aggregated by Spark; only the transition table, at most `states * states` rows, reaches the driver for the
-fixed-point iteration, as the statistics of a Spark ML fit do.
+The counts are aggregated by Spark. Up to `MAX_STATES` states the transition table, at most their square in rows, reaches the driver for
+the fixed-point iteration, as the statistics of a Spark ML fit do. A finer grid stays in Spark: transitions are sparse, a round is a
+join and a sum, and rounds are stored a few at a time.
 """
 
 from collections.abc import Sequence
@@ -16,6 +17,7 @@ from microbook.functions.scalars import imbalance_bucket, mid_x2, spread_bucket,
 from microbook.operators.windows import WindowFeature, add_features
 from microbook.partitioning import CHUNK
 from microbook.schema import IMBALANCE_BUCKETS, KEYS, SEQ, SPREAD_BUCKETS, TICK_SIZE
+from microbook.session import materialise
 
 MAX_STATES = 1_024
 CELLS = T.StructType(
@@ -52,6 +54,21 @@ class MicropriceTable:
         return spark.createDataFrame(rows, CELLS)
 
 
+@dataclass(frozen=True)
+class SparseMicroprice:
+    """The same table for any number of states: `rows` has imb_bucket, sp_bucket, g for the states that were seen."""
+
+    rows: DataFrame
+    imbalance_buckets: int
+    spread_buckets: int
+    tick_size: int = TICK_SIZE
+    rounds: int = 0
+    converged: bool = True
+
+    def cells(self, spark: SparkSession) -> DataFrame:
+        return self.rows
+
+
 def next_state_pairs(
     tob: DataFrame,
     *,
@@ -100,11 +117,13 @@ def fit_microprice(
     max_rounds: int = 200,
     tolerance: float = 1e-6,
     by: Sequence[str] = KEYS,
-) -> MicropriceTable:
-    """Iterate G <- payoff + probability.G from zero until the largest change is below `tolerance`."""
+) -> MicropriceTable | SparseMicroprice:
+    """Iterate G <- payoff + probability.G from zero until the largest change is below `tolerance`; more than `MAX_STATES` states in Spark."""
     states = imb_buckets * spread_buckets
     if states > MAX_STATES:
-        raise ValueError(f"more than {MAX_STATES} states")
+        return fit_sparse_microprice(
+            tob, imb_buckets=imb_buckets, spread_buckets=spread_buckets, tick_size=tick_size, max_rounds=max_rounds, tolerance=tolerance, by=by
+        )
     pairs = next_state_pairs(tob, imb_buckets=imb_buckets, spread_buckets=spread_buckets, tick_size=tick_size, by=by)
     stats = normalise_transitions(transition_counts(pairs)).toPandas()
     step = np.zeros((states, states))
@@ -120,11 +139,54 @@ def fit_microprice(
     return MicropriceTable(tuple(map(tuple, grid.tolist())), tick_size, used, converged)
 
 
-def lookup_microprice(df: DataFrame, table: MicropriceTable, out: str = "microprice_g_dev") -> DataFrame:
-    """Add the adjustment of each row's state; 0 for an empty table. The table is at most MAX_STATES rows, hence broadcast."""
-    if not table.values:
+#: Rounds of a sparse fit that are planned together before their result is stored.
+ROUNDS_PER_JOB = 8
+
+
+def fit_sparse_microprice(
+    tob: DataFrame,
+    *,
+    imb_buckets: int,
+    spread_buckets: int,
+    tick_size: int = TICK_SIZE,
+    max_rounds: int = 200,
+    tolerance: float = 1e-6,
+    by: Sequence[str] = KEYS,
+) -> SparseMicroprice:
+    """`fit_microprice` without a bound on the states. Convergence is looked at every `ROUNDS_PER_JOB` rounds.
+
+    States that only ever come last have no transition and keep 0, as all unseen ones do. A state that a third of all events are in
+    is one row here: what is joined and summed are distinct transitions.
+    """
+    pairs = next_state_pairs(tob, imb_buckets=imb_buckets, spread_buckets=spread_buckets, tick_size=tick_size, by=by)
+    known = materialise(normalise_transitions(transition_counts(pairs)), "transitions")
+    payoff = materialise(known.groupBy("state").agg(F.max("payoff").alias("payoff")), "payoffs")
+    g, used, converged = payoff.select("state", F.lit(0.0).alias("g"), F.lit(0.0).alias("_before")), 0, False
+    while used < max_rounds and not converged:
+        rounds = min(ROUNDS_PER_JOB, max_rounds - used)
+        for _ in range(rounds):
+            following = known.join(g.select(F.col("state").alias("next_state"), "g"), "next_state").groupBy("state").agg(
+                F.sum(F.col("probability") * F.col("g")).alias("_next")
+            )
+            before = g.select("state", F.col("g").alias("_before"))
+            g = payoff.join(following, "state", "left").join(before, "state").select(
+                "state", (F.col("payoff") + F.coalesce("_next", F.lit(0.0))).alias("g"), "_before"
+            )
+        g, used = materialise(g, "microprice"), used + rounds
+        largest = g.agg(F.max(F.abs(F.col("g") - F.col("_before")))).first()[0]
+        converged = largest is None or largest < tolerance
+    cells = g.select(
+        F.expr(f"int(state div {spread_buckets})").alias("imb_bucket"), F.expr(f"int(state % {spread_buckets})").alias("sp_bucket"), "g"
+    )
+    return SparseMicroprice(cells, imb_buckets, spread_buckets, tick_size, used, converged)
+
+
+def lookup_microprice(df: DataFrame, table: MicropriceTable | SparseMicroprice, out: str = "microprice_g_dev") -> DataFrame:
+    """Add the adjustment of each row's state; 0 for an empty table. A dense table is at most MAX_STATES rows, hence broadcast."""
+    if isinstance(table, MicropriceTable) and not table.values:
         return df.withColumn(out, F.lit(0.0))
-    cells = F.broadcast(table.cells(df.sparkSession).withColumnRenamed("g", "_g"))
+    cells = table.cells(df.sparkSession).withColumnRenamed("g", "_g")
+    cells = F.broadcast(cells) if isinstance(table, MicropriceTable) else cells
     keyed = df.withColumns(
         {"imb_bucket": imbalance_bucket(table.imbalance_buckets), "sp_bucket": spread_bucket(table.spread_buckets, table.tick_size)}
     )

@@ -81,6 +81,13 @@ def test_microprice_fit_orders_states(spark):
     assert low < mid < high
     again = G.fit_microprice(tob(spark, out).repartition(5), imb_buckets=11, spread_buckets=3)
     assert np.allclose(again.values, table.values)
+    sparse = G.fit_sparse_microprice(tob(spark, out), imb_buckets=11, spread_buckets=3, max_rounds=40)
+    dense = G.fit_microprice(tob(spark, out), imb_buckets=11, spread_buckets=3, max_rounds=sparse.rounds)
+    cells = {(r["imb_bucket"], r["sp_bucket"]): r["g"] for r in sparse.rows.collect()}
+    assert cells and all(abs(dense.values[i][j] - g) < 1e-6 for (i, j), g in cells.items())
+    assert {(i, j) for i, row in enumerate(dense.values) for j, g in enumerate(row) if g} <= set(cells)
+    looked_up = [column(G.lookup_microprice(tob(spark, out[:20]), t), "microprice_g_dev") for t in (sparse, dense)]
+    assert np.allclose(*looked_up)
     empty = G.lookup_microprice(tob(spark, out[:3]), G.MicropriceTable(()))
     assert column(empty, "microprice_g_dev") == [0.0] * 3
 
