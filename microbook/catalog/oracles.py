@@ -314,6 +314,13 @@ def oracle_sql() -> dict[str, str]:
       f"SELECT symbol, class, bin, COUNT(*) AS n, {rnd('AVG(p)')} AS mean_pred, {rnd('AVG(y)')} AS frac_pos FROM bn GROUP BY 1, 2, 3")
     cells["confusion_matrix"] = _q(SCORED + _POOL + """, pr AS (SELECT symbol, label, CASE WHEN p_down >= p_stable AND p_down >= p_up THEN 0 WHEN p_stable >= p_up THEN 1 ELSE 2 END AS pred FROM pool)""",
       "SELECT symbol, label, COUNT(*) FILTER (pred = 0) AS pred_0, COUNT(*) FILTER (pred = 1) AS pred_1, COUNT(*) FILTER (pred = 2) AS pred_2 FROM pr GROUP BY 1, 2")
+    reports = (
+        ("brier", "brier", "NULL", "NULL", ("brier",)), ("brier_per_class", "brier_per_class", "class", "NULL", ("brier",)),
+        ("reliability", "reliability_bins", "class", "bin", ("n", "mean_pred", "frac_pos")), ("confusion", "confusion_matrix", "label", "NULL", ("pred_0", "pred_1", "pred_2")),
+    )
+    cells["evaluation_report"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS report, symbol, CAST({group} AS INTEGER) AS class, CAST({place} AS BIGINT) AS bin, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM ({cells[of]}) x"
+        for name, of, group, place, measures in reports for m in measures)
     cells["score_drift"] = _q(SCORED, f"""SELECT COUNT(*) AS n, {rnd('MAX(abs(x))', 12)} AS max_abs_diff, {rnd('AVG(abs(x))', 12)} AS mean_abs_diff, {rnd('sqrt(AVG(x*x))', 12)} AS rmse
       FROM (SELECT (p_up - p_down) - (p_up - p_down + (seq % 11) * 1e-7::DOUBLE) AS x FROM scored)""")
     cells["level_quantity"] = _q(MESSAGES + _DEPTH, """, fin AS (SELECT symbol, side, price, arg_max(depth, seq) AS quantity FROM dp GROUP BY 1, 2, 3),

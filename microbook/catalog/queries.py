@@ -639,17 +639,24 @@ def train_forest(spark, sf):
 
 @query
 def evaluate_forest(spark, sf):
-    return TN.evaluate(TN.train(_matrix(spark, sf), 50).scored)["brier"]
+    """All evaluation tables of the fitted model."""
+    return TN.evaluation_report(TN.train(_matrix(spark, sf), 50).scored)
+
+
+@query
+def evaluation_report(spark, sf):
+    """The same tables on given probabilities."""
+    return with_rounded(TN.evaluation_report(fx.scored(spark, sf)), "value")
 
 
 @query
 def feature_importances(spark, sf):
-    return L.top_features(TN.train(_matrix(spark, sf), 50).model.importances(spark), 10)
+    return L.top_features(TN.train(_matrix(spark, sf), 50).model.importances(spark), len(FEATURE_NAMES))
 
 
 @query
 def horizon_grid(spark, sf):
-    runs, best = TN.train_grid(_matrix(spark, sf), algorithm="logistic")
+    runs, best = TN.train_grid(_matrix(spark, sf))
     losses = [run.metrics.where(F.col("symbol") == Q.POOLED).select("k", "logloss") for run in runs.values()]
     return reduce(DataFrame.unionByName, losses).withColumn("is_best", F.col("k") == best)
 
@@ -657,7 +664,7 @@ def horizon_grid(spark, sf):
 @query
 def batch_scores(spark, sf):
     matrix = _matrix(spark, sf)
-    return TN.train(matrix, 50, algorithm="logistic").model.score(matrix).select(*KEY, "score")
+    return TN.train(matrix, 50).model.score(matrix).select(*KEY, "score")
 
 
 # --- quote policies ---------------------------------------------------------------------------------------------

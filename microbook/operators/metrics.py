@@ -104,8 +104,10 @@ def reliability_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
     """
     cells = _pooled_rows(_one_vs_rest(scored))
     counts = cells.groupBy("symbol", "class", "p").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
+    staged = order_chunks(counts, ("symbol", "class", "p"), label="bins")  # stored: the counts are read three times
+    counts = staged.drop("chunk_no")
     placed = running_sum(
-        order_chunks(counts, ("symbol", "class", "p"), label="bins"),
+        staged,
         {"_upto": F.col("n")},
         by=("symbol", "class"),
         order=("p",),
