@@ -4,6 +4,7 @@ import tempfile
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from microbook import fixtures as fx
@@ -63,6 +64,19 @@ def test_undersample_is_exact_and_stable(spark):
     assert L.balanced_undersample(keep, 10_000).count() == 3_000
 
 
+@pytest.mark.parametrize("most", [1, 10_000])
+def test_undersample_by_refined_edges_equals_a_sort(spark, monkeypatch, most):
+    monkeypatch.setattr(L, "MOST_RANKED", most)
+    df = spark.range(3_000).select(
+        F.lit("A").alias("symbol"), F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(7)).alias("seq"),  # a third of all keys are one
+        F.when(F.col("id") % 10 == 9, 5).when(F.col("id") < 2_900, F.col("id") % 2).alias("label"),
+    )
+    for n in (1, 150, 700):
+        rank = F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.concat_ws("|", F.lit("42"), "symbol", F.col("seq").cast("string"))), "seq"))
+        want = df.where("label IS NOT NULL").withColumn("r", rank).where(F.col("r") <= n).drop("r")
+        assert rows(L.balanced_undersample(df, n), *df.columns) == rows(want, *df.columns)
+
+
 def test_time_split_rounds_down(spark):
     df = tob(spark, [(1, 1, 2, 1)] * 7)
     assert column(L.time_split(df, 0.7), "is_train") == [True] * 4 + [False] * 3
