@@ -36,8 +36,8 @@ def cut(n_tokens: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, size) for at in range(first, n_tokens, size)]
 
 
-def pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int = END_ID) -> DataFrame:
-    """One row per piece of each row of `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, ids.
+def pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """One row per piece of each row of `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, ids (NULL unless `with_ids`).
 
     `ids` are little-endian unsigned integers, 16 bits wide if the vocabulary allows it, else 32. NULL text counts as empty: the
     end id alone. Rows with the same doc_id are documents of their own.
@@ -48,7 +48,8 @@ def pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int =
         kind = "<u2" if library.vocabulary_size <= 1 << 16 else "<u4"
         for batch in slices(batches, "text"):
             ids, lengths = with_end(*library.encode(batch.column("text")), end)
-            full, stored_ids = memoryview(ids.astype("<u4")).cast("B"), memoryview(ids.astype(kind)).cast("B")
+            full = memoryview(ids.astype("<u4")).cast("B")
+            stored_ids = memoryview(ids.astype(kind)).cast("B") if with_ids else None
             wide = np.dtype(kind).itemsize
             rows = ([], [], [], [], [], [])
             at = 0
@@ -56,7 +57,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int =
                 for number, (start, length) in enumerate(cut(n, size)):
                     a, b = at + start, at + start + length
                     for column, value in zip(
-                        rows, (doc_id, number, start, length, zlib.crc32(full[4 * a : 4 * b]), stored_ids[wide * a : wide * b]), strict=True
+                        rows, (doc_id, number, start, length, zlib.crc32(full[4 * a : 4 * b]), stored_ids[wide * a : wide * b] if with_ids else None), strict=True
                     ):
                         column.append(value)
                 at += n
@@ -212,14 +213,14 @@ def place(cut_docs: DataFrame, *, size: int = SEQUENCE, chunk_pieces: int = CHUN
     return numbered.select(*names, "nth").mapInArrow(placed, schema)
 
 
-def stored_pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int = END_ID) -> DataFrame:
+def stored_pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int = END_ID, with_ids: bool = True) -> DataFrame:
     """`pieces` with a unique key, written once: tokenising is not repeated and keys stay as they are."""
-    return stored(pieces(docs, vocabulary, size=size, end=end).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    return stored(pieces(docs, vocabulary, size=size, end=end, with_ids=with_ids).withColumn("key", F.monotonically_increasing_id()), "pieces")
 
 
 def pack(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. An empty table gives an empty result."""
-    narrow = stored_pieces(docs, vocabulary, size=size, end=end).drop("ids")
+    narrow = stored_pieces(docs, vocabulary, size=size, end=end, with_ids=False).drop("ids")
     return place(narrow, size=size).drop("key")
 
 
