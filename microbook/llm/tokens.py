@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 #: White space beside a space: there the byte-level pattern looks beyond the word, and the library gets the whole text.
 _BESIDE_SPACE = "[\\s\\pZ\\x{85}\\x{1c}-\\x{1f}\\x{0b}] | [\\s\\pZ\\x{85}\\x{1c}-\\x{1f}\\x{0b}]|^ | $"
 #: Words that a worker keeps, about 200 bytes each; beyond it words are encoded as they come and forgotten with their batch.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 #: Text that is encoded at once; numpy holds some forty times as much meanwhile.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches, column: str, most: int = SLICE_BYTES, most_rows: int = 1 << 31):

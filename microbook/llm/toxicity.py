@@ -37,7 +37,7 @@ BEGINNINGS = (4, 5)
 #: How many deviations above its expected count among positives a feature must be.
 LEAST_Z = 3.5
 _STRIP = " \t\r\n\v\f.,;:!?\"'()[]{}<>|&%$#*-_/\\"
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 100_000
 
 
 class Features:
