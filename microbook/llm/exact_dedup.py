@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microbook.llm.tables import new_folder, stored
+from microbook.llm.tables import new_folder, stored, unused
 
 #: State on disk. Space set aside ahead of use would cost megabytes per state partition, and without the bound each partition of
 #: an executor has write buffers of its own.
@@ -115,7 +115,8 @@ def exact_dedup(
 
 def keep_one(docs: DataFrame, *, locator: Column | None = None) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    marked = docs.withColumn("_locator", locator if locator is not None else F.col("doc_id").cast("string"))
-    found = exact_dedup(marked, locator=F.col("_locator"))
-    gone = stored(found.where("NOT kept").select(F.col("locator").alias("_locator")), "dedup-dropped")
-    return marked.join(gone, "_locator", "left_anti").drop("_locator")
+    place = unused(docs, "_locator")
+    marked = docs.withColumn(place, locator if locator is not None else F.col("doc_id").cast("string"))
+    found = exact_dedup(marked, locator=F.col(place))
+    gone = stored(found.where("NOT kept").select(F.col("locator").alias(place)), "dedup-dropped")
+    return marked.join(gone, place, "left_anti").select(*docs.columns)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from microbook.llm.tables import stored
+from microbook.llm.tables import stored, unused
 from microbook.partitioning import running_sum
 
 WEIGHTS = (5, 2, 1)
@@ -121,6 +121,7 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` repeated as often as the mix takes them; doc_id must be unique. Rows that it does not take go."""
-    copies = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    named = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return named.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    own, often, copy = (unused(docs, stem) for stem in ("_id", "_copies", "_copy"))
+    copies = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias(own), F.col("copies").alias(often))
+    named = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(own)))
+    return named.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often).cast("int")))).select(*docs.columns)

@@ -23,6 +23,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def dealt(rows: DataFrame, most_tasks: int = 20_000) -> DataFrame:
     """Small stored rows that each stand for much work (a file, a range): a partition for each, beyond `most_tasks` several share one."""
     return rows.repartition(max(1, min(rows.count(), most_tasks)))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from microbook.llm.tables import stored
+from microbook.llm.tables import stored, unused
 from microbook.llm.tokens import slices
 
 #: At most 2 ** BITS features are chosen.
@@ -244,4 +244,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
 def clean_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **how) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, with all their columns."""
     columns = tuple(docs.columns)
-    return score(docs, fit(docs, labels, **how), columns=columns, out="_toxicity").where(F.col("_toxicity") < threshold).select(*columns)
+    out = unused(docs, "_toxicity")
+    return score(docs, fit(docs, labels, **how), columns=columns, out=out).where(F.col(out) < threshold).select(*columns)

@@ -150,3 +150,15 @@ def test_licenses(spark):
     }
     assert got[3].text_digest == got[4].text_digest == hashlib.sha256(b"").hexdigest()
     assert L.scan(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_helper_names_do_not_clash_with_columns(spark):
+    rows = [(i, "same words here" if i % 3 == 0 else f"text number {i}", "a", i) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra int").selectExpr(
+        "doc_id", "text", "source", "extra AS _id", "extra AS _copies", "extra AS _COPY", "extra AS _locator"
+    )
+    kept = D.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._locator) for r in kept.collect()) == [(i, i) for i in range(12) if i % 3 or i == 9]
+    mixed = M.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {(r.doc_id, r._id) for r in mixed.collect()} <= {(i, i) for i in range(12)}
