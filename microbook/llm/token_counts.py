@@ -2,13 +2,12 @@
 
 Encoding sections one by one gives other tokens than the text has. Here a document is encoded once; the character span of each
 token is matched against the sections' intervals (both are sorted, so it is a merge by binary search), and each token counts for
-exactly one section. The rule for a token that crosses a boundary: the section that has most of its characters gets it, the
+exactly one section. Spans come from the words of the text, each distinct one encoded once per worker (`tokens.py`). The rule for a token that crosses a boundary: the section that has most of its characters gets it, the
 earlier one if they have equally many. The counts of a document's sections therefore sum to its tokens.
 
 One pass, no shuffle.
 """
 
-import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,20 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from microbook.llm.tokens import slices
+from microbook.llm.tokens import encoder, slices
 
-#: The library's encodings with spans take some hundred bytes per token.
+#: Text whose tokens a task holds at once, some hundred bytes each.
 SLICE_BYTES = 1 << 20
-_LIBRARIES: dict[str, object] = {}
-
-
-def _library(vocabulary: str):
-    if vocabulary not in _LIBRARIES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _LIBRARIES[vocabulary] = Tokenizer.from_file(vocabulary)
-    return _LIBRARIES[vocabulary]
 
 
 def allocate(begin: np.ndarray, end: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -39,7 +28,9 @@ def allocate(begin: np.ndarray, end: np.ndarray, ends: np.ndarray) -> np.ndarray
     first = np.minimum(np.searchsorted(ends, begin, side="right"), last)
     final = np.minimum(np.searchsorted(ends, np.maximum(end - 1, begin), side="right"), last)
     section = first.copy()
-    for at in np.flatnonzero(final > first).tolist():
+    pairs = np.flatnonzero(final == first + 1)  # one border inside, by far the most
+    section[pairs] += end[pairs] - ends[first[pairs]] > ends[first[pairs]] - begin[pairs]
+    for at in np.flatnonzero(final > first + 1).tolist():
         borders = np.clip(np.concatenate([[begin[at]], ends[first[at] : final[at]], [end[at]]]), begin[at], end[at])
         section[at] = first[at] + int(np.argmax(np.diff(borders)))
     return section
@@ -63,17 +54,18 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id",
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _library(vocabulary)
+        library = encoder(vocabulary)
         for batch in slices(batches, "text", SLICE_BYTES):
             texts = batch.column("text").to_pylist()
-            encoded = library.encode_batch(texts, add_special_tokens=False)
+            every, lengths = library.spans(batch.column("text"))
+            stops = np.cumsum(lengths)
             ids, columns = batch.column("id").to_pylist(), ([], [], [], [])
             out_ids, sizes = [], []
-            for doc_id, text, own, found in zip(ids, texts, batch.column("ends"), encoded, strict=True):
+            for doc_id, text, own, start, stop in zip(ids, texts, batch.column("ends"), stops - lengths, stops, strict=True):
                 borders = np.array(own.as_py(), np.int64) if own.is_valid else section_ends(text, separator)
                 if not len(borders):
                     borders = np.array([len(text)])
-                spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+                spans = every[start:stop]
                 tokens = np.bincount(allocate(spans[:, 0], spans[:, 1], borders), minlength=len(borders))
                 begin = np.concatenate([[0], borders[:-1]])
                 for column, value in zip(columns, (np.arange(len(borders)), begin, borders - begin, tokens), strict=True):

@@ -47,6 +47,7 @@ class Encoder:
         self._word_level, self._words_kept = word_level, words_kept
         self._known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self._ids, self._used = np.zeros(1 << 16, np.uint32), 0
+        self._spans = np.zeros((1 << 16, 2), np.int32)  # characters of each id, from the begin of its word
         self._begin, self._length, self._words = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
         self._kept = 0, 0  # words and ids that stay
 
@@ -56,16 +57,19 @@ class Encoder:
 
     def _learn(self, words: list[str], before: str) -> int:
         """Put the ids of `words` behind those there are; returns the first one's number."""
-        found = self._library.encode_batch_fast([before + w for w in words], add_special_tokens=False)
+        found = self._library.encode_batch([before + w for w in words], add_special_tokens=False)
         ids = [e.ids for e in found]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
         while self._used + total > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+            self._spans = np.concatenate([self._spans, np.zeros_like(self._spans)])
         while self._words + len(words) > len(self._begin):
             self._begin = np.concatenate([self._begin, np.zeros_like(self._begin)])
             self._length = np.concatenate([self._length, np.zeros_like(self._length)])
         self._ids[self._used : self._used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        spans = chain.from_iterable(chain.from_iterable(e.offsets for e in found))
+        self._spans[self._used : self._used + total] = np.fromiter(spans, np.int32, 2 * total).reshape(-1, 2)
         first = self._words
         span = slice(first, first + len(words))
         self._begin[span] = self._used + np.cumsum(lengths) - lengths
@@ -114,13 +118,28 @@ class Encoder:
             lengths[row] = len(own)
         return np.concatenate([*parts, ids[done:]]), lengths
 
-    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) in characters of all tokens of all texts, and the number of tokens of each; not for `word_level`."""
+        texts = pc.fill_null(texts, "")
+        self._words, self._used = self._kept
+        odd = pc.match_substring_regex(texts, _BESIDE_SPACE).to_numpy(zero_copy_only=False)
+        if self._added:
+            odd |= pc.match_substring_regex(texts, self._added).to_numpy(zero_copy_only=False)
+        found, lengths = self._by_words(pc.if_else(pa.array(odd), "", texts), spans=True)
+        parts, done, at = [], 0, np.cumsum(lengths)
+        for row in np.flatnonzero(odd):
+            own = self._library.encode_batch([texts[int(row)].as_py()], add_special_tokens=False)[0].offsets
+            parts += [found[done : at[row]], np.array(own, np.int64).reshape(-1, 2)]
+            done, lengths[row] = at[row], len(own)
+        return np.concatenate([*parts, found[done:]]), lengths
+
+    def _by_words(self, texts: pa.Array, spans: bool = False) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(texts, " ")
         ends = split.offsets.to_numpy().astype(np.int64)
         words = split.flatten()
         ends = ends - ends[0]
         if len(words) == 0:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+            return np.zeros((0, 2), np.int64) if spans else np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         entries = self._entries(words, False)
         if not self._word_level:
             heads = ends[:-1][ends[1:] > ends[:-1]]
@@ -129,7 +148,15 @@ class Encoder:
         after = np.cumsum(lengths)
         places = np.arange(after[-1]) + np.repeat(self._begin[entries] - (after - lengths), lengths)
         per_text = np.diff(np.concatenate([[0], after])[ends])
-        return self._ids[places], per_text
+        if not spans:
+            return self._ids[places], per_text
+        # A word begins with the space before it, the first one of a text without.
+        n_chars = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        before = np.cumsum(n_chars) - n_chars
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))
+        first = ends[:-1][text]
+        begin = before - before[first] - (np.arange(len(words)) > first)
+        return self._spans[places].astype(np.int64) + np.repeat(begin, lengths)[:, None], per_text
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

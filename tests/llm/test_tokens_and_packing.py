@@ -49,6 +49,15 @@ def test_encoder_gives_the_library_s_ids(path, word_level, words_kept):
         ] == ids_of(path, texts)
 
 
+@pytest.mark.parametrize("words_kept", [10, 100_000])
+def test_spans_are_the_library_s(words_kept):
+    encoder = Encoder(BYTES, words_kept=words_kept)
+    for texts in (ODD + random_texts(1500), ["the same  words é again"] * 3 + [""], random_texts(500, 2), [None]):
+        spans, lengths = encoder.spans(pa.array(texts, pa.string()))
+        found = [x.tolist() for x in np.split(spans, np.cumsum(lengths)[:-1])]
+        assert found == [[list(o) for o in e.offsets] for e in library(BYTES).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 def test_slices_keep_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (5, 0, 100, 3, 3, 3)] + [None]})
     parts = list(slices([batch], "text", 6))
