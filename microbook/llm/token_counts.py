@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id",
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(vocabulary)
+        library = encoder(vocabulary, with_spans=True)
         for batch in slices(batches, "text", SLICE_BYTES):
             texts = batch.column("text").to_pylist()
             every, lengths = library.spans(batch.column("text"))

@@ -51,7 +51,7 @@ def test_encoder_gives_the_library_s_ids(path, word_level, words_kept):
 
 @pytest.mark.parametrize("words_kept", [10, 100_000])
 def test_spans_are_the_library_s(words_kept):
-    encoder = Encoder(BYTES, words_kept=words_kept)
+    encoder = Encoder(BYTES, words_kept=words_kept, with_spans=True)
     for texts in (ODD + random_texts(1500), ["the same  words é again"] * 3 + [""], random_texts(500, 2), [None]):
         spans, lengths = encoder.spans(pa.array(texts, pa.string()))
         found = [x.tolist() for x in np.split(spans, np.cumsum(lengths)[:-1])]
