@@ -732,20 +732,25 @@ def stream_features(spark, sf):
     return _rounded_matrix(SF.stream_features(windows, GIVEN_TABLE, as_float=False))
 
 
+#: Files of a micro-batch of the book.
+BOOK_FILES = 16
+
+
 def _booked(stream: DataFrame, levels: int) -> DataFrame:
+    """The stored feed lacks no index, so no gap is given up however long the replay takes."""
     with SB.state_on_disk(stream.sparkSession):
-        return PI.run_to_table(SB.stream_book(stream, at="at", levels=levels), "booked")
+        return PI.run_to_table(SB.stream_book(stream, at="at", levels=levels, patience_ms=None), "booked")
 
 
 @query
 def stream_depth(spark, sf):
-    events = SB.book_events(_stream(spark, fx.message_log(spark, sf)))
+    events = SB.book_events(_stream(spark, fx.message_log(spark, sf), BOOK_FILES))
     return SB.depth_rows(_booked(events, 0)).drop("trade_date")
 
 
 @query
 def stream_best_prices(spark, sf):
-    events = SB.book_events(_stream(spark, fx.message_log(spark, sf)))
+    events = SB.book_events(_stream(spark, fx.message_log(spark, sf), BOOK_FILES))
     return SB.ladder_rows(_booked(events, 1)).drop("trade_date")
 
 
@@ -757,7 +762,7 @@ def stream_order_ops(spark, sf):
 
 @query
 def stream_event_log(spark, sf):
-    events = _stream(spark, fx.feed(spark, sf, "replace_log", lambda: dense_index(_all_replaces(spark, sf), "at")))
+    events = _stream(spark, fx.feed(spark, sf, "replace_log", lambda: dense_index(_all_replaces(spark, sf), "at")), BOOK_FILES)
     return SB.accepted_event_log(_booked(events, 0)).select(*KEY, "kind", "order_id")
 
 

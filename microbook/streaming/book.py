@@ -1,17 +1,20 @@
 """Streaming order book: one verdict per source event, the depth at its level and the best prices after it.
 
-A keyed state machine per symbol and day (`transformWithState` on RocksDB). State: resting orders by id and sizes by side and price
+A keyed state machine per symbol and day (`transformWithState` on RocksDB). State: resting orders by ranges of ids and sizes by side and price
 (maps, read and written only where a micro-batch touches them), the last index, and the rows that wait because an earlier
-index has not come yet. Events take effect in the order of their dense index whatever the order of arrival. Timers end what never
+index has not come yet, in blocks of the index: a row that waits is written once and read once when its turn comes, however many
+micro-batches pass until then. Events take effect in the order of their dense index whatever the order of arrival. Timers end what never
 comes: a gap that stays open for `patience_ms` is jumped and counted, a day without rows for `expire_ms` gives its state back.
+A replay of stored rows lacks no index, and how long it takes says nothing about them: `patience_ms=None` never jumps.
 
 The rules are those of `classify_order_events` and `classify_replaces`; an order's removals take effect at the order's own level.
 """
 
 import heapq
-import itertools
+import json
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +26,10 @@ from microbook.schema import KEYS, SEQ
 
 DAY_MS = 86_400_000
 PATIENCE_MS = 60_000
-#: Orders that one worker remembers of a micro-batch before it writes them to the state.
-_CACHED = 100_000
+#: Orders (and ranges, levels) that one worker remembers of a micro-batch before it writes them to the state; ids of a range of orders.
+_CACHED, _RANGE = 100_000, 256
+#: Indices of a block of waiting rows; rows that one worker holds of a micro-batch before those that wait are stored; rows that come out at once.
+_BLOCK, _HELD, _OUT = 1_024, 100_000, 10_000
 _EVENT = (SEQ, "kind", "order_id", "old_id", "side", "price", "qty")
 _RESTS = (0, 0, 0)
 _NULL = -(1 << 63)
@@ -89,6 +94,103 @@ class _Cached:
             part.clear()
 
 
+class _Orders:
+    """Resting orders. The state holds them by ranges of ids, which are read and written whole: orders near in time are near in id."""
+
+    def __init__(self, state):
+        self._state = state
+        self._ranges: dict[int, dict] = {}
+        self._changed: set[int] = set()
+        self._stored: set[int] = set()
+        self._held = 0
+
+    def get(self, order_id: int | None) -> tuple:
+        return self._range(self._number(order_id)).get(order_id, _RESTS)
+
+    def put(self, order_id: int | None, value: tuple) -> None:
+        number = self._number(order_id)
+        orders = self._range(number)
+        if value != _RESTS:
+            self._held += order_id not in orders
+            orders[order_id] = value
+        else:
+            orders.pop(order_id, None)
+        self._changed.add(number)
+
+    def flush(self) -> None:
+        for number in self._changed:
+            orders = self._ranges[number]
+            if orders:
+                self._state.updateValue((number,), (json.dumps([(order_id, *value) for order_id, value in orders.items()]),))
+            elif number in self._stored:
+                self._state.removeKey((number,))
+        for part in (self._ranges, self._changed, self._stored):
+            part.clear()
+        self._held = 0
+
+    def _number(self, order_id: int | None) -> int:
+        return _NULL if order_id is None else order_id // _RANGE
+
+    def _range(self, number: int) -> dict:
+        orders = self._ranges.get(number)
+        if orders is None:
+            if self._held >= _CACHED:
+                self.flush()
+            stored = self._state.getValue((number,))
+            orders = {order_id: tuple(value) for order_id, *value in json.loads(stored[0])} if stored else {}
+            if stored:
+                self._stored.add(number)
+            self._ranges[number] = orders
+            self._held += 1 + len(orders)
+        return orders
+
+
+class _Waiting:
+    """Rows whose turn has not come. A micro-batch adds one piece to each block that it has rows of; a block is read when its turn comes."""
+
+    def __init__(self, blocks, pieces, count: int):
+        self._blocks, self._pieces, self.count = blocks, pieces, count
+        self._new: dict[int, list[tuple]] = {}
+        self._held = 0
+
+    def add(self, events: list[tuple]) -> None:
+        for event in events:
+            self._new.setdefault(event[0] // _BLOCK, []).append(event)
+        self.count += len(events)
+        self._held += len(events)
+        if self._held > _HELD:
+            self.flush()
+
+    def take(self, block: int) -> list[tuple]:
+        """The rows of a block in the order of the index, equal ones in the order of arrival. They wait no longer."""
+        events = []
+        for piece in range(self._stored(block)):
+            events += map(tuple, json.loads(self._pieces.getValue((block, piece))[0]))
+            self._pieces.removeKey((block, piece))
+        if events:
+            self._blocks.removeKey((block,))
+        new = self._new.pop(block, [])
+        self._held -= len(new)
+        events += new
+        self.count -= len(events)
+        return sorted(events, key=itemgetter(0))
+
+    def blocks(self) -> list[int]:
+        return sorted({*self._new, *(block for (block,) in self._blocks.keys())})
+
+    def flush(self) -> None:
+        for block, events in self._new.items():
+            piece = self._stored(block)
+            self._pieces.updateValue((block, piece), (json.dumps(events),))
+            self._blocks.updateValue((block,), (piece + 1,))
+        self._new.clear()
+        self._held = 0
+
+    def _stored(self, block: int) -> int:
+        pieces = self._blocks.getValue((block,))
+        return pieces[0] if pieces else 0
+
+
 class _Tops:
     """Best levels per side; prices are ranked anew only when a change reaches the best ones."""
 
@@ -120,16 +222,16 @@ class _Tops:
 
 
 class _BookProcessor(StatefulProcessor):
-    def __init__(self, columns: list[str], first: int, levels: int, patience_ms: int, expire_ms: int):
+    def __init__(self, columns: list[str], first: int, levels: int, patience_ms: int | None, expire_ms: int):
         self._columns, self._first, self._levels, self._patience, self._expire = columns, first, levels, patience_ms, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        event = "at bigint, seq bigint, kind string, order_id bigint, old_id bigint, side bigint, price bigint, qty bigint"
         self._handle = handle
-        self._place = handle.getValueState("place", "last bigint, gap_alarm bigint, day_alarm bigint, seen_at bigint")
-        self._order_state = handle.getMapState("orders", "order_id bigint", "side bigint, price bigint, qty bigint")
+        self._place = handle.getValueState("place", "last bigint, gap_alarm bigint, day_alarm bigint, seen_at bigint, waiting bigint")
+        self._order_state = handle.getMapState("orders", "ids bigint", "orders string")
         self._level_state = handle.getMapState("levels", "side bigint, price bigint", "size bigint")
-        self._waiting = handle.getListState("waiting", event)
+        self._block_state = handle.getMapState("blocks", "block bigint", "pieces bigint")
+        self._piece_state = handle.getMapState("pieces", "block bigint, piece bigint", "events string")
 
     def close(self) -> None:
         pass
@@ -144,13 +246,12 @@ class _BookProcessor(StatefulProcessor):
         return size
 
     def _remove(self, order_id: int, qty: int) -> tuple[int, int]:
-        side, price, size = self._orders.get((order_id,))
-        self._orders.put((order_id,), (side, price, size - qty) if size > qty else _RESTS)
+        side, price, size = self._orders.get(order_id)
+        self._orders.put(order_id, (side, price, size - qty) if size > qty else _RESTS)
         return size - qty, self._change(side, price, -qty)
 
     def _enter(self, order_id: int, side: int, price: int, qty: int) -> int:
-        self._orders.get((order_id,))
-        self._orders.put((order_id,), (side, price, qty))
+        self._orders.put(order_id, (side, price, qty))
         return self._change(side, price, qty)
 
     def _apply(self, kind, order_id, old_id, side, price, qty) -> tuple:
@@ -158,7 +259,7 @@ class _BookProcessor(StatefulProcessor):
         if kind is None:
             return "ignored", None, 0, None, self._size_at(side, price)
         reason, depth, done, after = None, None, 0, 0
-        rests = self._orders.get((order_id,)) if order_id is not None and kind not in ("market", "ioc") else _RESTS
+        rests = self._orders.get(order_id) if order_id is not None and kind not in ("market", "ioc") else _RESTS
         if kind != "cancel" and (qty is None or qty <= 0):
             reason, after = "bad_qty", rests[2]
         elif kind in ("market", "ioc"):
@@ -170,7 +271,7 @@ class _BookProcessor(StatefulProcessor):
                 done = after = qty
                 depth = self._enter(order_id, side, price, qty)
         elif kind == "replace":
-            old = self._orders.get((old_id,))
+            old = self._orders.get(old_id)
             if not old[2]:
                 reason = "unknown_id"
             elif old_id != order_id and rests[2]:
@@ -200,61 +301,78 @@ class _BookProcessor(StatefulProcessor):
     def _late(self, event: tuple) -> list:
         return [*event[1:], "late", None, 0, None, None, 0, *[None] * (4 * self._levels)]
 
-    def _ready(self, heap: list[tuple], last: int, jump: bool) -> Iterator[tuple[list, int]]:
+    def _turns(self, waiting: _Waiting, last: int, jump: bool) -> Iterator[tuple[list, int]]:
         """Rows whose turn it is, with the new last index; `jump` goes over the gaps before those that wait."""
-        while heap and (jump or heap[0][0] <= last + 1):
-            event = heapq.heappop(heap)[2]
-            if event[0] <= last:
-                yield self._late(event), last
-                continue
-            gap, last = event[0] - last - 1, event[0]
-            yield self._row(event, gap), last
+        ahead = iter(waiting.blocks()) if jump else None
+        while True:
+            block = next(ahead, None) if jump else (last + 1) // _BLOCK
+            if block is None:
+                return
+            events = waiting.take(block)
+            for place, event in enumerate(events):
+                if event[0] <= last:
+                    yield self._late(event), last
+                    continue
+                gap = event[0] - last - 1
+                if gap and not jump:
+                    waiting.add(events[place:])
+                    return
+                last = event[0]
+                yield self._row(event, gap), last
+            if not jump and (last + 1) // _BLOCK == block:
+                return
 
     def _run(self, key: tuple, chunks: Iterable[pd.DataFrame], now: int, alarm: int | None) -> Iterator[pd.DataFrame]:
-        last, gap_alarm, day_alarm, seen_at = self._place.get() if self._place.exists() else (self._first - 1, 0, 0, now)
+        last, gap_alarm, day_alarm, seen_at, held = self._place.get() if self._place.exists() else (self._first - 1, 0, 0, now, 0)
         if alarm is not None and alarm == day_alarm and seen_at + self._expire > now:
             day_alarm = seen_at + self._expire  # rows have come since
             self._handle.registerTimer(day_alarm)
         expired = alarm is not None and alarm == day_alarm and seen_at + self._expire <= now
-        self._orders, self._sizes = _Cached(self._order_state, _RESTS), _Cached(self._level_state, (0,))
+        self._orders, self._sizes = _Orders(self._order_state), _Cached(self._level_state, (0,))
         self._tops = _Tops(self._levels, self._level_state.iterator()) if self._levels else None
-        number = itertools.count()  # equal indices stay in the order of arrival
-        heap = [(event[0], next(number), tuple(event)) for event in self._waiting.get()] if self._waiting.exists() else []
-        heapq.heapify(heap)
-        held = len(heap)
+        waiting, start = _Waiting(self._block_state, self._piece_state, held), last
         jump = expired or (alarm is not None and alarm == gap_alarm)
         if jump and alarm == gap_alarm:
             gap_alarm = 0
 
+        rows = []
         for chunk in [None] if alarm is not None else chunks:
             if chunk is not None:
-                for event in _events(chunk):
-                    heapq.heappush(heap, (event[0], next(number), event))
-            rows = []
-            for row, last in self._ready(heap, last, jump):
-                rows.append(row)
-            if rows:
-                yield pd.DataFrame([[*key, *row] for row in rows], columns=self._columns, dtype=object)
+                events = sorted(_events(chunk), key=itemgetter(0))
+                on_time = [event for event in events if event[0] > last]
+                rows += [self._late(event) for event in events[: len(events) - len(on_time)]]
+                waiting.add(on_time)
+            # Nothing that waits from before is next in turn, so a row of this chunk has to be.
+            if jump or (chunk is not None and on_time and on_time[0][0] == last + 1):
+                for row, last in self._turns(waiting, last, jump):
+                    rows.append(row)
+                    if len(rows) >= _OUT:
+                        yield self._frame(key, rows)
+                        rows = []
+        if rows:
+            yield self._frame(key, rows)
         if expired:
-            for state in (self._place, self._order_state, self._level_state, self._waiting):
+            for state in (self._place, self._order_state, self._level_state, self._block_state, self._piece_state):
                 state.clear()
             if gap_alarm:
                 self._handle.deleteTimer(gap_alarm)
             return
         self._orders.flush()
         self._sizes.flush()
-        if heap or held:
-            self._waiting.put([event for _, _, event in sorted(heap)]) if heap else self._waiting.clear()
-        if heap and not gap_alarm:
-            gap_alarm = now + self._patience
-            self._handle.registerTimer(gap_alarm)
-        elif gap_alarm and not heap:
+        waiting.flush()
+        if gap_alarm and (not waiting.count or last > start):
             self._handle.deleteTimer(gap_alarm)
             gap_alarm = 0
+        if waiting.count and not gap_alarm and self._patience is not None:
+            gap_alarm = now + self._patience
+            self._handle.registerTimer(gap_alarm)
         if not day_alarm:
             day_alarm = now + self._expire
             self._handle.registerTimer(day_alarm)
-        self._place.update((last, gap_alarm, day_alarm, now if alarm is None else seen_at))
+        self._place.update((last, gap_alarm, day_alarm, now if alarm is None else seen_at, waiting.count))
+
+    def _frame(self, key: tuple, rows: list[list]) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *row] for row in rows], columns=self._columns, dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         return self._run(key, rows, timerValues.getCurrentProcessingTimeInMs(), None)
@@ -283,14 +401,14 @@ def book_events(messages: DataFrame) -> DataFrame:
 
 
 def stream_book(
-    events: DataFrame, *, levels: int = 1, at: str = SEQ, first: int = 0, patience_ms: int = PATIENCE_MS, expire_ms: int = DAY_MS
+    events: DataFrame, *, levels: int = 1, at: str = SEQ, first: int = 0, patience_ms: int | None = PATIENCE_MS, expire_ms: int = DAY_MS
 ) -> DataFrame:
     """One row per event of the stream: its columns, `status`, `reason`, `effective_qty`, `remaining`, `depth`, `gap`, and the
     best `levels` prices and sizes of both sides after it (none with 0).
 
     `at` is the dense index of a symbol and day, starting at `first`. Status: accepted, rejected (with a reason), ignored (a kind
     that touches no resting order), late (its index has passed already, or came twice; it changes nothing). `gap` counts the indices
-    that were given up just before the row. `depth` is the size at the level that the row changed, or at its side and price.
+    that were given up just before the row, none without `patience_ms`. `depth` is the size at the level that the row changed, or at its side and price.
     Start the query inside `state_on_disk`.
     """
     order = ["symbol string", "trade_date date", f"{SEQ} bigint", "kind string", "order_id bigint", "old_id bigint", "side tinyint", "price bigint", "qty bigint"]

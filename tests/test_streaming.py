@@ -218,3 +218,62 @@ def test_streamed_depth_and_ladder_equal_batch(spark, sf):
     messages = fx.messages(spark, sf)
     assert differing_rows(SB.ladder_rows(out), BK.ladder_over_time(messages, 3)).count() == 0
     assert differing_rows(SB.depth_rows(out), BK.depth_by_level(messages).select(*KEYS, "seq", "side", "price", "depth")).count() == 0
+
+
+def test_replay_without_patience_gives_up_no_gap_and_writes_waiting_rows_once(spark, monkeypatch):
+    """Files in reverse, each run later than any patience; the rows that wait lie in blocks that later runs add to."""
+    events = random_events(3_000, 900, 3)
+    want = brute_book(events, 0)
+    parts = [events[a : a + 1_000] for a in (2_000, 1_000, 0)]
+    out = booked(spark, tempfile.mkdtemp(prefix="spark-"), [parts[0][::2], parts[1], parts[0][1::2], parts[2]], levels=0, patience_ms=None)
+    got = {r["seq"]: r for r in out.collect()}
+    assert len(got) == out.count() == len(events) and all(r["gap"] == 0 and r["status"] in RULES for r in got.values())
+    assert [tuple(got[i][c] for c in ("reason", "effective_qty", "remaining", "depth")) for i in range(len(events))] == want
+
+
+class MapState(dict):
+    """A map state that counts what is written."""
+
+    written = 0
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+        self.written += len(str(value))
+
+    def removeKey(self, key):
+        del self[key]
+
+
+def test_what_waits_is_written_once():
+    """Written again in each micro-batch, 64 of them would write 32 times as much."""
+    blocks, pieces, count = MapState(), MapState(), 0
+    events = [(i, i, "limit", i, None, 1, 100, 5) for i in range(1, 8_193)]
+    random.Random(5).shuffle(events)
+    for part in range(64):
+        waiting = SB._Waiting(blocks, pieces, count)
+        waiting.add(events[part::64])
+        waiting.flush()
+        count = waiting.count
+    assert count == len(events) and pieces.written < 2 * len(str(events))
+    assert [e for block in waiting.blocks() for e in waiting.take(block)] == sorted(events)
+    assert waiting.count == 0 and not blocks and not pieces
+
+
+def test_orders_are_kept_by_ranges_of_ids(monkeypatch):
+    """A plain dict and ranges hold the same, with many flushes between; neighbours share a state entry."""
+    monkeypatch.setattr(SB, "_CACHED", 40)
+    state, plain, rng = MapState(), {}, random.Random(8)
+    ids = [None, -3, 1 << 60, *range(2_000)]
+    orders = SB._Orders(state)
+    for _ in range(6_000):
+        oid, qty = rng.choice(ids), rng.randrange(3)
+        assert orders.get(oid) == plain.get(oid, (0, 0, 0))
+        plain[oid] = (1, 100, qty) if qty else (0, 0, 0)
+        orders.put(oid, plain[oid])
+    orders.flush()
+    assert len(state) <= 11
+    again = SB._Orders(state)
+    assert all(again.get(oid) == plain.get(oid, (0, 0, 0)) for oid in ids)
