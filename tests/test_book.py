@@ -89,6 +89,22 @@ def test_replaces_have_one_verdict(spark, seed, ids):
     assert column(B.accepted_events(df, classified), "seq") == [i for i, w in enumerate(want) if w[0]]
 
 
+def test_later_rounds_of_replaces_play_only_touched_orders(spark, monkeypatch):
+    """A chain in which each refusal refuses the next replace, beside 300 orders that it never touches."""
+    chain = [("limit", 1_000, 1, 100, 5, None)] + [("replace", 1_001 + i, None, 100, 0 if i == 0 else 5, 1_000 + i) for i in range(6)]
+    df = events(spark, *chain, *[("limit", i, 1, 100, 5, None) for i in range(300)])
+    played, rule = [], B.classify_order_events
+
+    def counted(rows, **options):
+        played.append(rows.count())
+        return rule(rows, **options)
+
+    monkeypatch.setattr(B, "classify_order_events", counted)
+    done = B.classify_replaces(df)
+    assert rows(done.where("NOT accepted"), "order_id", "reason") == [(1_001, "bad_qty")] + [(1_002 + i, "unknown_id") for i in range(5)]
+    assert played[0] == played[-1] == 313 and len(played) > 3 and max(played[1:-1]) < 20
+
+
 def test_removal_of_an_unseen_order_changes_no_level(spark):
     df = message(spark, (3, 9, 1, 30, 100), (1, 1, 1, 50, 100), (4, 1, 1, 80, 100), (1, 2, 1, 5, 100))
     assert column(B.depth_by_level(df), "depth") == [0, 50, 0, 5]
