@@ -174,14 +174,18 @@ def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_order(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A table stored file after file in event order: a later file holds later events only."""
+    """A table stored file after file in event order: a later file holds later events only.
+
+    The rows are built once, into one folder per step; the steps are then copied in their order, each reads its own folder alone.
+    """
 
     def write(path: str) -> None:
         rows = build()
         last = rows.agg(F.max(SEQ)).first()[0]
         step = min(50_000, max(500, last // 5))
-        for start in range(0, last + 1, step):
-            rows.where(F.col(SEQ).between(start, start + step - 1)).coalesce(1).write.mode("append").parquet(path)
+        staged = materialise(rows.withColumn("_step", F.expr(f"{SEQ} div {step}")).repartition("_step"), f"{name}-steps", ("_step",))
+        for number in range(last // step + 1):
+            staged.where(F.col("_step") == number).drop("_step").coalesce(1).write.mode("append").parquet(path)
 
     return _written_once(spark, sf_dir, name, write)
 

@@ -277,3 +277,19 @@ def test_orders_are_kept_by_ranges_of_ids(monkeypatch):
     assert len(state) <= 11
     again = SB._Orders(state)
     assert all(again.get(oid) == plain.get(oid, (0, 0, 0)) for oid in ids)
+
+
+def test_a_table_in_event_order_is_built_once(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(seq):
+        built.add(1)
+        return seq
+
+    rows = spark.range(2_600).select(F.col("id").alias("seq"), counted.asNondeterministic()("id").alias("value"))
+    table = fx._in_order(spark, tempfile.mkdtemp(prefix="spark-"), "counted", lambda: rows)
+    assert built.value == 2_600
+    files = sorted((os.stat(p.removeprefix("file://")).st_mtime_ns, p) for p in table.inputFiles())
+    seen = [[r["seq"] for r in spark.read.parquet(p).collect()] for _, p in files]
+    assert [sorted(s) for s in seen] == [list(range(a, min(a + 519, 2_600))) for a in range(0, 2_600, 519)]
