@@ -21,7 +21,7 @@ its sets differ rules out most: those that no other document has, and a parity s
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from microbook.llm.graph import connected_components
 from microbook.llm.tables import new_folder, rows_per_batch, stored
-from microbook.llm.tokens import slices
+from microbook.llm.tokens import slices, tidy, tidy_group
 
 WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact.
 NUMERATOR, DENOMINATOR = 4, 5
 BLOCK_BYTES = 16 << 20
 BLOCK_DOCS = 60_000
+#: Text of a block that is cut into shingles at once; numpy holds some forty times as much meanwhile.
+SHINGLED_BYTES = 4 << 20
 #: Shingles of a hash range; bounds the memory of one range.
 RANGE_SHINGLES = 2_000_000
 #: From this many documents of a block on, a shingle is sent as a count.
@@ -49,6 +51,8 @@ SKETCH = 8
 #: Subsets of larger sets are never cheaper than their lists.
 LIGHT_MOST = 12
 PAIRS_AT_ONCE = 256
+#: Rows of a block that go to Spark at once.
+ROWS_AT_ONCE = 1_024
 
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
@@ -128,7 +132,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.concatenate([begin, [len(keys)]]))
 
 
-def _block_rows(block: int, doc_ids: list, sets: list[np.ndarray], parts: int) -> Iterator[tuple]:
+def _block_rows(block: int, doc_ids: list, sets: Iterable[np.ndarray], parts: int) -> Iterator[tuple]:
     """doc: one per document (a: digest of the set, b: the set if it may be light); of documents with equal sets, the first carries
     the postings. block: a digests, b sizes, c numbers of keys. post: one per range (a: keys, b: carriers). many: keys that are
     frequent here (a: keys, b: counts), kept: their carriers (a: keys, b: counts, c: carriers)."""
@@ -144,14 +148,21 @@ def _block_rows(block: int, doc_ids: list, sets: list[np.ndarray], parts: int) -
     sizes = np.fromiter(map(len, carriers), np.int64, len(carriers))
     flat = np.concatenate(carriers) if carriers else np.zeros(0, np.uint64)
     carrier = np.repeat(np.arange(len(carriers), dtype=np.uint16), sizes)
-    low = flat & np.uint64(0xFFFFFFFF)
-    keys = ((low * np.uint64(parts)) >> np.uint64(32) << np.uint64(32)) | (flat >> np.uint64(32))
+    del sets, carriers
+    keys = flat & np.uint64(0xFFFFFFFF)  # in place from here on, as these are the largest arrays of a worker
+    keys *= np.uint64(parts)
+    keys >>= np.uint64(32)
+    keys <<= np.uint64(32)
+    flat >>= np.uint64(32)
+    keys |= flat
+    del flat
     order = np.argsort(keys, kind="stable")
     keys, carrier = keys[order], carrier[order]
+    del order
     fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (carrier[1:] != carrier[:-1])]) if len(keys) else np.zeros(0, bool)
     keys, carrier = keys[fresh], carrier[fresh]
-    n_keys = np.bincount(carrier, minlength=len(carriers))
-    yield ("block", block, -1, None, len(carriers), b"".join(digests), sizes.astype("<i8").tobytes(), n_keys.astype("<i8").tobytes())
+    n_keys = np.bincount(carrier, minlength=len(sizes))
+    yield ("block", block, -1, None, len(sizes), b"".join(digests), sizes.astype("<i8").tobytes(), n_keys.astype("<i8").tobytes())
     begin, length = _runs(keys)
     frequent = length >= FREQUENT_IN_BLOCK
     if frequent.any():
@@ -175,13 +186,13 @@ def blocks(docs: DataFrame, parts: int, words: int = WORDS) -> DataFrame:
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", BLOCK_BYTES, BLOCK_DOCS):
-            sets = shingle_sets(batch.column("text"), words)
-            rows = list(_block_rows(number, batch.column("doc_id").to_pylist(), sets, parts))
-            yield _rows(rows)
+            sets = (own for part in slices([batch], "text", SHINGLED_BYTES) for own in shingle_sets(part.column("text"), words))
+            for rows in itertools.batched(_block_rows(number, batch.column("doc_id").to_pylist(), sets, parts), ROWS_AT_ONCE):
+                yield _rows(rows)
             number += 1
 
     path = new_folder(docs.sparkSession, "shingle-blocks")
-    docs.select("doc_id", "text").mapInArrow(blocked, _BLOCK).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    docs.select("doc_id", "text").mapInArrow(tidy(blocked), _BLOCK).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     return docs.sparkSession.read.schema(_BLOCK).parquet(path)
 
 
@@ -315,7 +326,7 @@ def light_links(light: DataFrame, boundary: int) -> DataFrame:
                 {"bucket": pa.array(buckets, pa.binary()), "side": pa.array(sides, pa.int32()), "rep": pa.array(reps, pa.int64())}
             )
 
-    rows = light.where(F.col("n") <= boundary).select("rep", "items").mapInArrow(enumerated, "bucket binary, side int, rep bigint")
+    rows = light.where(F.col("n") <= boundary).select("rep", "items").mapInArrow(tidy(enumerated), "bucket binary, side int, rep bigint")
     heads = rows.groupBy("bucket").agg(*[F.min(F.when(F.col("side") == k, F.col("rep"))).alias(f"of_{k + 1}") for k in (-1, 0, 1)])
     # Each side meets in the other side's head; sets of equal size have one side.
     other = F.when(F.col("side") == 0, F.col("of_1")).when(F.col("side") == 1, F.col("of_0")).otherwise(F.col("of_2"))
@@ -350,7 +361,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     x, y = (sets.select(F.col("rep").alias(end), F.col("items").alias(name)) for end, name in (("a", "x"), ("b", "y")))
     with rows_per_batch(pairs.sparkSession, PAIRS_AT_ONCE):  # each row has two whole sets
-        return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compared, "a bigint, b bigint"), "ngram-links")
+        return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(compared), "a bigint, b bigint"), "ngram-links")
 
 
 def heavy_links(lists: DataFrame, docs: DataFrame, boundary: int, known: DataFrame, words: int = WORDS) -> DataFrame:
@@ -380,7 +391,7 @@ def heavy_links(lists: DataFrame, docs: DataFrame, boundary: int, known: DataFra
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(items, pa.binary())], ["rep", "items"])
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").select("rep", "text")
-    sets = stored(texts.mapInArrow(whole, "rep bigint, items binary"), "ngram-sets")
+    sets = stored(texts.mapInArrow(tidy(whole), "rep bigint, items binary"), "ngram-sets")
     links = verified(tried, sets).union(known)
 
     component = connected_components(links)
@@ -422,9 +433,9 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
         documents.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("items").alias("items")),
         "ngram-nodes",
     )
-    counted = made.where("kind IN ('post', 'many')").groupBy("part").applyInArrow(_counted, _BLOCK)
+    counted = made.where("kind IN ('post', 'many')").groupBy("part").applyInArrow(tidy_group(_counted), _BLOCK)
     to_blocks = counted.unionByName(made.where("kind IN ('block', 'kept')"))
-    entries = to_blocks.groupBy("block").applyInArrow(_prefixed, _ENTRY)
+    entries = to_blocks.groupBy("block").applyInArrow(tidy_group(_prefixed), _ENTRY)
     lists = stored(entries.join(nodes.select("digest", "rep"), "digest").where("rep IS NOT NULL").groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("n", "own", "sketch")]), "ngram-lists")
 
     small = f"n <= {LIGHT_MOST}"

@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from microbook.llm.tables import stored
-from microbook.llm.tokens import encoder, slices, with_end
+from microbook.llm.tables import rows_per_batch, stored
+from microbook.llm.tokens import encoder, slices, tidy, with_end
 from microbook.partitioning import running_sum
 
 SEQUENCE = 2048
 END_ID = 0
 CHUNK_PIECES = 8_192
+#: Whole texts that a worker gets at once.
+_TEXTS_AT_ONCE = 2_048
 _ROUNDS = 300
 #: Short pieces fit almost anywhere, so a misfit of their counts weighs less.
 _SHORT, _SHORT_WEIGHT = 256, 0.1
@@ -66,7 +68,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int =
                 [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(tokenised, _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(tokenised, keeps_words=True), _PIECES)
 
 
 class Pattern(NamedTuple):
@@ -215,7 +217,9 @@ def place(cut_docs: DataFrame, *, size: int = SEQUENCE, chunk_pieces: int = CHUN
 
 def stored_pieces(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int = END_ID, with_ids: bool = True) -> DataFrame:
     """`pieces` with a unique key, written once: tokenising is not repeated and keys stay as they are."""
-    return stored(pieces(docs, vocabulary, size=size, end=end, with_ids=with_ids).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    keyed = pieces(docs, vocabulary, size=size, end=end, with_ids=with_ids).withColumn("key", F.monotonically_increasing_id())
+    with rows_per_batch(docs.sparkSession, _TEXTS_AT_ONCE):
+        return stored(keyed, "pieces")
 
 
 def pack(docs: DataFrame, vocabulary: str, *, size: int = SEQUENCE, end: int = END_ID) -> DataFrame:

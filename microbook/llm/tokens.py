@@ -6,8 +6,10 @@ the literal of a token that was added to the vocabulary, such as an end mark, go
 words of a batch, the library encodes those that the worker has not met, numpy puts the ids in place.
 """
 
+import ctypes
 import os
 import re
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -20,6 +22,8 @@ _BESIDE_SPACE = "[\\s\\pZ\\x{85}\\x{1c}-\\x{1f}\\x{0b}] | [\\s\\pZ\\x{85}\\x{1c}
 WORDS_KEPT = 400_000
 #: Text that is encoded at once; numpy holds some forty times as much meanwhile.
 SLICE_BYTES = 1 << 20
+#: Words that the library encodes at once; each takes about a kilobyte until its ids are taken over.
+_WORDS_AT_ONCE = 8_192
 
 
 def slices(batches, column: str, most: int = SLICE_BYTES, most_rows: int = 1 << 31):
@@ -34,6 +38,42 @@ def slices(batches, column: str, most: int = SLICE_BYTES, most_rows: int = 1 <<
             at, done = upto, int(ends[upto - 1])
 
 
+def give_back() -> None:
+    """Hand memory that is free, but still held by the allocators, back to the system. Workers are reused, so it would stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not with every C library
+        pass
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *, keeps_words: bool = False):
+    """`task` for mapInArrow, after which its worker holds no more than before; only `keeps_words` leaves encoders to later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps_words:
+            forget()
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_group(task: Callable[[pa.Table], pa.Table]):
+    """The same for applyInArrow."""
+
+    def run(table: pa.Table) -> pa.Table:
+        forget()
+        try:
+            return task(table)
+        finally:
+            give_back()
+
+    return run
+
+
 class Encoder:
     """`vocabulary`: path of a tokenizers file. `word_level`: white space never gets into a token and case does not count."""
 
@@ -58,8 +98,12 @@ class Encoder:
     def _learn(self, words: list[str], before: str) -> int:
         """Put the ids of `words` behind those there are; returns the first one's number."""
         encode = self._library.encode_batch if self._with_spans else self._library.encode_batch_fast  # the fast one keeps no offsets
-        found = encode([before + w for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        ids, offsets = [], []
+        for at in range(0, len(words), _WORDS_AT_ONCE):
+            found = encode([before + w for w in words[at : at + _WORDS_AT_ONCE]], add_special_tokens=False)
+            ids += [e.ids for e in found]
+            if self._with_spans:
+                offsets += [e.offsets for e in found]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
         while self._used + total > len(self._ids):
@@ -70,7 +114,7 @@ class Encoder:
             self._length = np.concatenate([self._length, np.zeros_like(self._length)])
         self._ids[self._used : self._used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         if self._with_spans:
-            spans = chain.from_iterable(chain.from_iterable(e.offsets for e in found))
+            spans = chain.from_iterable(chain.from_iterable(offsets))
             self._spans[self._used : self._used + total] = np.fromiter(spans, np.int32, 2 * total).reshape(-1, 2)
         first = self._words
         span = slice(first, first + len(words))
@@ -172,6 +216,11 @@ def encoder(vocabulary: str, word_level: bool = False, with_spans: bool = False)
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Drop the encoders that earlier tasks have left in this worker."""
+    _ENCODERS.clear()
+
+
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The id `end` put after the ids of each text."""
     out = np.full(len(ids) + len(lengths), end, np.uint32)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from microbook.llm.tables import stored, unused
-from microbook.llm.tokens import slices
+from microbook.llm.tokens import slices, tidy
 
 #: At most 2 ** BITS features are chosen.
 BITS = 18
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, bits:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "features"])
 
     schema = "doc_id bigint, toxic int, features array<bigint>"
-    rows = stored(texts.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(featured, schema), "toxic-train")
+    rows = stored(texts.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(tidy(featured), schema), "toxic-train")
     chosen = np.array(telling(rows, most=1 << bits), np.int64)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, bits:
             size = pa.array(np.diff(ends))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists, size], ["doc_id", "toxic", "features", "size"])
 
-    taken = rows.mapInArrow(kept, schema + ", size bigint").orderBy("doc_id").toArrow().combine_chunks()
+    taken = rows.mapInArrow(tidy(kept), schema + ", size bigint").orderBy("doc_id").toArrow().combine_chunks()
     lists = taken.column("features").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy().astype(np.int64)) if len(taken) else np.zeros(0, np.int64)
     flat = lists.flatten().to_numpy().astype(np.int64) if len(taken) else np.zeros(0, np.int64)
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, *, columns: tuple[str, ...] = ("doc_id"
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + f", `{out}` double"
-    return docs.select(*columns, *(c for c in ("text",) if c not in columns)).mapInArrow(scored, schema)
+    return docs.select(*columns, *(c for c in ("text",) if c not in columns)).mapInArrow(tidy(scored), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **how) -> DataFrame:
