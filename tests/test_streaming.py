@@ -279,6 +279,49 @@ def test_orders_are_kept_by_ranges_of_ids(monkeypatch):
     assert all(again.get(oid) == plain.get(oid, (0, 0, 0)) for oid in ids)
 
 
+def test_orders_with_ids_far_apart_share_state_entries():
+    """As ids of replaces are. By ranges of ids each order was an entry of its own, with a call to read and one to write it."""
+    state, ids = MapState(), [1_000_000 * i for i in range(6_000)]
+    orders = SB._Orders(state)
+    for oid in ids:
+        orders.put(oid, (1, 100, 5))
+    orders.flush()
+    assert len(state) <= 1 + 2 * len(ids) / SB._PAGE + 1
+    orders = SB._Orders(state)
+    assert all(orders.get(oid) == (1, 100, 5) and orders.get(oid + 1) == (0, 0, 0) for oid in ids)
+    for oid in ids[:-1]:
+        orders.put(oid, (0, 0, 0))
+    orders.flush()
+    assert len(state) == 2 and SB._Orders(state).get(ids[-1]) == (1, 100, 5)
+
+
+def test_events_reach_the_state_machine_by_blocks(spark):
+    """One row of the shuffle per symbol and block, not one per event; nothing of an event is lost."""
+    events = [(*e[:3], None if i % 5 == 0 else e[3], *e[4:]) for i, e in enumerate(random_events(10_000, 500, 11))]
+    random.Random(2).shuffle(events)
+    rows = spark.createDataFrame([(s, DAY, *e) for s in ("AAPL", "MSFT") for e in events], EVENT).coalesce(1)
+    numbers = [F.coalesce(F.col(c).cast("bigint"), F.lit(SB._NULL)).alias(c) for c in ("order_id", "old_id", "side", "price", "qty")]
+    packed = rows.select(*KEYS, F.col("seq").alias("at"), "seq", "kind", *numbers).mapInArrow(
+        SB._pack_events, "symbol string, trade_date date, block bigint, low bigint, n bigint, events binary"
+    )
+    waiting, pieces = SB._Waiting(MapState(), MapState(), 0), packed.where("symbol = 'MSFT'").collect()
+    assert len(pieces) == 10_000 // SB._BLOCK + 1
+    for piece in pieces:
+        waiting.add_piece(piece["block"], piece["n"], piece["events"])
+    assert [e[1:] for block in waiting.blocks() for e in waiting.take(block)] == sorted(events)
+
+
+def test_best_levels_follow_every_change():
+    rng, tops, sizes = random.Random(4), SB._Tops(3, []), {}
+    for _ in range(4_000):
+        key, size = (rng.choice([1, -1]), rng.randrange(-9, 9)), rng.choice([0, 0, 1, 2])
+        sizes[key] = size
+        tops.put(*key, size)
+        best = {side: sorted(((p, q) for (s, p), q in sizes.items() if s == side and q), key=lambda level: -side * level[0]) for side in (1, -1)}
+        want = [(best[side] + [(SB._NULL, 0)] * 3)[i] for i in range(3) for side in (1, -1)]
+        assert tops.row() == [value for level in want for value in level]
+
+
 def test_a_table_in_event_order_is_built_once(spark):
     built = spark.sparkContext.accumulator(0)
 
