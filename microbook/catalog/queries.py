@@ -732,26 +732,26 @@ def stream_features(spark, sf):
     return _rounded_matrix(SF.stream_features(windows, GIVEN_TABLE, as_float=False))
 
 
-#: Files of a micro-batch of the book.
-BOOK_FILES = 16
+#: Files of a micro-batch of the book. Its rows are packed before one task gets those of a symbol.
+BOOK_FILES = 64
 
 
-def _booked(stream: DataFrame, levels: int) -> DataFrame:
+def _booked(table: DataFrame, levels: int, events=SB.book_events) -> DataFrame:
     """The stored feed lacks no index, so no gap is given up however long the replay takes."""
-    with SB.state_on_disk(stream.sparkSession):
+    spark = table.sparkSession
+    stream = events(_stream(spark, table, BOOK_FILES))
+    with SB.state_on_disk(spark, SB.state_partitions(table)):
         return PI.run_to_table(SB.stream_book(stream, at="at", levels=levels, patience_ms=None), "booked")
 
 
 @query
 def stream_depth(spark, sf):
-    events = SB.book_events(_stream(spark, fx.message_log(spark, sf), BOOK_FILES))
-    return SB.depth_rows(_booked(events, 0)).drop("trade_date")
+    return SB.depth_rows(_booked(fx.message_log(spark, sf), 0)).drop("trade_date")
 
 
 @query
 def stream_best_prices(spark, sf):
-    events = SB.book_events(_stream(spark, fx.message_log(spark, sf), BOOK_FILES))
-    return SB.ladder_rows(_booked(events, 1)).drop("trade_date")
+    return SB.ladder_rows(_booked(fx.message_log(spark, sf), 1)).drop("trade_date")
 
 
 @query
@@ -762,8 +762,8 @@ def stream_order_ops(spark, sf):
 
 @query
 def stream_event_log(spark, sf):
-    events = _stream(spark, fx.feed(spark, sf, "replace_log", lambda: dense_index(_all_replaces(spark, sf), "at")), BOOK_FILES)
-    return SB.accepted_event_log(_booked(events, 0)).select(*KEY, "kind", "order_id")
+    log = fx.feed(spark, sf, "replace_log", lambda: dense_index(_all_replaces(spark, sf), "at"))
+    return SB.accepted_event_log(_booked(log, 0, lambda events: events)).select(*KEY, "kind", "order_id")
 
 
 def registered() -> dict[str, Query]:

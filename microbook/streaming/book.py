@@ -14,6 +14,7 @@ The rules are those of `classify_order_events` and `classify_replaces`; an order
 """
 
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -55,10 +56,11 @@ STATE_STORE = {
 
 
 @contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Queries that start inside keep their state in RocksDB, which maps and timers need."""
-    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
-    for key, value in STATE_STORE.items():
+def state_on_disk(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which maps and timers need; `partitions` is the number of its parts, for good."""
+    wanted = STATE_STORE | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -67,6 +69,19 @@ def state_on_disk(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def state_partitions(feed: DataFrame) -> int:
+    """Parts of the state for a stored feed: as few as give each symbol and day a task of its own, or nearly so.
+
+    Each part costs every micro-batch a commit, and of few keys several easily share one by hash: three of the five symbols do with 8 or
+    16 parts. Where there are more keys than shuffle partitions of the session, these are as good.
+    """
+    usual = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashes = [row[0] for row in feed.select(*KEYS).distinct().select(F.hash(*KEYS)).limit(usual + 1).collect()]
+    if not 0 < len(hashes) <= usual:
+        return usual
+    return min(range(len(hashes), 8 * len(hashes) + 1), key=lambda parts: max(Counter(value % parts for value in hashes).values()))
+
+
 class _Cached:
     """A map state, of which a micro-batch reads each key once and writes each changed key once."""
 

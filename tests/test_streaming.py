@@ -1,6 +1,7 @@
 import os
 import random
 import tempfile
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from microbook.operators import book as BK
 from microbook.operators.metrics import drift
 from microbook.operators.quality import differing_rows
 from microbook.plans.matrix import build_feature_matrix
-from microbook.schema import FEATURE_NAMES, KEYS
+from microbook.schema import FEATURE_NAMES, KEYS, SYMBOLS
 from microbook.streaming import book as SB
 from microbook.streaming import features as SF
 from microbook.streaming import pipelines as PI
@@ -311,6 +312,19 @@ def test_events_reach_the_state_machine_by_blocks(spark):
     assert [e[1:] for block in waiting.blocks() for e in waiting.take(block)] == sorted(events)
 
 
+def test_symbols_of_a_stored_feed_share_no_task(spark):
+    """With 8 parts, the session's number, three of the five symbols were one task."""
+    feed = spark.createDataFrame([(s, date(2012, 6, 21)) for s in SYMBOLS for _ in range(20)], "symbol string, trade_date date")
+    parts = SB.state_partitions(feed)
+    assert feed.repartition(parts, *KEYS).select("symbol", F.spark_partition_id().alias("part")).distinct().groupBy("part").count().count() == 5
+    assert feed.repartition(8, *KEYS).select("symbol", F.spark_partition_id().alias("part")).distinct().groupBy("part").count().count() == 3
+    many = spark.range(20).select(F.col("id").cast("string").alias("symbol"), F.lit(DAY).alias("trade_date"))
+    assert SB.state_partitions(many) == 8 == SB.state_partitions(many.limit(0))
+    with SB.state_on_disk(spark, parts):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(parts)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
 def test_best_levels_follow_every_change():
     rng, tops, sizes = random.Random(4), SB._Tops(3, []), {}
     for _ in range(4_000):
